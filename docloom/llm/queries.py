@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_spans import encode_decode
+
+    coded = encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("n_bytes"),
+    )
+
+
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(3)
@@ -44,12 +58,18 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(manifest).mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op6_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_content import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_report
 
     return quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op5_token_shards, op8_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_piece_spans, op5_token_shards, op6_html_content, op8_quality_rules)}
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}

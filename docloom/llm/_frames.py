@@ -40,5 +40,11 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(column(df, id_col).cast("long").alias("doc_id"), F.coalesce(column(df, text_col), F.lit("")).alias("text"))
 
 
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Bounds the Arrow batches that go to Python workers by bytes: rows of long texts would otherwise make batches of many times a worker's memory."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(limit):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

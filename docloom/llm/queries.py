@@ -70,6 +70,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_piece_spans, op5_token_shards, op6_html_content, op8_quality_rules)}
+def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_graph import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_piece_spans, op5_token_shards, op6_html_content, op8_quality_rules, op9_vector_graph)}
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}

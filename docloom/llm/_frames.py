@@ -37,6 +37,7 @@ def column(df: DataFrame, name: str) -> Column:
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the key (long) and the text (null: empty) of ``df``, under fixed names, whatever else it holds."""
+    small_batches(df.sparkSession)
     return df.select(column(df, id_col).cast("long").alias("doc_id"), F.coalesce(column(df, text_col), F.lit("")).alias("text"))
 
 

@@ -64,6 +64,12 @@ def op6_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_report
 
@@ -76,6 +82,6 @@ def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_piece_spans, op5_token_shards, op6_html_content, op8_quality_rules, op9_vector_graph)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_piece_spans, op5_token_shards, op6_html_content, op7_near_duplicates, op8_quality_rules, op9_vector_graph)}
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}

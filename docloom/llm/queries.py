@@ -82,6 +82,12 @@ def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_piece_spans, op5_token_shards, op6_html_content, op7_near_duplicates, op8_quality_rules, op9_vector_graph)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_piece_spans, op5_token_shards, op6_html_content, op7_near_duplicates, op8_quality_rules, op9_vector_graph, op10_substring_dedup)}
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._frames import column
+from ._frames import column, small_batches
 from ._words import SPACE, chained, hashes, mix, per_document, slices, within, words
 
 WORD_BINS = 4096
@@ -204,6 +204,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     table = _table(docs, text_col, lang_col)
+    small_batches(docs.sparkSession)
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

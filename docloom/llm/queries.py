@@ -43,6 +43,13 @@ def op3_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ordinal_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordinal_classifier import fit_on, grade_documents, graded
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return grade_documents(docs, fit_on(docs, labels, graded(labels)))
+
+
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(3)
@@ -88,6 +95,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_piece_spans, op5_token_shards, op6_html_content, op7_near_duplicates, op8_quality_rules, op9_vector_graph, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_piece_spans, op4_ordinal_classifier, op5_token_shards, op6_html_content, op7_near_duplicates, op8_quality_rules, op9_vector_graph, op10_substring_dedup)}
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}

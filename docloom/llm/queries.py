@@ -23,6 +23,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .backoff_scores import backoff_scores
+
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -95,6 +101,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_piece_spans, op4_ordinal_classifier, op5_token_shards, op6_html_content, op7_near_duplicates, op8_quality_rules, op9_vector_graph, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_backoff_scores, op2_packing, op3_piece_spans, op4_ordinal_classifier, op5_token_shards, op6_html_content, op7_near_duplicates, op8_quality_rules, op9_vector_graph, op10_substring_dedup)}
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}

@@ -213,7 +213,7 @@ def _cut(window: int):
     return run, "c binary, n_removed long, kept_text string, kept_sha256 string"
 
 
-def repeated_passages(docs: DataFrame, window: int = 50, group: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 50, group: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_words, n_removed, kept_sha256, kept_text (null: nothing removed) of every row."""
     tasks = partitions(docs.sparkSession)
     own = keyed_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from ..types import data_type
 from .text import tokenize
 
 # Fixed values of the fingerprint and embedding formats.
@@ -68,7 +69,7 @@ def simhash_of(tokens: list[str]) -> str:
     return f"{int(sum(1 << i for i in range(64) if total[i] > 0)):016x}"
 
 
-@pandas_udf("string")
+@pandas_udf(data_type("string"))
 def _simhash(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: simhash_of([] if t is None else list(t)))
 
@@ -77,7 +78,7 @@ def simhash(text: Column) -> Column:
     return _simhash(tokenize(text))
 
 
-@pandas_udf("string")
+@pandas_udf(data_type("string"))
 def fnv1a64(texts: pd.Series) -> pd.Series:
     """Sixteen hexadecimal digits of the 64-bit FNV-1a hash over the low bytes."""
     return pd.Series([f"{int(x):016x}" for x in fnv64([t or "" for t in texts], 0xFF)], dtype="object")
@@ -100,7 +101,7 @@ def is_near_duplicate(a: Column, b: Column, distance: int = DUPLICATE_DISTANCE)
 
 def simhash_bands(hex_: Column) -> Column:
     """Four keys of sixteen bits: fingerprints at most three bits apart share one."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.substring(hex_, i * BAND_HEX + 1, F.lit(BAND_HEX))))
+    keys = F.array(*(F.concat(F.lit(f"{i}:"), F.substring(hex_, i * BAND_HEX + 1, BAND_HEX)) for i in range(BANDS)))
     return F.when(F.length(hex_) == 16, keys).otherwise(F.array().cast("array<string>"))
 
 
@@ -149,7 +150,7 @@ def embed_tokens(tokens: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     return (out / norm).astype(np.float32) if norm else out
 
 
-@pandas_udf("array<float>")
+@pandas_udf(data_type("array<float>"))
 def _embed(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: embed_tokens([] if t is None else list(t)))
 

@@ -5,10 +5,12 @@ Lengths are code points. Latin word edges are ASCII (``WORD_START``, ``WORD_END`
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,14 +79,8 @@ def has_cjk(c: Column) -> Column:
 
 
 def cjk_bigrams(c: Column) -> Column:
-    """Neighbouring pairs of every CJK run; a run of one character stays whole."""
-    pairs = lambda run: F.when(F.length(run) == 1, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))
-    return F.flatten(F.transform(found(c, f"[{CJK_RUN}]+"), pairs))
-
-
-def _without(tokens: Column, stop: Iterable[str]) -> Column:
-    words = F.array(*(F.lit(w) for w in sorted(stop)))
-    return F.filter(tokens, lambda t: ~F.array_contains(words, t))
+    """Neighbouring pairs of every CJK run; a run of one character stays whole. A lookahead matches at every place, so pairs overlap."""
+    return F.regexp_extract_all(text_of(c), F.lit(f"(?=([{CJK_RUN}]{{2}}|(?<![{CJK_RUN}])[{CJK_RUN}](?![{CJK_RUN}])))"), F.lit(1))
 
 
 def tokenize(c: Column, keep_stopwords: bool = False, stopwords: Iterable[str] = STOPWORDS_EN, stopwords_zh: Iterable[str] = STOPWORDS_ZH) -> Column:
@@ -124,8 +120,6 @@ def reading_time_sec(c: Column) -> Column:
 
 def _references(c: Column) -> Column:
     """Decimal and hexadecimal character references, which only Python decodes; texts without any never leave the JVM."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(texts: pd.Series) -> pd.Series:
         char = lambda n: chr(n) if 0 < n < 0x110000 and not 0xD800 <= n < 0xE000 else "�"
@@ -202,34 +196,49 @@ def noise(c: Column) -> Column:
     return F.struct(F.least(F.lit(1.0), score).alias("score"), F.array_compact(F.array(*(F.when(hit, label) for hit, _, label in hits))).alias("reasons"))
 
 
+def weighed_terms(tokens: object, limit: int) -> list[tuple[str, float]]:
+    """The best of a token list: frequency, early first use and length count; the best has weight 1."""
+    n = 0 if tokens is None else len(tokens)
+    first: dict[str, int] = {}
+    count: dict[str, int] = {}
+    for i, t in enumerate(tokens if n else ()):
+        first.setdefault(t, i)
+        count[t] = count.get(t, 0) + 1
+    weighed = sorted(((k / n * (1 - first[t] / n * 0.45) * (1.15 if len(t) >= 6 else 1.0) * math.log1p(k), t) for t, k in count.items()), key=lambda x: -x[0])
+    top = weighed[0][0] if weighed else 0
+    return [(t, w / top if top else 0.0) for w, t in weighed[:limit]]
+
+
 def keywords(c: Column, limit: int = 12) -> Column:
-    """term and weight of the best terms: frequency, early first use and length count; the best has weight 1."""
-    tokens = tokenize(c)
-    n = F.size(tokens)
+    """term and weight of the best terms.
 
-    def weighed(term: Column) -> Column:
-        count = F.size(F.filter(tokens, lambda t: t == term))
-        first = F.array_position(tokens, term) - 1
-        weight = count / n * (1 - first / n * 0.45) * F.when(F.length(term) >= 6, 1.15).otherwise(1.0) * F.log1p(count.cast("double"))
-        return F.struct((-weight).alias("order"), first.alias("first"), term.alias("term"))
+    Counting within one row takes a hash table, which array functions lack: a vectorised kernel over the native tokens. Over a table, ``operators.terms.keyword_table`` is native throughout.
+    """
 
-    best = F.slice(F.array_sort(F.transform(F.array_distinct(tokens), weighed)), 1, limit)
-    top = F.get(best, F.lit(0))["order"]
-    return F.transform(best, lambda x: F.struct(x["term"].alias("term"), F.when(top != 0, x["order"] / top).otherwise(0.0).alias("weight")))
+    @F.pandas_udf("array<struct<term:string,weight:double>>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda tokens: [{"term": t, "weight": w} for t, w in weighed_terms(tokens, limit)])
+
+    return run(tokenize(c))
+
+
+def summary_of(body: str, tokens: object, sentences: int) -> str:
+    parts = [p.strip() for p in re.split(r"(?<=[.!?。！？])\s+|\n+", body)]
+    parts = [p for p in parts if len(p) > 30][:40]
+    terms = weighed_terms(tokens, 30)
+    score = [sum(w for t, w in terms if t in p.lower()) * (1 - 0.015 * i) * (1.15 if re.search(r"\d", p) else 1.0) for i, p in enumerate(parts)]
+    best = sorted(sorted(range(len(parts)), key=lambda i: -score[i])[:sentences])
+    return " ".join(parts[i] for i in best)
 
 
 def extractive_summary(c: Column, sentences: int = 3) -> Column:
     """The sentences (of the first 40 over 30 characters) that hold the heaviest keywords, in their order."""
-    parts = F.transform(F.split(text_of(c), r"(?<=[.!?。！？])\s+|\n+"), lambda s: F.trim(s))
-    parts = F.slice(F.filter(parts, lambda s: F.length(s) > 30), 1, 40)
-    terms = keywords(c, 30)
 
-    def weighed(s: Column, i: Column) -> Column:
-        total = F.aggregate(terms, F.lit(0.0), lambda a, k: a + F.when(F.contains(F.lower(s), k["term"]), k["weight"]).otherwise(0.0))
-        return F.struct((-(total * (1 - 0.015 * i) * F.when(s.rlike(r"\d"), 1.15).otherwise(1.0))).alias("order"), i.alias("i"), s.alias("s"))
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([summary_of(t, k, sentences) for t, k in zip(texts, rows, strict=True)], dtype="object")
 
-    best = F.slice(F.array_sort(F.transform(parts, weighed)), 1, sentences)
-    return F.array_join(F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"]), " ")
+    return run(text_of(c), tokenize(c))
 
 
 def takeaways(c: Column, limit: int = 5) -> Column:

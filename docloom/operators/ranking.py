@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -40,9 +41,13 @@ def documents_of(items: DataFrame) -> DataFrame:
     )
 
 
+def _placed(name: str, weight: float) -> Callable[[Column, Column], Column]:
+    return lambda term, i: F.struct(term.alias("term"), F.lit(name).alias("col"), i.alias("pos"), F.lit(weight).alias("w"))
+
+
 def postings(documents: DataFrame, columns: dict[str, float] = COLUMN_WEIGHTS) -> DataFrame:
     """term, id, tf (weighted by column), positions in each column's order, of documents with token arrays."""
-    parts = F.flatten(F.array(*(F.transform(F.col(c), lambda t, i, c=c, w=w: F.struct(t.alias("term"), F.lit(c).alias("col"), i.alias("pos"), F.lit(w).alias("w"))) for c, w in columns.items())))
+    parts = F.flatten(F.array(*(F.transform(F.col(c), _placed(c, w)) for c, w in columns.items())))
     rows = documents.select("id", F.explode(parts).alias("p")).select("id", "p.*")
     return rows.groupBy("term", "id").agg(F.sum("w").alias("tf"), F.sort_array(F.collect_list(F.struct("col", "pos"))).alias("places"))
 
@@ -118,6 +123,15 @@ def highlight_terms(q: str) -> list[str]:
     return [t for t in dict.fromkeys(out) if t][:24]
 
 
+def _followed(word: str, by: int, prefix: bool) -> Callable[[Column], Column]:
+    """Whether ``word`` stands ``by`` places after a hit, in the same column."""
+
+    def after(x: Column) -> Column:
+        return F.exists("hits", lambda y: (F.startswith(y["term"], F.lit(word)) if prefix else y["term"] == word) & (y["col"] == x["col"]) & (y["pos"] == x["pos"] + by))
+
+    return after
+
+
 def keyword_search(documents: DataFrame, q: str, limit: int, relax: bool = False, columns: dict[str, float] = COLUMN_WEIGHTS) -> DataFrame:
     """id, score, rank of the best documents by BM25 over weighted columns: all clauses must match, or any if relaxed.
 
@@ -132,15 +146,14 @@ def keyword_search(documents: DataFrame, q: str, limit: int, relax: bool = False
     exact = sorted({t for c in clauses for p in c.phrases for t in (p[:-1] if c.prefix else p)})
     prefixes = sorted({p[-1] for c in clauses if c.prefix for p in c.phrases})
     wanted = lambda t: (t.isin(*exact) if exact else F.lit(False)) | (t.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")") if prefixes else F.lit(False))
-    parts = F.flatten(F.array(*(F.filter(F.transform(F.col(c), lambda t, i, c=c, w=w: F.struct(t.alias("term"), F.lit(c).alias("col"), i.alias("pos"), F.lit(w).alias("w"))), lambda x: wanted(x["term"])) for c, w in columns.items())))
+    parts = F.flatten(F.array(*(F.filter(F.transform(F.col(c), _placed(c, w)), lambda x: wanted(x["term"])) for c, w in columns.items())))
     hits = documents.select("id", parts.alias("hits"), sum((F.size(c) for c in columns), F.lit(0)).alias("length")).filter(F.size("hits") > 0)
 
     def phrase(words: tuple[str, ...], prefix: bool) -> Column:
         """Weight of all places where the phrase stands."""
         found = F.filter("hits", lambda x: F.startswith(x["term"], F.lit(words[0])) if prefix and len(words) == 1 else x["term"] == words[0])
         for j, word in enumerate(words[1:], 1):
-            last = prefix and j == len(words) - 1
-            found = F.filter(found, lambda x, j=j, word=word, last=last: F.exists("hits", lambda y: (F.startswith(y["term"], F.lit(word)) if last else y["term"] == word) & (y["col"] == x["col"]) & (y["pos"] == x["pos"] + j)))
+            found = F.filter(found, _followed(word, j, prefix and j == len(words) - 1))
         return F.aggregate(found, F.lit(0.0), lambda s, x: s + x["w"])
 
     names = [f"tf{i}" for i in range(len(clauses))]

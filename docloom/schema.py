@@ -6,7 +6,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .types import struct
 
 SOURCES = ("x", "xiaohongshu", "hackernews", "arxiv", "github", "reddit", "youtube", "producthunt", "huggingface", "rss", "web", "manual")
 KINDS = ("post", "thread", "note", "article", "paper", "repo", "release", "video", "discussion", "link")
@@ -21,20 +22,20 @@ ENTITIES = "array<struct<type:string,name:string,confidence:double>>"
 BREAKDOWN = "struct<velocity:double,authority:double,relevance:double,novelty:double,depth:double,recency:double,noise:double,source_trust:double>"
 
 #: What a source hands in.
-INGEST = T._parse_datatype_string(
+INGEST = struct(
     f"url string, source string, source_id string, kind string, title string, summary string, content string, lang string, author {AUTHOR}, metrics {METRICS}, media {MEDIA}, topics array<string>, tags array<string>, published_ms bigint, state string, raw string"
 )
 #: What the engine keeps. Times are epoch milliseconds, so arithmetic on them is exact.
-ITEM = T._parse_datatype_string(
+ITEM = struct(
     f"id string, url string, url_hash string, source string, source_id string, kind string, title string, summary string, content string, lang string, author {AUTHOR}, metrics {METRICS}, media {MEDIA}, topics array<string>, tags array<string>, entities {ENTITIES}, published_ms bigint, captured_ms bigint, updated_ms bigint, score double, breakdown {BREAKDOWN}, state string, starred boolean, read_ms bigint, reading_time_sec int, simhash string, duplicate_of string, echo_count int, embedding array<float>, embed_model string, raw string"
 )
-COLLECTION = T._parse_datatype_string("id string, name string, description string, color string, position double, smart_query string, created_ms bigint")
-COLLECTION_ITEM = T._parse_datatype_string("collection_id string, item_id string, position double, note string, added_ms bigint")
-HIGHLIGHT = T._parse_datatype_string("id string, item_id string, text string, note string, color string, created_ms bigint")
-SAVED_SEARCH = T._parse_datatype_string("id string, name string, query string, last_seen_ms bigint, alerting boolean, created_ms bigint")
-SOURCE = T._parse_datatype_string("id string, kind string, target string, label string, enabled boolean, interval_sec bigint, trust double, min_engagement bigint, include array<string>, exclude array<string>, languages array<string>, last_run_ms bigint, items_total bigint, last_error string")
-DIGEST = T._parse_datatype_string("id string, title string, period_from_ms bigint, period_to_ms bigint, body string, item_ids array<string>, created_ms bigint")
-LEDGER = T._parse_datatype_string("seq bigint, ts_ms bigint, type string, item_id string, call_id string, value string")
+COLLECTION = struct("id string, name string, description string, color string, position double, smart_query string, created_ms bigint")
+COLLECTION_ITEM = struct("collection_id string, item_id string, position double, note string, added_ms bigint")
+HIGHLIGHT = struct("id string, item_id string, text string, note string, color string, created_ms bigint")
+SAVED_SEARCH = struct("id string, name string, query string, last_seen_ms bigint, alerting boolean, created_ms bigint")
+SOURCE = struct("id string, kind string, target string, label string, enabled boolean, interval_sec bigint, trust double, min_engagement bigint, include array<string>, exclude array<string>, languages array<string>, last_run_ms bigint, items_total bigint, last_error string")
+DIGEST = struct("id string, title string, period_from_ms bigint, period_to_ms bigint, body string, item_ids array<string>, created_ms bigint")
+LEDGER = struct("seq bigint, ts_ms bigint, type string, item_id string, call_id string, value string")
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,8 @@ A document's set is its distinct ``size``-word shingles (ASCII letters lower-cas
 tokens. ``trees`` independent trees branch all classes: at the root by one selected minwise token, and a node of more than ``leaf`` classes again, by ``branches``
 tokens selected for that node, down to ``depth``. A pair of similarity s meets at a root's child in a tree with probability s, so all 10 trees miss a pair of 0.8 with
 probability 1e-7. Small nodes are compared exhaustively on the tokens, with a bound that a pair of 0.8 fails with probability below 1e-5; a node that stays large at the last level is
-taken whole. What is linked so makes candidate clusters, whose full sets are then compared exhaustively: links are decided by the sets alone.
+taken whole. In a large node all are first compared with one member, its hub; those that agree are candidates, and those of all but equal tokens branch no
+further, as what is near them is near the hub. So a large group of near copies isn't branched again and again. What is linked so makes candidate clusters, whose full sets are then compared exhaustively: links are decided by the sets alone.
 
 A cluster of more than ``cluster`` classes is dealt to chunks that all hold one common member; what is left outside its largest component is compared
 with all chunks in blocks. So no group is one task's, no pairs are listed (each group gives at most one link a member), and no partner is capped.
@@ -81,22 +82,30 @@ def document_classes(docs: DataFrame, size: int = 4, tokens: int = 32, id_col: s
     return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, set_class binary, marks array<int>")
 
 
-def _leaves(classes: DataFrame, trees: int, leaf: int, branches: int, depth: int, tokens: int) -> tuple[DataFrame, DataFrame | None]:
-    """Members of small nodes (node, c), and of those that stay large."""
+def _leaves(classes: DataFrame, trees: int, leaf: int, branches: int, depth: int, tokens: int, near: int, same: int) -> tuple[DataFrame, DataFrame]:
+    """Members of small nodes (node, c), and candidate links (a, b) of large nodes with their hubs."""
     at = classes.select("c", F.posexplode(F.slice("marks", 1, trees)).alias("tree", "token")).select("c", F.xxhash64("tree", "token").alias("node"))
     small: list[DataFrame] = []
+    links: list[DataFrame] = []
     for level in range(depth):
-        sizes = at.groupBy("node").count().filter("count > 1")
+        sizes = at.groupBy("node").agg(F.count("*").alias("count"), F.min("c").alias("hub")).filter("count > 1")
         placed = written(at.join(sizes, "node"), "nodes")
         small.append(placed.filter(F.col("count") <= leaf).select("node", "c"))
         large = placed.filter(F.col("count") > leaf)
         if large.isEmpty():
-            return _union(small), None
-        if level < depth - 1:
-            picks = [F.element_at("marks", (F.pmod(F.xxhash64("node", F.lit(level * branches + j)), F.lit(tokens)) + 1).cast("int")) for j in range(branches)]
-            nodes = F.array(*(F.xxhash64("node", F.lit(level * branches + j), p) for j, p in enumerate(picks)))
-            at = large.select("node", "c").join(classes.select("c", "marks"), "c").select("c", F.explode(F.array_distinct(nodes)).alias("node"))
-    return _union(small), large.select("node", "c")
+            break
+        if level == depth - 1:
+            links.append(large.select(F.col("hub").alias("a"), F.col("c").alias("b")))
+            break
+        hubs = large.filter(F.col("c") == F.col("hub")).select("node", "c").join(classes.select("c", F.col("marks").alias("hub_marks")), "c").select("node", "hub_marks")
+        met = large.select("node", "c", "hub").join(classes.select("c", "marks"), "c").join(hubs, "node")
+        agreed = F.size(F.filter(F.zip_with("marks", "hub_marks", lambda x, y: x == y), lambda x: x))
+        met = written(met.withColumn("agreed", agreed).select("node", "c", "hub", "agreed", "marks"), "nodes")
+        links.append(met.filter((F.col("agreed") >= near) & (F.col("c") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("c").alias("b")))
+        picks = [F.element_at("marks", (F.pmod(F.xxhash64("node", F.lit(level * branches + j)), F.lit(tokens)) + 1).cast("int")) for j in range(branches)]
+        nodes = F.array(*(F.xxhash64("node", F.lit(level * branches + j), p) for j, p in enumerate(picks)))
+        at = met.filter(F.col("agreed") < same).select("c", F.explode(F.array_distinct(nodes)).alias("node"))
+    return _union(small), _union(links) if links else classes.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -106,7 +115,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _candidates(classes: DataFrame, small: DataFrame, large: DataFrame | None, tokens: int, least: int) -> DataFrame:
+def _candidates(classes: DataFrame, small: DataFrame, tokens: int, least: int) -> DataFrame:
     """Links (a, b) between classes whose tokens agree often enough: at most one a member of a node."""
     marks = small.groupBy("node").agg(F.bit_xor(F.xxhash64("c")).alias("x"), F.count("*").alias("n"))
     once = marks.groupBy("x", "n").agg(F.min("node").alias("node")).select("node")  # nodes of the same members are compared once
@@ -129,11 +138,7 @@ def _candidates(classes: DataFrame, small: DataFrame, large: DataFrame | None, t
             yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(a))), names.take(pa.array(np.concatenate(b)))], ["a", "b"])
 
     dealt = rows.repartition(partitions(small.sparkSession), "node").sortWithinPartitions("node")
-    links = dealt.mapInArrow(run, "a binary, b binary")
-    if large is not None:
-        hubs = large.groupBy("node").agg(F.min("c").alias("a"))
-        links = links.union(large.join(hubs, "node").select("a", F.col("c").alias("b")))
-    return links
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 class _Sets:
@@ -220,13 +225,13 @@ def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: in
     return links.union(_compared(both.withColumn("chunk", (F.col("block") * F.col("chunks") + F.col("piece")).cast("int")), percent))
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = 10, tokens: int = 32, least: int = 15, leaf: int = 512, branches: int = 3, depth: int = 5, cluster: int = 4096) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = 10, tokens: int = 32, least: int = 15, leaf: int = 512, branches: int = 2, depth: int = 4, cluster: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: rows are linked where 100 * intersection >= percent * union of their sets."""
     own = keyed_text(docs, id_col, text_col)
     rows = written(document_classes(own, size, tokens), "classes")
     classes = written(rows.filter("n_shingles > 0").groupBy(F.col("set_class").alias("c")).agg(F.min("doc_id").alias("least_id"), F.first("marks").alias("marks")), "sets")
-    small, large = _leaves(classes, trees, leaf, branches, depth, tokens)
-    clusters = components(_candidates(classes, small, large, tokens, least))
+    small, links = _leaves(classes, trees, leaf, branches, depth, tokens, near=least - 3, same=tokens - 9)
+    clusters = components(_candidates(classes, small, tokens, least).union(links))
     linked = components(_verified(own, classes, clusters, size, percent, cluster))
     named = linked.join(classes.select(F.col("c").alias("node"), "least_id"), "node")
     least_ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

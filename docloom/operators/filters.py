@@ -113,7 +113,7 @@ def rejection(row: dict[str, Column], muted_keywords: tuple[str, ...] = (), mute
     text = F.concat_ws("\n", row["title"], row["summary"], row["content"])
     words = [w.strip().lower() for w in muted_keywords if len(w.strip()) >= 2]
     authors = [a.strip().lstrip("@").lower() for a in muted_authors if a.strip()]
-    handle = F.lower(F.ltrim(F.lit("@"), text_of(row["handle"])))
+    handle = F.lower(F.ltrim(text_of(row["handle"]), F.lit("@")))
     out = F.when(F.length(text_of(row["url"])) < 4, "missing url").when(F.trim(text) == "", "no text")
     out = out.when((F.length(F.trim(text)) < 12) & (F.size(F.coalesce(row["media"], F.array())) == 0), "too short")
     for w in words:

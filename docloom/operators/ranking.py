@@ -169,6 +169,11 @@ def keyword_search(documents: DataFrame, q: str, limit: int, relax: bool = False
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
+def _frame(**columns: np.ndarray) -> pd.DataFrame:
+    """A frame whose strings are plain objects, which Arrow takes as one array."""
+    return pd.DataFrame({k: pd.Series(v if v.dtype.kind in "biuf" else v.astype(object), dtype=None if v.dtype.kind in "biuf" else object) for k, v in columns.items()})
+
+
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, floor: float = -1.0, block_rows: int = 2048, skip_self: bool = True) -> DataFrame:
     """query_id, id, similarity, rank: the ``k`` most alike by cosine, exactly, of ``vectors`` (id, embedding).
 
@@ -187,7 +192,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, floor: float
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        empty = _frame(query_id=np.array([], object), id=np.array([], object), similarity=np.zeros(0))
         if not len(left) or not len(right):
             return empty
         left = left.sort_values("id", kind="stable").reset_index(drop=True)
@@ -200,7 +205,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, floor: float
             order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
             found = np.take_along_axis(sims, order, axis=1)
             keep = found >= floor
-            out.append(pd.DataFrame({"query_id": np.repeat(names, order.shape[1])[keep.ravel()], "id": ids[order][keep], "similarity": found[keep]}))
+            out.append(_frame(query_id=np.repeat(names, order.shape[1])[keep.ravel()], id=ids[order][keep], similarity=found[keep]))
         return pd.concat(out) if out else empty
 
     kind = vectors.schema["id"].dataType.simpleString()
@@ -256,7 +261,7 @@ def diversified(candidates: DataFrame, balance: float, limit: int) -> DataFrame:
         size = max((len(e) for e in rows.embedding if e is not None), default=1)
         vectors = np.stack([np.zeros(size) if e is None else np.asarray(e, float) for e in rows.embedding])
         order = maximal_marginal_relevance(rows.fused.to_numpy(float), vectors, balance, limit)
-        return pd.DataFrame({"query_id": rows.query_id[order].to_numpy(), "id": rows.id[order].to_numpy(), "pick": np.arange(1, len(order) + 1)})
+        return _frame(query_id=rows.query_id[order].to_numpy(), id=rows.id[order].to_numpy(), pick=np.arange(1, len(order) + 1))
 
     kinds = {c: candidates.schema[c].dataType.simpleString() for c in ("query_id", "id")}
     return candidates.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, id {kinds['id']}, pick int")

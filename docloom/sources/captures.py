@@ -299,4 +299,4 @@ def article(html: str | None) -> dict:
 
 @F.pandas_udf(ARTICLE)
 def captured_article(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([article(p) for p in pages], columns=ARTICLE.fieldNames())
+    return pd.DataFrame([article(p) for p in pages], columns=ARTICLE.fieldNames(), dtype=object)

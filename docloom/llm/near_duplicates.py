@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._frames import keyed_text, partitions, written
+from ._frames import column, keyed_text, partitions, written
 from ._graph import components, connect, edges_of, runs
 from ._words import LOWER, chained, hashes, mix, slices, within, words
 
@@ -243,7 +243,8 @@ def near_duplicate_classes(docs: DataFrame, size: int = 4, percent: int = 80, id
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that are the first of their component; of rows that repeat a key one stays."""
-    marks = near_duplicate_classes(docs, size, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = docs.join(marks, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.withColumn("__one", F.row_number().over(one)).filter("__one = 1").drop("__one")
+    kept = near_duplicate_classes(docs, size, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), column(docs, id_col).cast("long").alias("key"), F.xxhash64(column(docs, text_col)).alias("mark"))  # whatever the columns' names
+    first = F.row_number().over(Window.partitionBy("key").orderBy("mark"))
+    one = rows.join(kept, F.col("key").eqNullSafe(F.col("kept_id")), "left_semi").withColumn("turn", first).filter("turn = 1")
+    return one.select("row.*")

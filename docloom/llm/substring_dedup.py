@@ -267,9 +267,11 @@ def repeated_passages(docs: DataFrame, window: int = 50, group: int = 8192, id_c
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """``docs`` with their columns, repeated passages cut out of the texts; a text that loses nothing stays as it is, one that loses all is empty."""
     report = repeated_passages(docs, window, id_col=id_col, text_col=text_col).filter("n_removed > 0")
-    changed = report.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept_text").alias("__text")).dropDuplicates(["__id", "__hash"])
-    text = column(docs, text_col)
-    joined = docs.join(changed, column(docs, id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash")), "left")
-    new = F.coalesce(F.col("__text"), text)
-    swapped = {text_col: new} | ({chars_col: F.when(F.col("__text").isNotNull(), F.length("__text").cast(docs.schema[chars_col].dataType)).otherwise(column(docs, chars_col))} if chars_col else {})
-    return joined.select(*(swapped.get(c, column(docs, c)).alias(c) for c in docs.columns))
+    changed = report.select(F.col("doc_id").alias("changed_id"), F.col("text_hash").alias("changed_hash"), F.col("kept_text").alias("new_text")).dropDuplicates(["changed_id", "changed_hash"])
+    rows = docs.select(F.struct("*").alias("row"), column(docs, id_col).cast("long").alias("key"), F.xxhash64(F.coalesce(column(docs, text_col), F.lit(""))).alias("hash"))  # whatever the columns' names
+    joined = rows.join(changed, F.col("key").eqNullSafe(F.col("changed_id")) & (F.col("hash") == F.col("changed_hash")), "left")
+    old = lambda name: F.col("row").getField(name)
+    swapped = {text_col: F.coalesce("new_text", old(text_col))}
+    if chars_col:
+        swapped[chars_col] = F.when(F.col("new_text").isNotNull(), F.length("new_text").cast(docs.schema[chars_col].dataType)).otherwise(old(chars_col))
+    return joined.select(*(swapped.get(c, old(c)).alias(c) for c in docs.columns))

@@ -73,3 +73,11 @@ def string_hue(c: Column) -> Column:
     codes = F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
     # (h xor code) * prime stays below 2**57, so 64-bit arithmetic holds it before the mask.
     return (F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * prime).bitwiseAND(F.lit(mask).cast("long"))) % 360).cast("int")
+
+
+def format_datetime(at_ms: Column) -> Column:
+    return F.date_format(F.timestamp_millis(at_ms), "yyyy-MM-dd HH:mm")
+
+
+def plural(n: Column, word: str) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, f" {word}").otherwise(f" {word}s"))

@@ -187,3 +187,11 @@ def interest_clusters(vectors: np.ndarray, k: int = 3, rounds: int = 8) -> np.nd
         if still:
             break
     return centres
+
+
+#: Embedders by name: a Column of text to a Column of vectors, and the least cosine of an echo. Others can be added; what is unknown falls back to hashing.
+EMBEDDERS = {"hash": (hash_embed, 0.50)}
+
+
+def embedder(name: str):
+    return EMBEDDERS.get(name, EMBEDDERS["hash"])

@@ -108,3 +108,26 @@ def with_tags(items: DataFrame, changes: DataFrame, most: int = 64) -> DataFrame
     """Items with the tags of ``changes`` (id, tags) instead: trimmed, not empty, distinct."""
     clean = F.slice(F.array_distinct(F.filter(F.transform("tags", lambda t: F.trim(t)), lambda t: t != "")), 1, most)
     return patched(items, changes.select("id", clean.alias("tags")))
+
+
+def item_detail(items: DataFrame, item_id: str, highlights: DataFrame, collections: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: the item, its highlights in order, and the names of its collections."""
+    one = items.filter(F.col("id") == item_id)
+    own = highlights.filter(F.col("item_id") == item_id).agg(F.sort_array(F.collect_list(F.struct("created_ms", "text", "note"))).alias("highlights"))
+    held = members.filter(F.col("item_id") == item_id).join(collections, F.col("collection_id") == collections["id"]).agg(F.sort_array(F.collect_set("name")).alias("collections"))
+    return one.crossJoin(own).crossJoin(held)  # one row each
+
+
+def highlights_of(highlights: DataFrame, item_id: str | None = None, limit: int = 500) -> DataFrame:
+    """An item's highlights, oldest first; without an item, all, newest first."""
+    if item_id is not None:
+        return highlights.filter(F.col("item_id") == item_id).orderBy("created_ms", "id")
+    return highlights.orderBy(F.desc("created_ms"), "id").limit(limit)
+
+
+def facet_values(items: DataFrame) -> DataFrame:
+    """All values to filter by: facet, value, n."""
+    from .analytics import facets
+
+    rows = items.filter("duplicate_of is null and state <> 'trash'")
+    return facets(rows, {"tag": (F.col("tags"), 100), "topic": (F.col("topics"), 60), "author": (F.coalesce("author.name", "author.handle"), 80), "source": (F.col("source"), 1 << 30)})

@@ -193,3 +193,16 @@ def interest_keywords(titles: DataFrame, stated: tuple[str, ...], topics: list[s
 def numbered(batch: DataFrame, order: list[Column]) -> DataFrame:
     """``batch`` with seq, its order of arrival, where the source gives none. One small batch (at most 500 rows) at a time."""
     return batch.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def interest_profile(items: DataFrame, stated: tuple[str, ...] = (), clusters: int = 3, most: int = 400) -> tuple[list[list[float]], list[str]]:
+    """Interest vectors and keywords: centres of the ``most`` latest saved items' vectors, one vector for each stated interest, and telling words, topics included."""
+    from ..functions.similarity import interest_clusters
+    from .search import embed_query
+
+    saved_items = items.filter("state = 'saved' and duplicate_of is null")
+    rows = saved_items.filter("embedding is not null").orderBy(F.desc("updated_ms"), "id").limit(most).select("embedding").collect()
+    vectors = [[float(x) for x in c] for c in interest_clusters([r["embedding"] for r in rows], clusters)] if rows else []
+    vectors += [embed_query(items, s) for s in stated if s.strip()]
+    topics = saved_items.select(F.explode("topics").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(12)
+    return vectors, interest_keywords(saved_items.select("title", F.col("updated_ms").alias("ts_ms")), stated, [r["t"] for r in topics.collect()])

@@ -98,11 +98,12 @@ def collection_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.matching(items_of(spark, sf_dir), SearchQuery(collection_id="good", starred=True), members).select("id", "score")
 
 
-@query("SELECT sha256(url) AS url_hash, CAST(min(page_id) AS VARCHAR) AS id FROM pages WHERE page_id % 3 = 0 GROUP BY url")
+@query("SELECT sha256(url) AS url_hash, CAST(min(page_id) AS VARCHAR) AS id FROM pages GROUP BY url")
 def check_known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("url_hash", urls.url_hash(F.col("url")))
-    known = pages.filter("page_id % 3 = 0").groupBy("url_hash").agg(F.min("page_id").cast("string").alias("id"))
-    return filters.known_urls(known, pages.select("url_hash"))
+    pages = table(spark, sf_dir, "pages")
+    known = pages.groupBy("url").agg(F.min("page_id").cast("string").alias("id")).select(urls.url_hash(F.col("url")).alias("url_hash"), "id")
+    asked = pages.select(F.explode(F.array("url", F.concat("url", F.lit("#unknown")))).alias("u")).select(urls.url_hash(F.col("u")).alias("url_hash"))
+    return filters.known_urls(known, asked)
 
 
 @query("""SELECT count(*) AS items, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS saved, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS "read",
@@ -112,7 +113,7 @@ def totals_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.totals(e, F.col("user_id"), F.col("value"), F.col("event_type") == "purchase", F.col("event_type") == "view", F.lit(60))
 
 
-EVENT_MS = "epoch_ms(ts)"
+EVENT_MS = "(epoch_us(ts) // 1000)"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +399,7 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    near = ranking.nearest_vectors(v, v.filter("id % 100 = 0"), 40).select("query_id", "id", F.col("similarity").alias("fused"))
+    near = ranking.nearest_vectors(v, v.filter("id % 20 = 0"), 40).select("query_id", "id", F.col("similarity").alias("fused"))
     return ranking.diversified(near.join(v.select("id", "embedding"), "id"), 0.7, 20)
 
 
@@ -447,6 +448,46 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.last_wins(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
+@query("""WITH o AS (SELECT sha256('https://example.org/' || doc_id) AS h, substr(text, 1, 60) AS title, ['t' || (doc_id % 3), 't' || (doc_id % 5 + 3)] AS tags, doc_id % 900 AS secs FROM documents),
+  n AS (SELECT sha256('https://example.org/' || doc_id) AS h, CASE WHEN quality = 1 THEN 'graded ' || doc_id ELSE '' END AS title, ['graded', 't1'] AS tags, 450 AS secs FROM labels UNION ALL SELECT sha256('https://example.org/benchmark/' || item_id), substr(text, 1, 60), CAST(NULL AS VARCHAR[]), 5 FROM benchmark)
+  SELECT coalesce(o.h, n.h) AS url_hash, coalesce(nullif(n.title, ''), o.title) AS title, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.tags, []), coalesce(n.tags, [])))), ',') AS tags, CAST(greatest(coalesce(o.secs, n.secs), coalesce(n.secs, o.secs)) AS INTEGER) AS secs, CASE WHEN o.h IS NULL THEN 'new' ELSE 'old' END AS state FROM o FULL JOIN n ON o.h = n.h""")
+def upsert_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..schema import ITEM
+    from .ingestion import upserted
+
+    def item(rows: DataFrame, **given) -> DataFrame:
+        return rows.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ITEM))
+
+    at = lambda path, c: F.concat(F.lit(f"https://example.org/{path}"), F.col(c))
+    n = F.col("doc_id")
+    tags = F.array(F.concat(F.lit("t"), (n % 3).cast("string")), F.concat(F.lit("t"), (n % 5 + 3).cast("string")))
+    old = item(table(spark, sf_dir, "documents"), url_hash=urls.url_hash(at("", "doc_id")), title=F.substring("text", 1, 60), tags=tags, reading_time_sec=n % 900, state=F.lit("old"))
+    graded = item(table(spark, sf_dir, "labels"), url_hash=urls.url_hash(at("", "doc_id")), title=F.when(F.col("quality") == 1, F.concat(F.lit("graded "), n)).otherwise(""), tags=F.array(F.lit("graded"), F.lit("t1")), reading_time_sec=F.lit(450), state=F.lit("new"))
+    added = item(table(spark, sf_dir, "benchmark"), url_hash=urls.url_hash(at("benchmark/", "item_id")), title=F.substring("text", 1, 60), reading_time_sec=F.lit(5), state=F.lit("new"))
+    out = upserted(old, graded.union(added))
+    return out.select("url_hash", "title", F.array_join(F.sort_array(F.coalesce("tags", F.array().cast("array<string>"))), ",").alias("tags"), F.col("reading_time_sec").alias("secs"), "state")
+
+
+_ACTIONS = {"purchase": "item.save", "error": "item.trash", "signup": "item.shortlist", "click": "item.star", "view": "item.read"}
+
+
+@query(f"""{ITEMS}, l AS (SELECT printf('d%08d', user_id) AS id, event_type, {EVENT_MS} AS ms, event_id FROM events), g AS (SELECT id, arg_max(CASE event_type WHEN 'purchase' THEN 'saved' WHEN 'error' THEN 'trash' ELSE 'shortlist' END, (ms, event_id)) FILTER (event_type IN ('purchase', 'error', 'signup')) AS st,
+  bool_or(event_type = 'click') AS star, max(ms) FILTER (event_type = 'view') AS seen FROM l GROUP BY id) SELECT items.id, coalesce(st, state) AS state, CASE WHEN star THEN true ELSE starred END AS starred, coalesce(seen, read_ms) AS read_ms FROM items LEFT JOIN g ON items.id = g.id""")
+def apply_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ingestion import apply_actions
+
+    kinds = F.create_map(*(F.lit(x) for kv in _ACTIONS.items() for x in kv))
+    ledger = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.col("at_ms").alias("ts_ms"), kinds[F.col("event_type")].alias("type"), F.format_string("d%08d", "user_id").alias("item_id"), F.col("event_id").cast("string").alias("call_id"), F.lit(None).cast("string").alias("value"))
+    return apply_actions(items_of(spark, sf_dir), ledger).select("id", "state", "starred", "read_ms")
+
+
+@query(f"""{ITEMS} SELECT count(*) AS items, count(*) FILTER (NOT twin) AS canonical, count(DISTINCT source) AS sources, min(published_ms) AS first_ms, max(published_ms) AS last_ms FROM items""")
+def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.maintenance import stats
+
+    return stats(items_of(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))).drop("vectors")
+
+
 @query(f"{ITEMS} SELECT 'strong' AS search_id, count(*) AS n FROM items WHERE NOT twin AND state <> 'trash' AND score >= 50 AND published_ms > {300 * HOUR} UNION ALL SELECT 'french', count(*) FROM items WHERE NOT twin AND state <> 'trash' AND lang = 'fr' AND list_contains(tags, 't1')  AND published_ms > 0")
 def saved_view_new_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     searches = [{"id": "strong", "query": '{"q": "ignored", "min_score": 50}', "last_seen_ms": 300 * HOUR}, {"id": "french", "query": '{"lang": "fr", "tags": ["t1"]}', "last_seen_ms": None}]

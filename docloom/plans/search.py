@@ -93,3 +93,10 @@ def ask(items: DataFrame, turns: list[tuple[str, str]], top: int = 12, lexicon:
 
 def smart(items: DataFrame, query: SearchQuery, members: DataFrame | None = None) -> DataFrame:
     return search(items, replace(query, cursor=None), members=members).items
+
+
+def context_block(items: DataFrame, limit: int = 1200) -> str:
+    """Numbered context of a bounded, ordered list of items (title, url, summary, content)."""
+    text = F.substring(F.coalesce(F.nullif("content", F.lit("")), "summary", F.lit("")), 1, limit)
+    rows = items.select("title", "url", text.alias("text")).collect()
+    return "\n\n".join(f"[{i}] {r['title'] or r['url']}\n{r['url']}\n{r['text']}" for i, r in enumerate(rows, 1))

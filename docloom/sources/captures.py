@@ -187,6 +187,84 @@ def from_captures(captures: DataFrame, payload_col: str, kind: str) -> DataFrame
     return spark.sql(f"SELECT c.*, r.* FROM docloom_captures c, LATERAL captured_rows(c.`{payload_col}`) r")
 
 
+class _Cards(HTMLParser):
+    """Elements that ``opens`` takes, each with its links, times, images, and the texts of marked parts inside it."""
+
+    def __init__(self, opens: Callable[[str, dict], bool]) -> None:
+        super().__init__(convert_charrefs=True)
+        self.opens, self.cards, self.stack = opens, [], []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a = {k: v or "" for k, v in attrs}
+        card = next((s[1] for s in reversed(self.stack) if s[1]), None)
+        if card is None and self.opens(tag, a):
+            card = {"links": [], "times": [], "images": [], "labels": {}, "texts": {}}
+            self.cards.append(card)
+        mark = a.get("data-testid") or a.get("class", "").split(" ")[0]
+        if card is not None:
+            for kind, name in (("links", "href"), ("times", "datetime"), ("images", "src")):
+                if a.get(name):
+                    card[kind].append(a[name])
+            if mark and a.get("aria-label"):
+                card["labels"].setdefault(mark, a["aria-label"])
+        if tag not in ("br", "img", "input", "hr", "meta", "link", "source"):
+            self.stack.append((tag, card, mark))
+
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
+                return
+
+    def handle_data(self, data: str) -> None:
+        for mark, card in {(m, id(c)): (m, c) for _, c, m in self.stack if c is not None and m}.values():
+            card["texts"][mark] = card["texts"].get(mark, "") + data
+
+
+def cards(html: str | None, opens: Callable[[str, dict], bool]) -> list[dict]:
+    parser = _Cards(opens)
+    parser.feed(html or "")
+    parser.close()
+    return parser.cards
+
+
+def posts_of_page(html: str | None, most: int = 60) -> list[tuple]:
+    """Posts of a rendered page: identity by the permalink, counts by their labels; the first of each URL."""
+    out: dict[str, tuple] = {}
+    for c in cards(html, lambda tag, a: tag == "article" and (a.get("data-testid") == "tweet" or a.get("role") == "article")):
+        link = next((m for h in c["links"] if "/analytics" not in h and (m := re.match(r"/(\w{1,20})/status/(\d+)", h, re.ASCII))), None)
+        body = c["texts"].get("tweetText", "").strip()
+        if not link or not body or len(out) >= most:
+            continue
+        count = lambda mark, c=c: compact((re.search(r"[\d.,]+[KMB]?", c["labels"].get(mark) or c["texts"].get(mark, "")) or [None])[0])
+        url = f"https://x.com/{link[1]}/status/{link[2]}"
+        telling = next((x.strip() for x in body.split("\n") if len(x.strip()) > 12), body)
+        out.setdefault(url, _row(url=url, source="x", source_id=link[2], kind="post", title=telling[:200], content=body, author_name=c["texts"].get("User-Name", "").split("@")[0].strip() or link[1], author_handle=link[1], likes=count("like"), reposts=count("retweet"), replies=count("reply"), media=[i for i in c["images"] if "twimg.com" in i][:4], published_ms=_iso(c["times"])))
+    return list(out.values())
+
+
+def notes_of_page(html: str | None, most: int = 60) -> list[tuple]:
+    """Notes of a rendered page: an open note's card, with its text, replaces the stub of the grid."""
+    out: dict[str, tuple] = {}
+    for c in cards(html, lambda tag, a: "note-item" in a.get("class", "") or "note-container" in a.get("class", "")):
+        link = next((m for h in c["links"] if (m := re.search(r"/(?:explore|discovery/item)/([0-9a-fA-F]{16,32})", h))), None)
+        title, body = c["texts"].get("title", "").strip(), c["texts"].get("desc", "").strip()
+        if not link or not (title or body):
+            continue
+        url = f"https://www.xiaohongshu.com/explore/{link[1].lower()}"
+        row = _row(url=url, source="xiaohongshu", source_id=link[1].lower(), kind="note", title=(title or body)[:300], content="\n\n".join(x for x in (title, body) if x), lang="zh", author_name=c["texts"].get("author", c["texts"].get("name", "")).strip() or None, likes=number(c["texts"].get("count")), media=[i for i in c["images"] if i.startswith("http")][:8])
+        if url not in out or (body and len(row[5]) > len(out[url][5] or "")):
+            out[url] = row
+    return list(out.values())[:most]
+
+
+def _iso(times: list[str]) -> int | None:
+    try:
+        return int(datetime.fromisoformat(times[0].replace("Z", "+00:00")).timestamp() * 1000) if times else None
+    except ValueError:
+        return None
+
+
 # Weights of page containers.
 _GOOD = re.compile(r"article|content|post|entry|main|body|story|text|markdown", re.IGNORECASE)
 _BAD = re.compile(r"comment|nav|footer|header|sidebar|menu|promo|related|share|ad-|advert|cookie|banner|modal", re.IGNORECASE)

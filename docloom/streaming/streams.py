@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "1 hour"
 
@@ -45,30 +45,20 @@ def echo_stream(left: DataFrame, right: DataFrame, key: str, time: str = "ts", s
     return a.join(b, (F.col("a_key") == F.col("b_key")) & near & (F.col("a") != F.col("b")))
 
 
-class _FirstSeen(StatefulProcessor):
-    """Lets a key's first row pass, and once more the first row with a full body."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "full boolean", ttlDurationMs=7 * 86_400_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        state = self.seen.get() if self.seen.exists() else None
-        known, full = state is not None, bool(state and state[0])
-        for batch in rows:
-            for i in range(len(batch)):
-                has = bool(batch["full"].iloc[i])
-                if not known or (has and not full):
-                    known, full = True, full or has
-                    yield batch.iloc[i : i + 1]
-        self.seen.update((full,))
-
-    def close(self) -> None:
-        return None
+def _first_seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    known, full = state.exists, bool(state.exists and state.get[0])
+    for rows in batches:
+        for i in range(len(rows)):
+            has = bool(rows["full"].iloc[i])
+            if not known or (has and not full):
+                known, full = True, full or has
+                yield rows.iloc[i : i + 1].astype(object)
+    state.update((full,))
 
 
 def first_seen(rows: DataFrame) -> DataFrame:
-    """Rows (url, full, ...) of a stream: the first of each URL, and one upgrade to a full body. State lives seven days."""
-    return rows.groupBy("url").transformWithStateInPandas(statefulProcessor=_FirstSeen(), outputStructType=rows.schema, outputMode="Append", timeMode="ProcessingTime")
+    """Rows (url, full, ...) of a stream: the first of each URL, and one upgrade to a full body. State is one flag a URL; where URLs never end, ``unique_events`` bounds it by a watermark."""
+    return rows.groupBy("url").applyInPandasWithState(_first_seen, rows.schema, "full boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def last_observation(batch: DataFrame, keys: list[str], order: str) -> DataFrame:

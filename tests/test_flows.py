@@ -149,3 +149,41 @@ def test_ingest_stream(spark, tmp_path):
     rows = spark.readStream.schema("url string, seq long, v int").json(str(source))
     ingest_stream(rows, lambda df, n: seen.extend((r["url"], r["v"]) for r in df.collect()), str(tmp_path / "state")).awaitTermination()
     assert sorted(seen) == [("a", 3), ("b", 2)]
+
+
+def test_rendered_pages():
+    page = '<main><article data-testid="tweet"><div data-testid="User-Name">Bob @bob</div><a href="/bob/status/42">t</a><time datetime="2024-01-02T03:04:05Z"></time><div data-testid="tweetText">A post with <b>bold</b> words</div><button data-testid="like" aria-label="1.2K likes"></button><img src="https://pbs.twimg.com/a.jpg"></article><article>none</article></main>'
+    row = dict(zip(captures.CAPTURED.fieldNames(), captures.posts_of_page(page)[0], strict=True))
+    assert row["url"] == "https://x.com/bob/status/42" and row["content"] == "A post with bold words" and row["likes"] == 1200 and row["published_ms"] == 1704164645000 and row["author_name"] == "Bob"
+    stub = '<section class="note-item"><a href="/explore/64ab00000000000000000001">x</a><span class="title">标题</span><span class="count">1.2万</span></section>'
+    full = '<div class="note-container"><a href="/explore/64AB00000000000000000001">x</a><div class="title">标题</div><div class="desc">正文很长</div></div>'
+    rows = captures.notes_of_page(stub + full)
+    assert len(rows) == 1 and "正文" in rows[0][5] and captures.notes_of_page(stub)[0][11] == 12_000
+    assert captures.posts_of_page(None) == []
+
+
+def test_profile_and_detail(spark, table):
+    from docloom.operators import library
+    from docloom.schema import COLLECTION, COLLECTION_ITEM, HIGHLIGHT
+
+    items, _ = table
+    kept = items.withColumn("state", F.when(F.col("duplicate_of").isNull(), "saved").otherwise(F.col("state")))
+    vectors, words = ingestion.interest_profile(kept, ("spark joins",))
+    assert len(vectors) == 3 and "spark joins" in words
+    ident = items.filter("url = 'https://a.example/1'").first()["id"]
+    detail = library.item_detail(items, ident, spark.createDataFrame([("h", ident, "mark", None, None, 1)], HIGHLIGHT), spark.createDataFrame([("c", "Reading", None, None, 1.0, None, 0)], COLLECTION), spark.createDataFrame([("c", ident, 1.0, None, 0)], COLLECTION_ITEM)).first()
+    assert detail["highlights"][0]["text"] == "mark" and detail["collections"] == ["Reading"]
+    assert "[1] Shuffle costs" in search.context_block(items.filter(F.col("id") == ident))
+    assert ingestion.backfill(items).filter("duplicate_of is null and embedding is null").count() == 0
+
+
+def test_first_seen_stream(spark, tmp_path):
+    from docloom.streaming import first_seen
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text("\n".join(json.dumps({"url": u, "full": f, "v": v}) for v, (u, f) in enumerate([("a", False), ("a", False), ("b", True), ("a", True), ("a", True)])))
+    rows = spark.readStream.schema("url string, full boolean, v int").json(str(source))
+    first_seen(rows).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["url"], r["full"]) for r in spark.read.schema(rows.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", False), ("a", True), ("b", True)]

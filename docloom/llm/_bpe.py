@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -18,24 +19,15 @@ _ODD = re.compile("[\x1c-\x1f]")
 
 
 class _Index(dict):
-    """Chunk to number. Chunks of the generation before are taken over as they are met again."""
+    """Chunk to number, in order of meeting."""
 
-    def __init__(self, old: dict[str, int]) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.old = old
-        self.new: list[str] = []
-        self.new_at: list[int] = []
-        self.moved: list[int] = []
-        self.moved_at: list[int] = []
+        self.fresh: list[str] = []
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = at = len(self)
-        if (was := self.old.get(chunk)) is None:
-            self.new.append(chunk)
-            self.new_at.append(at)
-        else:
-            self.moved.append(was)
-            self.moved_at.append(at)
+        self.fresh.append(chunk)
         return at
 
 
@@ -51,7 +43,7 @@ class _Store:
         before = np.cumsum(sizes) - sizes
         return self.flat[np.repeat(self.starts[at] - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
-    def put(self, places: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def put(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         need = self.used + len(ids)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * need - self.used, np.uint32)])
@@ -64,32 +56,38 @@ class _Store:
 class ChunkEncoder:
     """``keep_space``: chunks keep the white space before them; False for vocabularies that drop it. ``cached``: chunks of a generation; two are held."""
 
-    def __init__(self, path: str, keep_space: bool = True, cached: int = 300_000) -> None:
+    def __init__(self, path: str, keep_space: bool = True, cached: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.pattern = _SPACED if keep_space else _BARE
-        self.index, self.store, self.old_store = _Index({}), _Store(), _Store()
+        # Chunks of the generation before are taken over as they are met again.
+        self.index, self.store = _Index(), _Store()
+        self.old_index, self.old_store = _Index(), _Store()
 
     def _learn(self) -> None:
-        index, store = self.index, self.store
-        grown = np.zeros(len(index) - len(store.starts), np.int64)
+        store, fresh = self.store, self.index.fresh
+        if not fresh:
+            return
+        base = len(store.starts)
+        grown = np.zeros(len(fresh), np.int64)
         store.starts, store.sizes = np.concatenate([store.starts, grown]), np.concatenate([store.sizes, grown])
-        if index.new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(index.new, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in found], np.int64)
-            store.put(index.new_at, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes)
-        if index.moved:
-            store.put(index.moved_at, *self.old_store.gather(np.array(index.moved)))
-        index.new, index.new_at, index.moved, index.moved_at = [], [], [], []
+        was = np.fromiter(map(self.old_index.get, fresh, repeat(-1)), np.int64, len(fresh))
+        moved, new = np.flatnonzero(was >= 0), np.flatnonzero(was < 0)
+        if len(new):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([fresh[i] for i in new] if len(moved) else fresh, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            store.put(base + new, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        if len(moved):
+            store.put(base + moved, *self.old_store.gather(was[moved]))
+        self.index.fresh = []
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of ``texts`` one after another, and how many each text has; null is empty."""
         if len(self.index) > self.cached:
-            self.old_store, self.store = self.store, _Store()
-            self.index.old = {}
-            self.index = _Index(self.index)
+            self.old_index, self.old_store = self.index, self.store
+            self.index, self.store = _Index(), _Store()
         index, pattern, known, counts = self.index, self.pattern, [], []
         for text in texts:
             text = text or ""

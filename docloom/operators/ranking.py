@@ -147,8 +147,11 @@ def keyword_search(documents: DataFrame, q: str, limit: int, relax: bool = False
     exact = sorted({t for c in clauses for p in c.phrases for t in (p[:-1] if c.prefix else p)})
     prefixes = sorted({p[-1] for c in clauses if c.prefix for p in c.phrases})
     wanted = lambda t: (t.isin(*exact) if exact else F.lit(False)) | (t.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")") if prefixes else F.lit(False))
-    parts = F.flatten(F.array(*(F.filter(F.transform(F.col(c), _placed(c, w)), lambda x: wanted(x["term"])) for c, w in columns.items())))
-    hits = documents.select("id", parts.alias("hits"), sum((F.size(c) for c in columns), F.lit(0)).alias("length")).filter(F.size("hits") > 0)
+    hit = None
+    for name, weight in columns.items():
+        part = documents.select("id", F.posexplode(name).alias("pos", "term")).filter(wanted(F.col("term"))).select("id", F.struct("term", F.lit(name).alias("col"), "pos", F.lit(weight).alias("w")).alias("hit"))
+        hit = part if hit is None else hit.union(part)
+    hits = hit.groupBy("id").agg(F.sort_array(F.collect_list("hit")).alias("hits")).join(lengths, "id")  # hits of one document
 
     def phrase(words: tuple[str, ...], prefix: bool) -> Column:
         """Weight of all places where the phrase stands."""

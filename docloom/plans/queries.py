@@ -346,7 +346,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BODY = {"body": 1.0}
-_WORDS = ("erthe", "tion", "ver")
+_WORDS = ("the", "tion", "ere")
 
 
 def _bm25(words: tuple[str, ...]) -> str:

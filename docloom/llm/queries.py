@@ -24,9 +24,9 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .backoff_scores import backoff_scores
+    from .backoff_scores import whole_scores
 
-    return backoff_scores(table(spark, sf_dir, "documents"))
+    return whole_scores(table(spark, sf_dir, "documents"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

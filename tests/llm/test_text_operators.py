@@ -199,6 +199,33 @@ def test_op1_scores(spark, messy, empty):
     assert backoff_scores(empty).count() == 0
 
 
+def test_op1_scores_count_every_word(spark, messy, empty, tmp_path):
+    """More distinct words than any fixed vocabulary holds, each seen twice and each in bigrams of its own."""
+    from docloom.llm.queries import op1_backoff_scores
+
+    n = 70_000
+    lines = [" ".join(f"u{j}" for j in range(a, a + 1000)) for a in range(0, n, 1000)]
+    rows = [(i, t, None, None) for i, t in enumerate(lines + lines)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for k, frame in enumerate((many, messy)):
+        docs: dict = {}
+        for i, t, _ in rows_of(frame):
+            docs.setdefault(i, []).append(WORD.findall(t.translate(FOLD)))
+        every = [x for parts in docs.values() for x in parts]
+        uni, pairs = Counter(w for x in every for w in x), Counter(p for x in every for p in zip(x, x[1:], strict=False))
+        total = sum(uni.values())
+        want = {i: sum(math.log(pairs[x[j - 1], w] / uni[x[j - 1]]) if j else math.log(uni[w] / total) for x in parts for j, w in enumerate(x)) for i, parts in docs.items()}
+        frame.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        got = {r["doc_id"]: r for r in op1_backoff_scores(spark, f"{tmp_path}/{k}").collect()}
+        assert set(got) == set(docs)
+        for i, parts in docs.items():
+            assert got[i]["n_words"] == sum(map(len, parts))
+            assert got[i]["log_score"] == pytest.approx(want[i], rel=1e-9, abs=1e-9)
+            assert (got[i]["mean_log_score"] is None) == (got[i]["n_words"] == 0)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op1_backoff_scores(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_chunk_encoder_equals_the_library():
     import random
 

@@ -226,6 +226,14 @@ def test_op1_scores_count_every_word(spark, messy, empty, tmp_path):
     assert op1_backoff_scores(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_op1_scores_use_bigrams_seen_once(spark, tmp_path):
+    from docloom.llm.queries import op1_backoff_scores
+
+    spark.createDataFrame([(1, "a b a c"), (2, "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log_score"] for r in op1_backoff_scores(spark, str(tmp_path)).collect()}
+    assert got == {1: pytest.approx(math.log(2 / 5) + math.log(1 / 2) + math.log(1 / 2) + math.log(1 / 2)), 2: pytest.approx(math.log(2 / 5))}
+
+
 def test_chunk_encoder_equals_the_library():
     import random
 

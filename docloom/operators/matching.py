@@ -78,26 +78,49 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.transform("v", lambda e: F.when(F.col("norm") > 0, e["x"] / F.col("norm")).otherwise(e["x"])).alias("centroid"))
 
 
-def first_come(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def first_come(nodes: DataFrame, edges: DataFrame | None = None, fingerprints: DataFrame | None = None, most: int = DUPLICATE_DISTANCE) -> DataFrame:
     """Which items are canonical: an item is, unless an *earlier canonical* item matches it.
 
-    ``nodes``: id, seq. ``edges``: a, b, weight (smaller is nearer), in either direction. Returns id, duplicate_of (null: canonical), the nearest canonical earlier match, ties to the
-    smaller identifier. Each round settles all items whose earlier matches are all settled; what is settled is written to the shared folder.
+    ``nodes``: id, seq. ``edges``: a, b, weight (smaller is nearer), in either direction. ``fingerprints``: id, simhash; items at most ``most`` bits apart match, their distance is the weight. Returns id,
+    duplicate_of (null: canonical), the nearest canonical earlier match, ties to the smaller identifier. Each round settles all items that a canonical one beats, or whose earlier matches are all settled, until
+    none is open (the earliest open item always settles); what is settled is written to the shared folder.
+
+    Equal fingerprints are one class, which has one canonical item at most. Only classes are paired: an item asks for the first open and the first canonical item in reach of its class, so a text that a third of
+    all rows share makes no square.
     """
-    order = nodes.select("id", "seq")
-    both = edges.select("a", "b", "weight").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    order, at = nodes.select("id", "seq"), F.struct("seq", "id")
+    if edges is None:
+        edges = order.filter("false").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("weight"))
+    if fingerprints is None:
+        fingerprints = order.filter("false").select("id", F.lit("").alias("simhash"))
+    both = edges.select("a", "b", F.col("weight").cast("double").alias("weight"))
+    both = both.union(both.select("b", "a", "weight"))
     older = both.join(order.select(F.col("id").alias("a"), F.col("seq").alias("a_seq")), "a").join(order.select(F.col("id").alias("b"), F.col("seq").alias("b_seq")), "b")
     older = saved(older.filter((F.col("a_seq") < F.col("b_seq")) | ((F.col("a_seq") == F.col("b_seq")) & (F.col("a") < F.col("b")))).groupBy("a", "b").agg(F.min("weight").alias("weight")))
-    settled = saved(order.join(older.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("canonical")))
-    for _ in range(rounds):
-        open_ = order.join(settled, "id", "left_anti").select("id")
+    valid = fingerprints.filter((F.length("simhash") == 16) & (F.col("simhash") != "0" * 16)).select("id", "simhash")
+    items = saved(order.filter("id is not null").join(valid, "id", "left"))
+    classes = items.filter("simhash is not null").select("simhash").distinct()
+    pairs = band_pairs(classes.select(F.col("simhash").alias("id"), "simhash"), most)
+    near = saved(pairs.union(pairs.select("b", "a", "distance")).union(classes.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"), F.lit(0).alias("distance"))))
+    settled = items.filter("false").select("id", F.lit(True).alias("canonical"))
+    while True:
+        marked = saved(items.join(settled, "id", "left"))
+        open_ = marked.filter("canonical is null").drop("canonical")
         if open_.isEmpty():
             break
-        seen = older.join(open_.withColumnRenamed("id", "b"), "b").join(settled.withColumnRenamed("id", "a"), "a", "left")
-        state = seen.groupBy("b").agg(F.max(F.col("canonical").cast("int")).alias("beaten"), F.max(F.col("canonical").isNull().cast("int")).alias("waits"))
-        new = state.filter((F.col("beaten") == 1) | (F.col("waits") == 0)).select(F.col("b").alias("id"), (F.coalesce("beaten", F.lit(0)) == 0).alias("canonical"))
+        firsts = marked.filter("simhash is not null").groupBy(F.col("simhash").alias("b")).agg(F.min(F.when(F.col("canonical"), at)).alias("known"), F.min(F.when(F.col("canonical").isNull(), at)).alias("next"))
+        reach = near.join(firsts, "b").groupBy(F.col("a").alias("simhash")).agg(F.min("known").alias("known"), F.min("next").alias("next"))
+        seen = older.join(open_.select(F.col("id").alias("b")), "b").join(settled.withColumnRenamed("id", "a"), "a", "left")
+        state = seen.groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce("canonical", F.lit(False))).alias("beaten"), F.max(F.col("canonical").isNull()).alias("waits"))
+        beaten = F.coalesce(F.col("known") < at, F.lit(False)) | F.coalesce("beaten", F.lit(False))
+        waits = F.coalesce(F.col("next") < at, F.lit(False)) | F.coalesce("waits", F.lit(False))
+        new = open_.join(reach, "simhash", "left").join(state, "id", "left").filter(beaten | ~waits).select("id", (~beaten).alias("canonical"))
         settled = saved(settled.union(new))
-    parents = older.join(settled.filter("canonical").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("weight", "a")).alias("x"))
+    best = items.join(settled.filter("canonical").select("id"), "id")
+    choices = near.join(best.select(F.col("simhash").alias("b"), F.col("id").alias("match"), at.alias("at")), "b").groupBy(F.col("a").alias("simhash")).agg(F.collect_list(F.struct(F.col("distance").cast("double").alias("weight"), F.col("match").alias("a"), "at")).alias("choices"))
+    alike = items.join(choices, "simhash").select("id", F.array_min(F.filter("choices", lambda c: c["at"] < at)).alias("x")).filter("x is not null").select("id", "x.weight", "x.a")
+    linked = older.join(best.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id"), "weight", "a")
+    parents = alike.union(linked).groupBy("id").agg(F.min(F.struct("weight", "a")).alias("x"))
     return order.join(parents, "id", "left").select("id", F.col("x.a").alias("duplicate_of"))
 
 

@@ -13,7 +13,7 @@ from ..functions.similarity import cosine, hash_embed, item_text, simhash
 from ..functions.text import detect_lang, excerpt, normalise_text, reading_time_sec
 from ..functions.urls import canonical_url, url_hash
 from ..operators.filters import rejection
-from ..operators.matching import band_pairs, echo_candidates, first_come, last_wins, max_similarity, saved
+from ..operators.matching import echo_candidates, first_come, last_wins, max_similarity, saved
 from ..schema import ITEM, violations
 
 #: Least cosine of an echo for hashed embeddings.
@@ -58,14 +58,12 @@ def enrich(batch: DataFrame, settings: Settings, lexicon: Lexicon = DEFAULT) ->
 
 def duplicates(items: DataFrame) -> DataFrame:
     """id, duplicate_of of items (id, seq, url_hash, simhash, embedding, entities, times): near fingerprints first, then echoes within 72 hours. An item never matches its own URL."""
-    pairs = band_pairs(items.select("id", "simhash")).select("a", "b", F.col("distance").cast("double").alias("weight"))
     vectors = items.select("id", "embedding")
     echoes = echo_candidates(items).filter(F.col("a") < F.col("b"))
     echoes = echoes.join(vectors.select(F.col("id").alias("a"), F.col("embedding").alias("va")), "a").join(vectors.select(F.col("id").alias("b"), F.col("embedding").alias("vb")), "b")
     echoes = echoes.withColumn("cosine", cosine(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= ECHO_COSINE)
     # Any fingerprint distance (0 to 3) is nearer than any echo (10 to 11).
-    edges = pairs.union(echoes.select("a", "b", (11 - F.col("cosine")).alias("weight")))
-    return first_come(items.select("id", "seq"), edges)
+    return first_come(items.select("id", "seq"), echoes.select("a", "b", (11 - F.col("cosine")).alias("weight")), items.select("id", "simhash"))
 
 
 def scored(items: DataFrame, settings: Settings, interests: list[list[float]] | None = None, authors: DataFrame | None = None, keywords: list[str] | None = None, similarity: DataFrame | None = None) -> DataFrame:

@@ -328,8 +328,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dedup_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = matching.saved(simhash_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "simhash"))
-    edges = matching.band_pairs(hashed).select("a", "b", F.col("distance").alias("weight"))
-    return matching.first_come(hashed.select("id", F.col("id").alias("seq")), edges)
+    return matching.first_come(hashed.select("id", F.col("id").alias("seq")), fingerprints=hashed)
 
 
 @query(f"""WITH a AS (SELECT doc_id, list_distinct({TOKENS}) AS t FROM documents), b AS (SELECT item_id, list_distinct({TOKENS}) AS t FROM benchmark),

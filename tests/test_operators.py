@@ -58,6 +58,36 @@ def test_first_come(spark):
     assert {r["id"]: r["duplicate_of"] for r in got.collect()} == expected
 
 
+def test_first_come_compares_every_copy(spark):
+    """Copies of a text that is near an earlier one, in an order of arrival that is not that of the identifiers, with links besides."""
+    rng = random.Random(11)
+    base = rng.getrandbits(64)
+    kinds = [base, base ^ 3, base ^ 3 ^ (7 << 20), base ^ (15 << 40), 0, *(rng.getrandbits(64) for _ in range(3))]
+    rows = [(i, s, kinds[k]) for (i, k), s in zip([(9, 0), (2, 1), (3, 1), (4, 1), *((10 + i, rng.randrange(len(kinds))) for i in range(60))], range(64), strict=True)]
+    edges = [(a, b, 10.5) for a, b in ((rng.choice(rows)[0], rng.choice(rows)[0]) for _ in range(12)) if a != b]
+    for links in ([], edges):
+        expected: dict = {}
+        done: list = []
+        for i, _, v in rows:  # in the order of arrival
+            found = [((v ^ w).bit_count(), j) for j, w in done if v and w and (v ^ w).bit_count() <= 3 and expected[j] is None]
+            found += [(weight, j) for j, _ in done for a, b, weight in links if {a, b} == {i, j} and expected[j] is None]
+            expected[i] = min(found)[1] if found else None
+            done.append((i, v))
+        nodes = spark.createDataFrame([(i, s, f"{v:016x}") for i, s, v in rows], "id long, seq long, simhash string")
+        got = matching.first_come(nodes.select("id", "seq"), spark.createDataFrame(links, "a long, b long, weight double"), nodes.select("id", "simhash"))
+        assert {r["id"]: r["duplicate_of"] for r in got.collect()} == expected
+    assert [expected[i] for i in (9, 2, 3, 4)] == [None, 9, 9, 9]
+
+
+def test_ingestion_folds_copies_near_an_earlier_text(spark):
+    from docloom.plans.ingestion import duplicates
+
+    a, b = f"{0xABCDEF0123456789:016x}", f"{0xABCDEF0123456789 ^ 3:016x}"
+    rows = [("9", 0, a), ("2", 1, b), ("3", 2, b), ("4", 3, b)]
+    items = spark.createDataFrame([(i, s, i, h, [1.0, 0.0], [], 0, 0) for i, s, h in rows], "id string, seq long, url_hash string, simhash string, embedding array<float>, entities array<struct<name:string,type:string>>, published_ms long, captured_ms long")
+    assert {r["id"]: r["duplicate_of"] for r in duplicates(items).collect()} == {"9": None, "2": "9", "3": "9", "4": "9"}
+
+
 def test_window_pairs(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice("ab"), rng.randint(0, 1000)) for i in range(60)]

@@ -2,7 +2,7 @@
 
 A text is cut before every white-space run, and between a Latin letter and an ASCII mark after it. The pre-tokenizers of byte-level BPE vocabularies always have a
 boundary there, so chunks can be encoded apart and their ids joined. A text with one of U+001C-U+001F, which Python counts as white space and the library
-does not, is encoded whole.
+does not, is encoded whole. U+0130 is no letter here: in lower case it is two characters, and the second is a mark that goes with the ASCII mark after it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-_WORD = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[!-/:-@\[-`{-~])"
+_WORD = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]++(?=[!-/:-@\[-`{-~])"
 _SPACED, _BARE = re.compile(rf"\s*+(?:{_WORD}|\S+)|\s+"), re.compile(rf"{_WORD}|\S+")
 _ODD = re.compile("[\x1c-\x1f]")
 

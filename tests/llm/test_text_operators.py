@@ -249,6 +249,23 @@ def test_chunk_encoder_equals_the_library():
             assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
 
 
+def test_chunk_encoder_cuts_after_no_letter_that_joins_a_mark():
+    """Every Latin letter before every ASCII mark, and U+0130 among others."""
+    import random
+    import string
+
+    from docloom.llm._bpe import ChunkEncoder
+
+    rng = random.Random(8)
+    texts = [chr(c) + m for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)) for m in string.punctuation]
+    texts += ["".join(rng.choice("abİIı ,.'\"!é\n") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        tool = ChunkEncoder(pt.path(name), spaced)
+        ids, counts = tool.encode(texts)
+        want = [e.ids for e in tool.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_op5_round_trip(spark, messy, empty):
     from tokenizers import Tokenizer
 

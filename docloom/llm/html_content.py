@@ -1,121 +1,167 @@
 """Main text of web pages from parser events, by the text-to-tag ratio of their lines.
 
-The standard library's parser is fed the page in parts; its events make lines (block elements' texts), each with the characters and tags it holds and the
-containers it lies in. Lines that lie in a part of the page which is boilerplate by its element, role, class or id are never content. The ratios of characters to tags, in page order, are
-smoothed with a Gaussian, and lines above the threshold (the smoothed ratios' standard deviation, at most their mean) are content clusters. The
-content region is the innermost container that holds most of the clusters' characters, not looked for below an article or main element; all
-lines of the region that are not boilerplate are the text, so a short paragraph between long ones stays.
-
-Defined results: a null or empty page, or one without text, has an empty text and 0 characters. A page of a few short lines only, none above the threshold, gives
-all that are not boilerplate. Unclosed elements end with their parent, a truncated page with its end. White space is what ``str.split`` takes for it. Repeated rows are
-extracted row by row; extra columns are passed over.
+The standard library's parser gives events, which make a tree of block elements and lines: the text of one block, with the tags and the characters of links it holds, and the element it
+lies in. The ratios of characters to tags of the lines outside boilerplate, in page order, are smoothed with a Gaussian; lines above the threshold (the smoothed ratios' standard deviation, at most
+their mean) are content clusters. They choose the region:
+
+* With article or main elements, the region is the innermost such level that has half of the clusters' characters in such elements: all of them that lie beside one another there, so no sibling is lost.
+* Else it is the innermost element that holds all clusters, and of its lines those from the first to the last cluster, those in an element that has a cluster line itself, and headings right before a
+  cluster. Lines that are mostly links and in no cluster are menus.
+
+Boilerplate is never content. An element is boilerplate by its tag, its role, being hidden (``hidden``, ``aria-hidden``, ``display: none``), or a word of its class or id. Words count by the text that they
+would take: where less than a fifth of the text would be left (and under 200 characters), and nothing of an article, an element with most of the text is no boilerplate. Modifiers (``has-sidebar``, ``no-comments``) are no marks. Of a header inside an
+article or main element the headings stay. Inline boilerplate (a button in a paragraph) is cut out of its line.
+
+Defined results: a null or empty page, or one without text, has an empty text and 0 characters. Unclosed elements end with their parent, a truncated page with its end; an unfinished tag at the end is dropped. White space is what ``str.split`` takes for it. Repeated rows are
+extracted row by row; extra columns are passed over. Time grows with the page, not with the depth of its elements.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._frames import column
+from ._frames import column, small_batches
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas nav header footer aside form button select option textarea menu dialog audio video map".split())
+SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas nav footer aside form button select option textarea menu dialog audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("article body div html main section table td".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLES = frozenset(("article", "main"))
+#: Ended by the next of its kind.
+SINGLE = frozenset("p li td th tr dd dt option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of a class or id that mark boilerplate.
+#: Words of a class or id that mark boilerplate; of an article or main element, only the second.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+ARTICLE_MARKS = frozenset("ad ads advert advertisement comment comments promo promoted related sponsored".split())
+#: A name that begins with one of these says what the page is like.
+MODIFIERS = frozenset("has no non not with without is show hide".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
-_PART = 1 << 16
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_UNFINISHED = re.compile(r"<[A-Za-z/!?]")
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    links: int
+    node: int
+    heading: bool
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags, boilerplate or not, and the path of containers (number, is article or main)."""
+    """Collects lines and the tree of block elements: of each its parent, and whether it is boilerplate for sure, marked, or in a header of an article."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple]] = []
-        self.stack: list[tuple[str, bool, tuple]] = []
-        self.boilerplate, self.path = False, ()
+        self.lines: list[Line] = []
+        self.parent, self.hard, self.marked, self.header = [-1], [False], [False], [False]
+        self.level = [0]  # how many article and main elements are around an element, itself included
+        self.stack: list[tuple[str, int, int, int]] = []  # tag, and what was before it: node, inline elements to skip, links
+        self.open: Counter[str] = Counter()
+        self.node = self.skip = self.anchors = 0
         self.parts: list[str] = []
-        self.tags = self.made = 0
+        self.tags = self.links = 0
+        self.heading = False
 
     def _end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, max(1, self.tags), self.boilerplate, self.path))
+                self.lines.append(Line(text, max(1, self.tags), self.links, self.node, self.heading))
                 self.tags = 0
             self.parts = []
+        self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             self._end_line()
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # ended by the next of its kind
+        if tag in SINGLE and self.open[tag]:
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] == tag:
                     self._pop(i)
                     break
                 if self.stack[i][0] in BLOCKS:
                     break
-        self.stack.append((tag, self.boilerplate, self.path))
-        if not self.boilerplate and (tag in SKIPPED or attrs and self._marked(tag, attrs)):
-            self._end_line()
-            self.boilerplate = True
-        if tag in CONTAINERS:
-            self.made += 1
-            self.path = (*self.path, (self.made, tag in ("article", "main")))
-
-    @staticmethod
-    def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        for name, value in attrs:
-            if not value:
-                if name == "hidden":
-                    return True
-            elif name == "role":
-                if value.strip().lower() in ROLES:
-                    return True
-            elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                if any(w.lower() in MARKS for w in _WORD.findall(value)):
-                    return True
-        return False
+        self.stack.append((tag, self.node, self.skip, self.anchors))
+        self.open[tag] += 1
+        hidden, marked = _marks(tag, attrs) if attrs else (False, False)
+        hard = tag in SKIPPED or hidden
+        if block:
+            inner = self.level[self.node] > 0
+            self.parent.append(self.node)
+            self.hard.append(hard or tag == "header" and not inner)
+            self.marked.append(marked)
+            self.level.append(self.level[self.node] + (tag in ARTICLES))
+            self.header.append(tag == "header" and inner or self.header[self.node])
+            self.node = len(self.parent) - 1
+            self.heading = tag in HEADINGS
+        elif hard or marked:
+            self.skip += 1
+        if tag == "a":
+            self.anchors += 1
 
     def _pop(self, i: int) -> None:
-        _, boilerplate, path = self.stack[i]
+        _, node, skip, anchors = self.stack[i]
+        for tag, *_ in self.stack[i:]:
+            self.open[tag] -= 1
         del self.stack[i:]
-        if boilerplate != self.boilerplate or path != self.path:
+        if node != self.node:
             self._end_line()
-        self.boilerplate, self.path = boilerplate, path
+            self.heading = False
+        self.node, self.skip, self.anchors = node, skip, anchors
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self._end_line()
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self._pop(i)
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.boilerplate and self.stack and self.stack[-1][0] in ("script", "style"):
+        if self.skip:
             return
         self.parts.append(data)
+        if self.anchors:
+            self.links += len(data)
+
 
-    def finish(self) -> list[tuple[str, int, bool, tuple]]:
-        self.close()
-        self._end_line()
-        return self.lines
+def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether attributes hide an element, or make it no content, for sure; and whether its names mark boilerplate."""
+    hidden = marked = False
+    for name, value in attrs:
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            hidden = True
+        elif not value:
+            continue
+        elif name == "role":
+            hidden |= value.strip().lower() in ROLES
+        elif name == "style":
+            hidden |= _HIDDEN.search(value) is not None
+        elif name in ("class", "id") and tag not in ("html", "body"):
+            names = ARTICLE_MARKS if tag in ARTICLES else MARKS
+            for one in value.split():
+                words = [w.lower() for w in _WORD.findall(one)]
+                marked |= bool(words) and words[0] not in MODIFIERS and not names.isdisjoint(words)
+    return hidden, marked
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -126,39 +172,93 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def content(lines: list[tuple[str, int, bool, tuple]], share: float = 0.8) -> list[str]:
+def _sums(parent: list[int], of: list[int], amounts: list[int]) -> list[int]:
+    """Amounts by element, those of the elements in it included; a parent has a smaller number than its children."""
+    out = [0] * len(parent)
+    for node, n in zip(of, amounts, strict=True):
+        out[node] += n
+    for node in range(len(parent) - 1, 0, -1):
+        out[parent[node]] += out[node]
+    return out
+
+
+def _below(parent: list[int], flags: list[bool]) -> list[bool]:
+    """Whether an element or one around it has the flag."""
+    out = list(flags)
+    for node in range(1, len(parent)):
+        out[node] = out[node] or out[parent[node]]
+    return out
+
+
+def boilerplate(page: Lines) -> list[bool]:
+    """Whether each element is, or lies in, boilerplate."""
+    parent = page.parent
+    hard = _below(parent, page.hard)
+    if any(page.marked):
+        strict = _below(parent, [h or m for h, m in zip(page.hard, page.marked, strict=True)])
+        total = sum(len(x.text) for x in page.lines if not hard[x.node])
+        clean = [x for x in page.lines if not strict[x.node]]
+        if sum(len(x.text) for x in clean) >= min(total / 5, 200) or any(page.level[x.node] for x in clean):
+            hard = strict
+        else:
+            held = _sums(parent, [x.node for x in page.lines], [0 if hard[x.node] else len(x.text) for x in page.lines])
+            hard = _below(parent, [h or m and 2 * n <= total for h, m, n in zip(page.hard, page.marked, held, strict=True)])
+    return hard
+
+
+def content(page: Lines) -> list[str]:
     """The texts of the content region."""
+    lines, parent = page.lines, page.parent
+    if not lines:
+        return []
+    out_of = boilerplate(page)
+    lines = [x for x in lines if not out_of[x.node] and (x.heading or not page.header[x.node])]
     if not lines:
         return []
-    ratio = smoothed(np.array([len(text) / tags for text, tags, _, _ in lines]))
-    threshold = min(ratio.std(), ratio.mean())
-    inside = [(text, path) for text, _, boilerplate, path in lines if not boilerplate]
-    weights: dict[tuple, int] = {}
-    total = 0
-    for (text, _, boilerplate, path), r in zip(lines, ratio, strict=True):
-        if not boilerplate and r >= threshold:
-            total += len(text)
-            for depth in range(1, len(path) + 1):
-                weights[path[:depth]] = weights.get(path[:depth], 0) + len(text)
-    region: tuple = ()
-    while total and not (region and region[-1][1]):
-        heavy = [p for p, n in weights.items() if len(p) == len(region) + 1 and p[:-1] == region and n >= (0.5 if p[-1][1] else share) * total]
-        if not heavy:
-            break
-        region = max(heavy, key=weights.get)
-    return [text for text, path in inside if path[: len(region)] == region]
+    ratio = smoothed(np.array([len(x.text) / x.tags for x in lines]))
+    cluster = (ratio >= min(ratio.std(), ratio.mean())).tolist()
+    amounts = [len(x.text) if c else 0 for x, c in zip(lines, cluster, strict=True)]
+    total = sum(amounts)
+    nodes = [x.node for x in lines]
+    heavy = _sums(parent, nodes, amounts)
+    level, held = page.level, Counter()
+    for node in range(1, len(parent)):
+        if level[node] > level[parent[node]]:
+            held[level[node]] += heavy[node]
+    chosen = max((k for k, n in held.items() if 2 * n >= total), default=0)
+    if chosen:
+        return [x.text for x in lines if level[x.node] >= chosen]
+    region = max(node for node in range(len(parent)) if heavy[node] == total)
+    inside = [False] * len(parent)
+    inside[region] = True
+    for node in range(region + 1, len(parent)):
+        inside[node] = inside[parent[node]]
+    own = {x.node for x, c in zip(lines, cluster, strict=True) if c}
+    at = [i for i, c in enumerate(cluster) if c]
+    first, last = at[0], at[-1]
+    while first and lines[first - 1].heading:
+        first -= 1
+    kept = []
+    for i, x in enumerate(lines):
+        if (cluster[i] or 2 * x.links < len(x.text)) and (first <= i <= last or inside[x.node] and (x.node in own or parent[x.node] in own)):
+            kept.append(x.text)
+    return kept
 
 
 def main_text(html: str | None) -> str:
-    parser = Lines()
     html = html or ""
-    for at in range(0, len(html), _PART):
-        parser.feed(html[at : at + _PART])
-    return "\n".join(content(parser.finish()))
+    upto = html.rfind(">") + 1  # after it no tag is finished
+    tail = _UNFINISHED.search(html, upto)
+    page = Lines()
+    page.feed(html[: tail.start()] if tail else html)
+    page.close()
+    page._end_line()
+    return "\n".join(content(page))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page."""
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

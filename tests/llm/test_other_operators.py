@@ -27,6 +27,53 @@ def test_op6_extraction(spark):
     assert extract_pages(frame.limit(0)).count() == 0
 
 
+def test_op6_marks_and_siblings():
+    from docloom.llm.html_content import main_text
+
+    words = "word " * 50
+    assert main_text('<div class="page has-sidebar"><p>Hello world this is text</p></div>') == "Hello world this is text"
+    assert main_text('<div class="widget"><p>Hello world this is text</p></div>') == "Hello world this is text"  # nothing else is there
+    assert main_text('<div class="post no-comments"><article><h1>T</h1><p>Long text here it is</p></article></div>') == "T\nLong text here it is"
+    assert main_text("<article><p>one two three four</p></article><article><p>five six seven eight</p></article><footer>x</footer>") == "one two three four\nfive six seven eight"
+    assert main_text("<article><header><h1>Title</h1><p>by me</p></header><p>one two three four</p></article>") == "Title\none two three four"
+    assert main_text('<p>one two</p><p hidden="hidden">a</p><p style="display: none">b</p><p aria-hidden="true">c</p><p>like <button>x</button> this</p>') == "one two\nlike this"
+    assert main_text(f'<h1>Title</h1><div><p>{words}</p><p>short</p></div><div id="comments"><p>{"bla " * 400}</p></div>') == f"Title\n{words.strip()}\nshort"
+    assert main_text(f"<main><section><p>{words}</p></section><section><p>{words}</p></section></main>") == f"{words.strip()}\n{words.strip()}"
+    assert main_text(f"<main><article><p>{words}</p></article><div><a>x</a></div></main>") == words.strip()
+    assert main_text(f'<article><p>{words}</p></article><article class="comment"><p>{words}</p></article>') == words.strip()
+
+
+def test_op6_time_grows_with_the_page():
+    import time
+
+    from docloom.llm.html_content import main_text
+
+    for html, want in (("<div>" * 5000 + "text", "text"), ("<p>a" + "<b" * 100_000, "a"), ("<p>a" + "<!--" * 100_000, "a"), ("<div>" * 3000 + "</p>" * 3000 + "x", "x")):
+        began = time.perf_counter()
+        assert main_text(html) == want
+        assert time.perf_counter() - began < 1
+
+
+def test_op6_against_brute_force(spark):
+    """Every page of the small tables, whose article is cut out by a pattern and read block by block."""
+    import html
+    import re
+    from pathlib import Path
+
+    from docloom.llm.queries import op6_html_content
+
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).exists():
+        pytest.skip("no tables")
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in op6_html_content(spark, sf).collect()}
+    assert set(got) == set(pages)
+    for i, page in pages.items():
+        article = re.search(r"<article>(.*?)(?:</article>|<footer|$)", page, re.DOTALL).group(1)
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert got[i]["text"] == "\n".join(b for b in blocks if b) and got[i]["n_chars"] == len(got[i]["text"])
+
+
 def test_op9_recall_and_ties(spark):
     from docloom.llm.vector_graph import nearest
 

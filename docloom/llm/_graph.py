@@ -13,7 +13,8 @@ from ._frames import written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``links`` (a, b) to (node, root): every node's least node in reach, by alternating large and small stars until nothing changes.
+    """``links`` (a, b) to (node, root): every node's least node in reach, by alternating large and small stars until nothing changes;
+    the rounds needed grow with the logarithm of the longest path, and running out of them is an error.
 
     Each star step takes a minimum by node, combined before the shuffle, and joins it back one to many, which Spark can split for a hot node. The links of every round are
     written to the shared folder.
@@ -32,6 +33,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         roots = lower.groupBy("u").agg(F.min("v").alias("m"))
         small = lower.join(roots, "u").select("m", F.col("v").alias("w")).filter(F.col("m") != F.col("w")).union(roots.select("m", F.col("u").alias("w")))
         now = written(small.select(F.col("m").alias("a"), F.col("w").alias("b")).distinct(), "links")
+    else:
+        raise RuntimeError(f"links still change after {rounds} rounds")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 

@@ -1,17 +1,20 @@
 """Near duplicates by chosen-path set similarity join over minwise tokens.
 
 A document's set is its distinct ``size``-word shingles (ASCII letters lower-cased). Documents of equal sets are one class, whatever their number. Classes carry ``tokens`` minwise
-tokens. ``trees`` independent trees branch all classes: at the root by one selected minwise token, and a node of more than ``leaf`` classes again, by ``branches``
-tokens selected for that node, down to ``depth``. A pair of similarity s meets at a root's child in a tree with probability s, so all 10 trees miss a pair of 0.8 with
-probability 1e-7. Small nodes are compared exhaustively on the tokens, with a bound that a pair of 0.8 fails with probability below 1e-5; a node that stays large at the last level is
-taken whole. In a large node all are first compared with one member, its hub; those that agree are candidates, and those of all but equal tokens branch no
-further, as what is near them is near the hub. So a large group of near copies isn't branched again and again. What is linked so makes candidate clusters, whose full sets are then compared exhaustively: links are decided by the sets alone.
+tokens. ``trees`` independent trees branch all classes: at the root by one selected minwise token, and a node of more than ``leaf`` classes again, by one or two tokens selected for that node among
+those that its path has not used (two on the first ``wide`` levels, then one or two in turn), for as long as there are such nodes. A pair of similarity s meets at a root's child in a tree with probability s, so all 10 trees miss
+a pair of 0.8 with probability 1e-7. Small nodes are compared exhaustively on the tokens: ``least`` of them must agree, which a pair of 0.8 fails with probability below 1e-5. All members of a node whose path
+has used ``least`` tokens agree in these, so it is linked without a comparison.
+
+In a large node all are first compared with one member, its hub; those that agree in ``near`` tokens are candidates, and those that agree in ``same`` branch no
+further, as what is near them is near the hub. So a large group of near copies isn't branched again and again. A pair of which one member branches no further and the other is no candidate is parted: for a pair of 0.8
+in a node of over ``leaf`` classes the chance is at most 0.45 % (at a hub similarity of 0.64), and what connects the pair otherwise still does. What is linked so makes candidate clusters, whose full sets are then compared exhaustively: links are decided by the sets alone.
 
 A cluster of more than ``cluster`` classes is dealt to chunks that all hold one common member; what is left outside its largest component is compared
 with all chunks in blocks. So no group is one task's, no pairs are listed (each group gives at most one link a member), and no partner is capped.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than ``size`` words are one shingle. Rows that repeat a key
-are rows of their own; all rows of a class and all linked classes share the smallest key. A null key stays and is smaller than none. Extra columns are passed over.
+are rows of their own; all rows of a class and all linked classes share the smallest key. A null key stays and is smaller than none. Extra columns are passed over by the report and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -70,42 +73,48 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(-1, width) if len(column) else np.zeros((0, width), np.int32)
 
 
-def document_classes(docs: DataFrame, size: int = 4, tokens: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_class (null: empty set), marks (minwise tokens) of each row."""
+def document_classes(docs: DataFrame, size: int = 4, tokens: int = 32) -> DataFrame:
+    """doc_id, text_hash, n_shingles, set_class (null: empty set), marks (minwise tokens) of each row of ``docs`` (doc_id, text, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, keys, marks = _signed(b.column(1), size, tokens)
             held = pa.FixedSizeListArray.from_arrays(pa.array(marks.ravel()), tokens).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), held], ["doc_id", "n_shingles", "set_class", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), held], ["doc_id", "text_hash", "n_shingles", "set_class", "marks"])
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, set_class binary, marks array<int>")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_class binary, marks array<int>")
 
 
-def _leaves(classes: DataFrame, trees: int, leaf: int, branches: int, depth: int, tokens: int, near: int, same: int) -> tuple[DataFrame, DataFrame]:
-    """Members of small nodes (node, c), and candidate links (a, b) of large nodes with their hubs."""
-    at = classes.select("c", F.posexplode(F.slice("marks", 1, trees)).alias("tree", "token")).select("c", F.xxhash64("tree", "token").alias("node"))
+def _leaves(classes: DataFrame, trees: int, leaf: int, wide: int, tokens: int, near: int, same: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Members of small nodes (node, c), and candidate links (a, b) of large nodes with their hubs. ``used``: the tokens that a node's path has selected, as bits."""
+    at = classes.select("c", F.posexplode(F.slice("marks", 1, trees)).alias("tree", "token")).select("c", F.xxhash64("tree", "token").alias("node"), F.expr("shiftleft(1L, tree)").alias("used"))
     small: list[DataFrame] = []
-    links: list[DataFrame] = []
-    for level in range(depth):
-        sizes = at.groupBy("node").agg(F.count("*").alias("count"), F.min("c").alias("hub")).filter("count > 1")
+    links: list[DataFrame] = [classes.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)]
+    free = F.expr(f"filter(sequence(0, {tokens - 1}), p -> (used & shiftleft(1L, p)) = 0)")
+    for level in range(least + 1):  # each level uses one more token
+        # Written, so that the join has nothing but shuffles below it, and Spark can split a node of many members.
+        sizes = written(at.groupBy("node").agg(F.count("*").alias("count"), F.min("c").alias("hub")).filter("count > 1"), "node-sizes")
         placed = written(at.join(sizes, "node"), "nodes")
         small.append(placed.filter(F.col("count") <= leaf).select("node", "c"))
-        large = placed.filter(F.col("count") > leaf)
+        alike = F.bit_count("used") >= least
+        links.append(placed.filter((F.col("count") > leaf) & alike).select(F.col("hub").alias("a"), F.col("c").alias("b")))
+        large = placed.filter((F.col("count") > leaf) & ~alike)
         if large.isEmpty():
             break
-        if level == depth - 1:
-            links.append(large.select(F.col("hub").alias("a"), F.col("c").alias("b")))
-            break
-        hubs = large.filter(F.col("c") == F.col("hub")).select("node", "c").join(classes.select("c", F.col("marks").alias("hub_marks")), "c").select("node", "hub_marks")
-        met = large.select("node", "c", "hub").join(classes.select("c", "marks"), "c").join(hubs, "node")
+        hubs = written(large.filter(F.col("c") == F.col("hub")).select("node", "c").join(classes.select("c", F.col("marks").alias("hub_marks")), "c").select("node", "hub_marks"), "hubs")
+        met = large.select("node", "c", "hub", "used").join(classes.select("c", "marks"), "c").join(hubs, "node")
         agreed = F.size(F.filter(F.zip_with("marks", "hub_marks", lambda x, y: x == y), lambda x: x))
-        met = written(met.withColumn("agreed", agreed).select("node", "c", "hub", "agreed", "marks"), "nodes")
+        met = written(met.withColumn("agreed", agreed).select("node", "c", "hub", "used", "agreed", "marks"), "nodes")
         links.append(met.filter((F.col("agreed") >= near) & (F.col("c") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("c").alias("b")))
-        picks = [F.element_at("marks", (F.pmod(F.xxhash64("node", F.lit(level * branches + j)), F.lit(tokens)) + 1).cast("int")) for j in range(branches)]
-        nodes = F.array(*(F.xxhash64("node", F.lit(level * branches + j), p) for j, p in enumerate(picks)))
-        at = met.filter(F.col("agreed") < same).select("c", F.explode(F.array_distinct(nodes)).alias("node"))
-    return _union(small), _union(links) if links else classes.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
+        open_ = met.filter(F.col("agreed") < same).withColumn("free", free)
+        turn = lambda j: F.xxhash64("node", F.lit(j))
+        first = F.pmod(turn(0), F.size("free"))
+        other = F.pmod(first + 1 + F.pmod(turn(1), F.size("free") - 1), F.size("free"))
+        two = F.lit(level < wide) | (F.pmod(turn(2), F.lit(2)) == 0)
+        picks = F.when(two, F.array(first, other)).otherwise(F.array(first))
+        picked = open_.withColumn("p", F.explode(F.transform(picks, lambda i: F.get("free", i.cast("int")))))
+        at = picked.select("c", F.xxhash64("node", "p", F.element_at("marks", F.col("p") + 1)).alias("node"), F.expr("used | shiftleft(1L, p)").alias("used"))
+    return _union(small), _union(links)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -225,26 +234,36 @@ def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: in
     return links.union(_compared(both.withColumn("chunk", (F.col("block") * F.col("chunks") + F.col("piece")).cast("int")), percent))
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = 10, tokens: int = 32, least: int = 15, leaf: int = 512, branches: int = 2, depth: int = 4, cluster: int = 4096) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row: rows are linked where 100 * intersection >= percent * union of their sets."""
-    own = keyed_text(docs, id_col, text_col)
+def _resolved(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, trees: int = 10, tokens: int = 32, least: int = 15, leaf: int = 512, wide: int = 3, cluster: int = 4096) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root (the component, null for an empty set) and component_id of every row."""
+    own = keyed_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     rows = written(document_classes(own, size, tokens), "classes")
     classes = written(rows.filter("n_shingles > 0").groupBy(F.col("set_class").alias("c")).agg(F.min("doc_id").alias("least_id"), F.first("marks").alias("marks")), "sets")
-    small, links = _leaves(classes, trees, leaf, branches, depth, tokens, near=least - 3, same=tokens - 9)
+    small, links = _leaves(classes, trees, leaf, wide, tokens, near=least - 3, same=tokens - 9, least=least)
     clusters = components(_candidates(classes, small, tokens, least).union(links))
     linked = components(_verified(own, classes, clusters, size, percent, cluster))
     named = linked.join(classes.select(F.col("c").alias("node"), "least_id"), "node")
     least_ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = classes.select("c", "least_id").join(named.select("node", "root").join(least_ids, "root"), F.col("c") == F.col("node"), "left").select("c", F.coalesce("component_id", "least_id").alias("component_id"))
+    by_class = classes.select("c", "least_id").join(named.select("node", "root").join(least_ids, "root"), F.col("c") == F.col("node"), "left")
+    by_class = written(by_class.select("c", F.coalesce("root", "c").alias("root"), F.coalesce("component_id", "least_id").alias("component_id")), "resolved")
     out = rows.join(by_class, rows["set_class"] == by_class["c"], "left")
-    component = F.when(F.col("set_class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", "root", F.when(F.col("set_class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicate_classes(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **tuning: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row: rows are linked where 100 * intersection >= percent * union of their sets. ``tuning``: the parameters of ``_resolved``."""
+    out = _resolved(docs, size, percent, id_col, text_col, **tuning)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that are the first of their component; of rows that repeat a key one stays."""
-    kept = near_duplicate_classes(docs, size, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), column(docs, id_col).cast("long").alias("key"), F.xxhash64(column(docs, text_col)).alias("mark"))  # whatever the columns' names
-    first = F.row_number().over(Window.partitionBy("key").orderBy("mark"))
-    one = rows.join(kept, F.col("key").eqNullSafe(F.col("kept_id")), "left_semi").withColumn("turn", first).filter("turn = 1")
-    return one.select("row.*")
+    """One row of each component, with all columns: that of the least key, and of several with it that of least text hash. A null key comes after all others. Rows with an empty set all stay."""
+    rows = written(_resolved(docs, size, percent, id_col, text_col).select("doc_id", "text_hash", "root"), "linked-rows")
+    first = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    kept = first.select("first.doc_id", "first.text_hash", F.lit(False).alias("bare")).union(rows.filter("root is null").select("doc_id", "text_hash", F.lit(True)).distinct())
+    kept = written(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "bare"), "kept")
+    own = docs.select(F.struct("*").alias("row"), column(docs, id_col).cast("long").alias("key"), F.xxhash64(F.coalesce(column(docs, text_col), F.lit(""))).alias("hash"))  # whatever the columns' names
+    found = own.join(kept, F.col("key").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    turn = F.row_number().over(Window.partitionBy("key", "hash").orderBy("hash"))  # equal rows; limited before the shuffle
+    once = found.filter("not bare").withColumn("turn", turn).filter("turn = 1").select("row.*")
+    return once.union(found.filter("bare").select("row.*"))

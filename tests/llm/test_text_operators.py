@@ -104,15 +104,29 @@ def test_op7_components(spark, messy, empty):
     least = {g: (min((x for x in v if x is not None), default=None)) for g, v in groups.items()}
     expected = [(rows[i][0], len(sets[i]), least[find(i)] if sets[i] else rows[i][0]) for i in range(len(rows))]
     # Small leaves and clusters take the branching, hub, chunk and rest paths too.
-    for sizes in ({}, {"leaf": 2, "cluster": 2}, {"leaf": 1, "cluster": 1, "depth": 2}):
+    for sizes in ({}, {"leaf": 2, "cluster": 2}, {"leaf": 1, "cluster": 1, "wide": 0}):
         got = near_duplicate_classes(messy, **sizes).collect()
         assert ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == ordered(expected), sizes
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    # One row of each component stays; rows without words all stay.
     kept = keep_one(messy, size=4)
-    assert kept.columns == messy.columns and len({r["doc_id"] for r in kept.collect()}) == kept.count()
+    first = {g: min((i is None, i or 0) for i in v) for g, v in groups.items() if sets[g]}
+    want = sorted([*first.values(), *((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if not sets[i])])
+    assert kept.columns == messy.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == want
     assert near_duplicate_classes(empty).count() == 0 and keep_one(empty).count() == 0
 
 
+def test_op7_keep_one_by_text(spark):
+    from conftest import prose
+
+    from docloom.llm.near_duplicates import keep_one
+
+    a, u, v = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a), (2, a), (2, u), (None, v), (None, prose(4, 60)), (None, v), (5, v + " tail"), (6, None), (6, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(1, a), (2, u), (5, v + " tail"), (None, prose(4, 60)), (6, None), (6, "")], key=repr)
+
+
 def test_op7_large_group_in_chunks(spark):
     import random
 

@@ -246,8 +246,9 @@ def _resolved(docs: DataFrame, size: int, percent: int, id_col: str, text_col: s
     least_ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_class = classes.select("c", "least_id").join(named.select("node", "root").join(least_ids, "root"), F.col("c") == F.col("node"), "left")
     by_class = written(by_class.select("c", F.coalesce("root", "c").alias("root"), F.coalesce("component_id", "least_id").alias("component_id")), "resolved")
-    out = rows.join(by_class, rows["set_class"] == by_class["c"], "left")
-    return out.select("doc_id", "text_hash", "n_shingles", "root", F.when(F.col("set_class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.join(by_class, rows["set_class"] == by_class["c"]).select("doc_id", "text_hash", "n_shingles", "root", "component_id")
+    bare = rows.filter(F.col("set_class").isNull())  # not joined: they would all have one key
+    return out.union(bare.select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("binary"), "doc_id"))
 
 
 def near_duplicate_classes(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **tuning: int) -> DataFrame:

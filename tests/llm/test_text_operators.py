@@ -166,8 +166,9 @@ def test_op10_windows(spark, messy, empty):
             if least[tuple(w[k : k + 50])] < rank(i):
                 gone[k : k + 50] = [True] * 50
         expected.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
-    for group in (8192, 1):
+    for group in (2048, 3, 1):
         got = repeated_passages(messy, group=group).collect()
+        assert all(sum(x["words"] for x in r["spans"]) == r["n_removed"] for r in got)
         assert ordered((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == ordered(expected)
     cut = remove_repeats(messy, chars_col="n_chars")
     assert cut.columns == messy.columns and cut.count() == messy.count()
@@ -175,6 +176,43 @@ def test_op10_windows(spark, messy, empty):
     assert repeated_passages(empty).count() == 0 and remove_repeats(empty).count() == 0
 
 
+def test_op10_short_prefixes_are_split(spark):
+    """A passage in many surroundings, and texts of few words: more blocks at a prefix than a group may have."""
+    import random
+
+    from docloom.llm.substring_dedup import repeated_passages, suffix_tree
+
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(55)]
+    rows = []
+    for i in range(60):
+        own = [f"v{rng.randrange(40)}" for _ in range(rng.randint(0, 70))]
+        rows.append((i, " ".join(own[: len(own) // 2] + passage[rng.randint(0, 3) :] + own[len(own) // 2 :])))
+    rows += [(100 + i, " ".join(rng.choice("ab") for _ in range(rng.randint(50, 300)))) for i in range(12)] + [(200 + i, "same " * rng.randint(49, 130)) for i in range(8)]
+    least: dict = {}
+    split = {i: t.split() for i, t in rows}
+    for i, w in split.items():
+        for k in range(len(w) - 49):
+            least.setdefault(tuple(w[k : k + 50]), i)
+    want = {}
+    for i, w in split.items():
+        gone = {j for k in range(len(w) - 49) if least[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
+        want[i] = [j for j in range(len(w)) if j in gone]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for group in (2048, 8, 1):
+        got = repeated_passages(frame, group=group).collect()
+        assert {r["doc_id"]: [j for x in r["spans"] for j in range(x["start"], x["start"] + x["words"])] for r in got} == want
+    texts = [w.encode() for w in ("banana", "anan", "nab")]
+    flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    firsts = np.cumsum([0] + [len(x) for x in texts])
+    owner = np.repeat(np.arange(3), np.diff(firsts))
+    order, common = suffix_tree(flat, firsts, np.arange(len(flat)), owner)
+    suffixes = [texts[owner[j]][j - firsts[owner[j]] :] for j in range(len(flat))]
+    for a, b, n in zip(order[:-1], order[1:], common, strict=True):
+        shared = next((k for k, (x, y) in enumerate(zip(suffixes[a], suffixes[b], strict=False)) if x != y), min(len(suffixes[a]), len(suffixes[b])))
+        assert n == shared and (suffixes[a][shared:] == b"" or suffixes[b][shared:] == b"" or suffixes[a] < suffixes[b])
+
+
 def test_op1_scores(spark, messy, empty):
     from docloom.llm.backoff_scores import backoff_scores
 

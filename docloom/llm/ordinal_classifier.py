@@ -125,10 +125,11 @@ def graded(labels: DataFrame) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000) -> Model | None:
-    """The model fitted on at most ``sample_rows`` labelled documents; ``grade``: a column over ``labels``, which has ``id_col``."""
+    """The model fitted on at most ``sample_rows`` labelled documents of ``docs``; ``grade``: a column over ``labels``, which has ``id_col``. Of rows that repeat a key, the text of least hash counts."""
     known = labels.select(column(labels, id_col).cast("long").alias("doc_id"), grade.cast("int").alias("grade")).filter("doc_id is not null and grade is not null")
+    known = known.join(docs.select(column(docs, id_col).cast("long").alias("doc_id")), "doc_id", "left_semi")
     sample = known.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = keyed_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")  # sample_rows rows at most
+    rows = keyed_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade", F.xxhash64("text").alias("mark"))  # sample_rows rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,9 +137,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc
                 numbers, counts, _ = features(b.column(1).slice(at, to - at))
                 ends = np.cumsum(counts)
                 held = pa.array([numbers[e - n : e].astype(np.int32).tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(2).slice(at, to - at), held], ["doc_id", "grade", "numbers"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(2).slice(at, to - at), b.column(3).slice(at, to - at), held], ["doc_id", "grade", "mark", "numbers"])
 
-    found = rows.mapInArrow(run, "doc_id long, grade int, numbers binary").dropDuplicates(["doc_id"]).collect()
+    one = rows.mapInArrow(run, "doc_id long, grade int, mark long, numbers binary").groupBy("doc_id").agg(F.min(F.struct("mark", "grade", "numbers")).alias("one"))
+    found = one.select("doc_id", "one.grade", "one.numbers").collect()
     found.sort(key=lambda r: r["doc_id"])
     parts = [np.frombuffer(r["numbers"], np.int32) for r in found]
     return fit(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64), np.array([len(p) for p in parts], np.int64), np.array([r["grade"] for r in found], np.int64))

@@ -78,6 +78,48 @@ def test_op8_divergence(spark):
     assert jensen_shannon(np.array([[1.0, 0], [0.5, 0.5]]), np.array([0.0, 1])) == pytest.approx([1, math.sqrt(0.5 * (0.5 * 1 + 0.5 * math.log2(2 / 3) + math.log2(4 / 3)))])
 
 
+def test_op8_verdicts_against_brute_force(spark, monkeypatch):
+    """References, distances and verdicts of four languages, one of them small, counted word by word; with references handed out and joined."""
+    from conftest import prose
+
+    from docloom.llm import quality_rules as q
+
+    rows = [(i, prose(i, 40 + 3 * i), "en") for i in range(50)] + [(100 + i, " ".join(f"zz{i * j}%%%" for j in range(60 + 30 * i)), ("en", "de", None)[i % 3]) for i in range(9)]
+    rows += [(200 + i, prose(i, 90) + " 12 (ab) É! x#", "de") for i in range(9)] + [(300, "nur ein wort " * 30, "sv"), (301, "", None), (302, None, "en")]
+    classes = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "".join(map(chr, range(33))), ".,:;!?'\"-", "()[]{}/\\_~`^@+=", "#*$%&|<>"]
+    kind = {c: k for k, chars in enumerate(classes) for c in chars}
+    chars, words_of = {}, {}
+    for _, t, lang in rows:
+        chars.setdefault(lang, Counter()).update(kind.get(c, 7) for c in t or "")
+        words_of.setdefault(lang, Counter()).update(WORD.findall(t or ""))
+
+    def distance(a, b, keys):
+        p, r = (np.array([x[k] for k in keys], float) / max(sum(x.values()), 1) for x in (a, b))
+        m = (p + r) / 2
+        return math.sqrt(max(sum(x * math.log2(x / y) for x, y in zip([*p, *r], [*m, *m], strict=True) if x) / 2, 0))
+
+    want = {}
+    for i, t, lang in rows:
+        total = sum(words_of[lang].values())
+        common = {w for w, n in words_of[lang].items() if n * q.COMMON >= total}
+        fold = lambda c, common=common: Counter({w: n for w, n in c.items() if w in common}) + Counter({"": sum(n for w, n in c.items() if w not in common)})
+        own = Counter(WORD.findall(t or ""))
+        n = sum(own.values())
+        far = distance(Counter(kind.get(c, 7) for c in t or ""), chars[lang], range(8)), distance(fold(own), fold(words_of[lang]), [*sorted(common), ""])
+        noise = [math.sqrt(sum(min(1, n * x / max(sum(c.values()), 1)) for x in c.values()) * (1 / max(n, 1) + 1 / max(total, 1)) / (8 * math.log(2))) for c in (chars[lang], fold(words_of[lang]))]
+        want[i] = far, n >= 80 and (far[0] > 0.12 + 1.25 * noise[0] or far[1] > 0.15 + 1.25 * noise[1])
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (1024, 1):
+        monkeypatch.setattr(q, "MOST_LANGUAGES", most)
+        got = {r["doc_id"]: r for r in q.quality_report(frame).collect()}
+        for i, (far, diverges) in want.items():
+            assert (got[i]["chars_distance"], got[i]["words_distance"]) == pytest.approx(far, abs=1e-9)
+            assert got[i]["kept"] == (not diverges and not got[i]["base_failed"])
+        kept = q.quality_filter(frame)
+        assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i]["kept"]}
+    assert any(d for _, d in want.values()) and not any(d for i, (_, d) in want.items() if i in (100, 300))
+
+
 def test_op7_components(spark, messy, empty):
     from docloom.llm.near_duplicates import keep_one, near_duplicate_classes
 

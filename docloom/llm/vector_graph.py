@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by hierarchical navigable small-world graphs, one for each shard of distinct vectors.
 
 Equal vectors become one point with its smallest identifiers (one more than are asked for: enough for any result), so a vector that a third of all rows share is one point.
-Points are dealt to shards of about ``shard_rows`` by a hash of the vector. A shard's graph is built in the order of insertion: a point's links are chosen, by the rule that
-a link must be nearer than any link already chosen is to it, from its nearest points of the layer among those inserted before; as a shard is bounded, these
-are found by blocked matrix products. Back links fill up to twice as many places. A graph is stored as flat neighbour arrays, padded with -1, in a table in the shared folder.
+Points are dealt by length and a hash of the vector to shards of about ``shard_rows``. A shard's points get random levels and are inserted by level, so a layer is the first points, and those of the layer above
+come first. Points are inserted in blocks: each searches the graph that is there, from where the layers above lead, and looks at the points of its own block before it. Its links are chosen from what
+it met, by the rule that a link must be nearer than any link already chosen is to it; the points it links to link back, and choose anew where they have too many. A graph is stored as flat neighbour
+arrays, padded with -1, in a table in the shared folder.
 
-Each shard then streams over the blocks of queries with a beam search in step for a whole block; candidates are ranked anew in double precision, and the shards' results are merged
+Each shard then streams over the blocks of queries of its length with a beam search in step for a whole block; what is found is ranked anew in double precision, and the shards' results are merged
 by distance and identifier.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, take no part, nor do those of another length than the most common
-one; a query among them gets no rows. Rows that repeat an identifier and its vector count once. Ties go to smaller identifiers. With fewer candidates than asked for, all are returned.
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components, take no part; a query among them gets no rows. Between vectors of different lengths there is no distance, so a query's candidates are those of its own length.
+Rows that repeat an identifier and its vector count once. Ties go to smaller identifiers. With fewer candidates than asked for, all are returned.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from ._frames import column, partitions, small_batches, written
 
-GRAPH = "shard int, points int, width int, vectors binary, members array<array<long>>, layers array<binary>"
+GRAPH = "width int, shard int, points int, vectors binary, members array<array<long>>, layers array<binary>"
 LINKS = 16
 _BLOCK = 512
+_FIRST = 64
 
 
 def _choose(points: np.ndarray, near: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
@@ -45,63 +47,72 @@ def _choose(points: np.ndarray, near: np.ndarray, far: np.ndarray, most: int) ->
     return np.where(np.take_along_axis(chosen | spare, order, axis=1), out, -1)
 
 
-def _layer(points: np.ndarray, links: int, beam: int) -> np.ndarray:
-    """Neighbour array of one layer whose points are in order of insertion."""
-    n, most = len(points), 2 * links
-    norms = (points * points).sum(axis=1)
-    out = np.full((n, links), -1, np.int32)
-    for a in range(0, n, _BLOCK):
-        b = min(n, a + _BLOCK)
-        d = norms[a:b, None] + norms[None, :b] - 2 * (points[a:b] @ points[:b].T)
-        d[np.arange(b)[None, :] >= np.arange(a, b)[:, None]] = np.inf
-        k = min(beam, b)
-        near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < b else np.tile(np.arange(b), (b - a, 1))
-        far = np.take_along_axis(d, near, axis=1)
-        order = np.argsort(far, axis=1, kind="stable")
-        near, far = np.take_along_axis(near, order, axis=1), np.take_along_axis(far, order, axis=1)
-        near = np.where(np.isfinite(far), near, -1)
-        picked = _choose(points, near, far, links)
-        out[a:b, : picked.shape[1]] = picked
-    result = np.full((n, most), -1, np.int32)
-    result[:, :links] = out
-    source, place = np.nonzero(out >= 0)
-    target = out[source, place]
+def _sorted(ids: np.ndarray, far: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(far, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(far, order, axis=1)
+
+
+def _link_back(points: np.ndarray, graph: np.ndarray, source: np.ndarray, target: np.ndarray) -> None:
+    """Adds links from ``target`` to ``source``; a point with more than it has room for chooses among all."""
+    most = graph.shape[1]
     gap = ((points[source] - points[target]) ** 2).sum(axis=1)
     order = np.lexsort((gap, target))
     source, target, gap = source[order], target[order], gap[order]
-    first = np.searchsorted(target, np.arange(n))
-    rank = np.arange(len(target)) - first[target]
-    held = rank < 4 * links  # the nearest back links
-    near = np.full((n, 4 * links), -1)
-    far = np.full((n, 4 * links), np.inf)
-    near[target[held], rank[held]] = source[held]
-    far[target[held], rank[held]] = gap[held]
-    for a in range(0, n, _BLOCK):
-        part = slice(a, min(n, a + _BLOCK))
-        room = most - (out[part] >= 0).sum(axis=1)
-        back = _choose(points, near[part], far[part], most)
-        back[np.arange(back.shape[1])[None, :] >= room[:, None]] = -1
-        merged = np.concatenate([out[part], back], axis=1)
-        order = np.argsort(merged < 0, axis=1, kind="stable")[:, :most]
-        result[part] = np.take_along_axis(merged, order, axis=1)
-    return result
-
-
-def build(points: np.ndarray, links: int = LINKS, beam: int = 64, seed: int = 7) -> list[np.ndarray]:
-    """Layers from the lowest up. Layer 0: the neighbours of every point; a higher one: its points, then their neighbours (as point numbers), row by row."""
+    own, first, place = np.unique(target, return_index=True, return_inverse=True)
+    rank = np.arange(len(target)) - first[place]
+    held = rank < most  # the nearest of a block's links to one point
+    ids, far = np.full((len(own), 2 * most), -1), np.full((len(own), 2 * most), np.inf, np.float32)
+    ids[:, :most] = graph[own]
+    d = points[np.maximum(graph[own], 0)] - points[own][:, None, :]
+    far[:, :most] = np.where(graph[own] >= 0, np.einsum("ijk,ijk->ij", d, d), np.inf)
+    ids[place[held], most + rank[held]], far[place[held], most + rank[held]] = source[held], gap[held]
+    ids, far = _sorted(ids, far, 2 * most)
+    full = (ids >= 0).sum(axis=1) > most
+    new = ids[:, :most]
+    if full.any():
+        new[full] = _choose(points, ids[full], far[full], most)
+    graph[own] = new
+
+
+def _layer(points: np.ndarray, above: list[np.ndarray], links: int, beam: int) -> np.ndarray:
+    """Neighbour array of the layer of ``points``, whose layers ``above`` (from the lowest up) hold its first points."""
+    n = len(points)
+    graph = np.full((n, 2 * links), -1, np.int32)
+    norms = (points * points).sum(axis=1)
+    a = 0
+    while a < n:
+        b = min(n, a + (min(_BLOCK, a) or _FIRST))
+        d = np.maximum(norms[a:b, None] + norms[None, a:b] - 2 * (points[a:b] @ points[a:b].T), 0)
+        d[np.triu_indices(b - a)] = np.inf  # only what comes before
+        near, far = _sorted(np.broadcast_to(np.arange(a, b), d.shape), d, beam)
+        if a:
+            start = _entries(points, above, points[a:b])
+            met, gaps = _beam(points[:a], graph[:a], points[a:b], np.where(start < a, start, 0)[:, :1], beam)
+            near, far = _sorted(np.concatenate([met, near], axis=1), np.concatenate([gaps, far], axis=1), beam)
+        near = np.where(np.isfinite(far), near, -1)
+        picked = _choose(points, near, far, links)
+        graph[a:b, : picked.shape[1]] = picked
+        source, place = np.nonzero(picked >= 0)
+        if len(source):
+            _link_back(points, graph, source + a, picked[source, place])
+        a = b
+    return graph
+
+
+def build(points: np.ndarray, links: int = LINKS, beam: int = 64, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The order of insertion, and the neighbour arrays of the layers from the lowest up, by place in that order."""
     n = len(points)
-    points = points.astype(np.float32)
     levels = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(links)).astype(int)
-    layers = [_layer(points, links, beam)]
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        nodes = np.flatnonzero(levels >= level)
-        inner = _layer(points[nodes], links, beam)
-        layers.append(np.concatenate([nodes[:, None], np.where(inner >= 0, nodes[inner], -1)], axis=1).astype(np.int32))
-    return layers
+    order = np.argsort(-levels, kind="stable")
+    points = np.ascontiguousarray(points[order].astype(np.float32))
+    layers: list[np.ndarray] = []
+    for level in range(int(levels.max(initial=0)), -1, -1):
+        layers.insert(0, _layer(points[: int((levels >= level).sum())], layers, links, beam))
+    return order, layers
 
 
-def _beam(points: np.ndarray, neighbours: np.ndarray, place: np.ndarray | None, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best-first search in step for a block of queries: points and squared distances, ascending, padded with -1 and infinity. ``place``: a point's row in ``neighbours``."""
+def _beam(points: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search in step for a block of queries: points and squared distances, ascending, padded with -1 and infinity."""
     q = len(queries)
     seen = np.zeros((q, len(points) + 1), bool)  # the last column takes the padding
     ids = np.full((q, beam), -1)
@@ -117,7 +128,6 @@ def _beam(points: np.ndarray, neighbours: np.ndarray, place: np.ndarray | None,
     dist[:, :k] = gaps(start[:, :k])
     done[:, :k] = start[:, :k] < 0
     np.put_along_axis(seen, start[:, :k], True, axis=1)
-    live = np.arange(q)
     while True:
         open_ = np.where(done, np.inf, dist)
         best = open_.argmin(axis=1)
@@ -126,8 +136,7 @@ def _beam(points: np.ndarray, neighbours: np.ndarray, place: np.ndarray | None,
             break
         node = np.where(live, ids[np.arange(q), best], -1)
         done[np.arange(q), best] = True
-        row = node if place is None else place[node]
-        found = np.where((node >= 0)[:, None], neighbours[row], -1)
+        found = np.where((node >= 0)[:, None], graph[node], -1)
         new = (found >= 0) & ~np.take_along_axis(seen, found, axis=1)
         found = np.where(new, found, -1)
         np.put_along_axis(seen, found, True, axis=1)
@@ -140,17 +149,17 @@ def _beam(points: np.ndarray, neighbours: np.ndarray, place: np.ndarray | None,
     return ids, dist
 
 
+def _entries(points: np.ndarray, above: list[np.ndarray], queries: np.ndarray) -> np.ndarray:
+    """Where to begin a layer: what the layers above it lead to, padded with -1."""
+    start = np.zeros((len(queries), 1), np.int64)
+    for graph in reversed(above):
+        start = _beam(points[: len(graph)], graph, queries, start, 8)[0][:, :4]
+    return start
+
+
 def search(points: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, beam: int) -> np.ndarray:
     """The ``beam`` points nearest to each query that the graph leads to, padded with -1."""
-    q = len(queries)
-    start = np.full((q, 1), layers[-1][0, 0] if len(layers) > 1 else 0)
-    for layer in layers[:0:-1]:
-        place = np.zeros(len(points), np.int64)
-        place[layer[:, 0]] = np.arange(len(layer))
-        start = _beam(points, layer[:, 1:], place, queries, start, 8)[0][:, :4]
-        start = np.where(start < 0, start[:, :1], start)
-        start[:, 1:] = np.where(start[:, 1:] == start[:, :1], -1, start[:, 1:])
-    return _beam(points, layers[0], None, queries, start, beam)[0]
+    return _beam(points, layers[0], queries, _entries(points, layers[1:], queries), beam)[0]
 
 
 def _valid(vector: Column) -> Column:
@@ -159,73 +168,65 @@ def _valid(vector: Column) -> Column:
 
 
 def vectors_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, vector array<float> of the rows that take part."""
-    rows = df.select(column(df, id_col).cast("long").alias("vec_id"), column(df, vector_col).cast("array<float>").alias("vector"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & _valid(F.col("vector")))
-    sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    return rows.filter(F.size("vector") == (sizes["size"] if sizes else -1))
+    """vec_id, vector array<double>, width of the rows that take part."""
+    rows = df.select(column(df, id_col).cast("long").alias("vec_id"), column(df, vector_col).cast("array<double>").alias("vector"))
+    return rows.filter(F.col("vec_id").isNotNull() & _valid(F.col("vector"))).withColumn("width", F.size("vector"))
 
 
 def build_graphs(rows: DataFrame, k: int = 10, shard_rows: int = 16384, links: int = LINKS, beam: int = 64) -> DataFrame:
-    """The graph table of ``rows`` (vec_id, vector): one row a shard."""
-    spark = rows.sparkSession
-    small_batches(spark)
+    """The graph table of ``rows`` (vec_id, vector, width): one row a shard."""
+    small_batches(rows.sparkSession)
     smallest = Window.partitionBy("vector").orderBy("vec_id")
     ranked = rows.distinct().withColumn("rank", F.row_number().over(smallest)).filter(F.col("rank") <= k + 1)  # limited before the shuffle, too
-    points = written(ranked.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "points")
-    shards = max(1, -(-points.count() // shard_rows))
+    points = written(ranked.groupBy("vector", "width").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "points")
+    shards = written(points.groupBy(F.col("width").alias("of_width")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "widths")  # a row a length
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("first", "ascending")]).combine_chunks()
         lists = table.column("vector").chunk(0)
-        vectors = lists.flatten().to_numpy().reshape(len(lists), -1).astype(np.float32)
-        order = np.random.default_rng(len(lists)).permutation(len(lists))
-        vectors = np.ascontiguousarray(vectors[order])
-        layers = build(vectors, links, beam)
+        vectors = lists.flatten().to_numpy().reshape(len(lists), -1)
+        order, layers = build(vectors, links, beam, seed=len(lists))
         members = table.column("members").chunk(0).take(pa.array(order))
         held = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), members)
-        row = [pa.array([table.column("shard")[0].as_py()], pa.int32()), pa.array([len(order)], pa.int32()), pa.array([vectors.shape[1]], pa.int32()), pa.array([vectors.tobytes()], pa.binary()), held]
-        return pa.Table.from_arrays([*row, pa.array([[x.tobytes() for x in layers]], pa.list_(pa.binary()))], ["shard", "points", "width", "vectors", "members", "layers"])
-
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).withColumn("first", F.col("members")[0])
-    return written(dealt.groupBy("shard").applyInArrow(run, GRAPH), "graphs")
-
+        row = [*(pa.array([table.column(n)[0].as_py()], pa.int32()) for n in ("width", "shard")), pa.array([len(order)], pa.int32()), pa.array([vectors[order].tobytes()], pa.binary()), held]
+        return pa.Table.from_arrays([*row, pa.array([[x.tobytes() for x in layers]], pa.list_(pa.binary()))], ["width", "shard", "points", "vectors", "members", "layers"])
 
-def _unpack(row: dict, links: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    points = np.frombuffer(row["vectors"], np.float32).reshape(row["points"], row["width"])
-    layers = [np.frombuffer(x, np.int32).reshape(-1, 2 * links + (i > 0)) for i, x in enumerate(row["layers"])]
-    return points, layers
+    dealt = points.join(shards, F.col("width") == F.col("of_width")).withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    dealt = dealt.select("width", "shard", "vector", "members", F.col("members")[0].alias("first"))
+    return written(dealt.groupBy("width", "shard").applyInArrow(run, GRAPH), "graphs")
 
 
-def search_graphs(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96, links: int = LINKS, block_rows: int = 512) -> DataFrame:
-    """The ``k`` nearest found of each of ``queries`` (vec_id, vector), without the query's own identifier: query_id, rank, vec_id, score."""
+def search_graphs(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = 256, links: int = LINKS, block_rows: int = 512) -> DataFrame:
+    """The ``k`` nearest found of each of ``queries`` (vec_id, vector, width), without the query's own identifier: query_id, rank, vec_id, score."""
     spark = graphs.sparkSession
     small_batches(spark)
-    wide = len(_columns := ["shard", "block", "points", "width", "vectors", "members", "layers", "asked", "sought"])
+    names = ["width", "shard", "block", "points", "vectors", "members", "layers", "asked", "sought"]
     numbered = queries.distinct().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // block_rows)))).cast("int"))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("rows"))  # about block_rows rows each
-    shards = [r["shard"] for r in graphs.select("shard").collect()]
-    sent = blocks.select(F.explode(F.array(*(F.lit(s) for s in shards)) if shards else F.lit(None).cast("array<int>")).alias("shard"), "block", F.col("rows.vec_id").alias("asked"), F.flatten("rows.vector").alias("sought"))
-    both = graphs.withColumn("block", F.lit(-1)).unionByName(sent, allowMissingColumns=True).select(*_columns)
-    dealt = both.repartition(max(1, min(len(shards), partitions(spark))), "shard").sortWithinPartitions("shard", "block")
+    blocks = numbered.groupBy("width", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("rows"))  # about block_rows rows each
+    sent = blocks.join(graphs.select("width", "shard"), "width").select("width", "shard", "block", F.col("rows.vec_id").alias("asked"), F.flatten("rows.vector").alias("sought"))
+    both = graphs.withColumn("block", F.lit(-1)).unionByName(sent, allowMissingColumns=True).select(*names)
+    dealt = both.repartition(partitions(spark), "width", "shard").sortWithinPartitions("width", "shard", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, layers, flat, starts = None, [], np.zeros(0), np.zeros(0)
+        points = exact = flat = starts = np.zeros(0)
+        layers: list[np.ndarray] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                if row.column(1)[0].as_py() < 0:
-                    points, layers = _unpack({n: row.column(j)[0].as_py() for j, n in enumerate(_columns) if n in ("points", "width", "vectors", "layers")}, links)
-                    members = row.column(5).flatten()
+                row = {n: batch.column(j).slice(i, 1) for j, n in enumerate(names)}
+                if row["block"][0].as_py() < 0:  # a shard's graph comes before its blocks
+                    exact = np.frombuffer(row["vectors"][0].as_py()).reshape(row["points"][0].as_py(), -1)
+                    points = exact.astype(np.float32)
+                    layers = [np.frombuffer(x, np.int32).reshape(-1, 2 * links) for x in row["layers"][0].as_py()]
+                    members = row["members"].flatten()
                     flat, starts = members.flatten().to_numpy(), np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy())])
                     continue
-                asked = row.column(wide - 2).flatten().to_numpy()
-                sought = row.column(wide - 1).flatten().to_numpy().reshape(len(asked), -1).astype(np.float32)
-                found = search(points, layers, sought, beam)
+                asked = row["asked"].flatten().to_numpy()
+                sought = row["sought"].flatten().to_numpy().reshape(len(asked), -1)
+                found = search(points, layers, sought.astype(np.float32), beam)
                 out: list[tuple[np.ndarray, ...]] = []
                 for own, vector, near in zip(asked, sought, found, strict=True):
                     near = near[near >= 0]
-                    gap = np.sqrt(((points[near].astype(np.float64) - vector.astype(np.float64)) ** 2).sum(axis=1))
+                    gap = np.sqrt(((exact[near] - vector) ** 2).sum(axis=1))
                     sizes = starts[near + 1] - starts[near]
                     ids = flat[np.repeat(starts[near] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
                     gap = np.repeat(gap, sizes)
@@ -240,7 +241,7 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int
     return hits.distinct().withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def nearest(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16384, beam: int = 96) -> DataFrame:
+def nearest(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16384, beam: int = 256) -> DataFrame:
     """The ``k`` nearest of every row whose identifier is divisible by ``every``, among all rows."""
     rows = vectors_of(df, id_col, vector_col)
     graphs = build_graphs(rows, k, shard_rows)

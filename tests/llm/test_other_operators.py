@@ -102,6 +102,42 @@ def test_op9_recall_and_ties(spark):
     assert nearest(few.limit(0)).count() == 0
 
 
+def test_op9_doubles_and_lengths(spark):
+    """Vectors of two lengths, and doubles that are equal as floats."""
+    from docloom.llm.vector_graph import nearest
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3 if i % 2 else 4).tolist()) for i in range(100, 140)] + [(0, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 1e-12, 0.0, 0.0]), (2, [1.0, 2e-12, 0.0, 0.0]), (200, [5.0, 5.0, 5.0])]
+    got: dict = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (0, 100, 200):
+        own = dict(rows)[q]
+        want = sorted((float(np.sqrt(((np.array(v) - own) ** 2).sum())), i) for i, v in rows if i != q and len(v) == len(own))[:5]
+        assert [i for i, _ in got[q]] == [i for _, i in want] and [s for _, s in got[q]] == [d for d, _ in want]
+
+
+def test_op9_recall_on_the_table(spark):
+    from pathlib import Path
+
+    from docloom.llm.queries import op9_vector_graph
+
+    sf = "/root/testdata/sf0.1"
+    if not Path(sf).exists():
+        pytest.skip("no tables")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows])
+    got: dict = {}
+    for r in op9_vector_graph(spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        hits.append(len(got[q] & set(ids[order].tolist())))
+    assert sum(hits) >= 0.95 * 10 * len(hits)
+
+
 def test_pipeline_stages(spark, messy, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     from conftest import prose

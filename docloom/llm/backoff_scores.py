@@ -1,16 +1,22 @@
-"""Language-model scores of documents by stupid backoff, computed with joins.
+"""Language-model scores of documents by stupid backoff.
 
 The score of a word after a context is c(context word) / c(context) for the longest context, of up to ``order`` - 1 words, with which the corpus has the word at least ``least_count`` times, times ``backoff`` for each
-word of context given up; without context it is c(word) / N. A document's score is the sum of ln S over its words.
+word of context given up; without context it is c(word) / N. A document's score is the sum of ln S over its words. All n-grams count, of any frequency, under 64-bit hashes; nothing is broadcast.
 
-* ``exploded``: the n-grams of all documents, one row for each n-gram and slice of documents, with how often the slice has it and the documents that do. So a frequent n-gram is a row a slice, never a row a document, and no key is hot.
-* ``ngram_counts``: the count table, partitioned by the n-grams' 64-bit hashes; all n-grams count, of any frequency, and the table grows with the corpus. Nothing is broadcast.
-* ``whole_scores``, the corpus under its own counts: the exploded n-grams are joined to the count table on the partitioning that both share, so they are shuffled once. As every n-gram has been seen, nothing is backed off, and a score is the sum of
-  ln c over the longest n-grams, less that over their contexts, less ln N for each word without context. A partition adds these by document and packs the sums by bucket of documents, which adds them up.
-* ``backoff_scores``, documents under a given table: every place of a document gives its n-grams of all orders, which are joined to the counts; the place takes the longest one seen.
+Documents under a given table (``backoff_scores``, of any order): ``ngram_counts`` is the count table; every place of a document gives its n-grams of all orders, which are joined to the counts, and takes the longest one seen.
+
+The corpus under its own counts (``whole_scores``, bigrams, what the query takes): every bigram has been seen, so nothing is backed off, and a score is the sum of ln c(v w) over
+bigrams, less that of ln c(v) over all words but the last, plus ln c(w) - ln N of the first. Exploded rows of a gram, a slice and its documents, joined to the count table by Spark, were tried and take over five times
+the input on disk for one shuffle, so they go packed:
+
+1. Each slice of documents makes its words and bigrams into sorted 64-bit hashes, each with the documents that have it and how often, packed by range of hashes: one row a slice and bucket. Buckets hold about
+   ``BUCKET_BYTES`` of text each, so their number grows with the input.
+2. A bucket has all occurrences of its words and bigrams. It counts them, then goes through its slices once more and sums the logarithms by document; only the packed rows and the distinct hashes are held, and a
+   frequent bigram is about three bytes for each document.
+3. These sums are added by slice, and N, the sum of all documents' words, comes in last.
 
 Defined results: a document without words has 0 words and score 0, and a null mean. Rows that repeat a key are scored together, as one document of several texts, without n-grams across them.
-Null keys are one document (as is the key -2^63 in ``whole_scores``). Words are ASCII lower-cased. A word that a given table lacks counts as seen once. Extra columns are passed over; an empty table gives no rows.
+Null keys are one document. Words are ASCII lower-cased. A word that a given table lacks counts as seen once. Extra columns are passed over; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +33,20 @@ from ._frames import keyed_text, partitions, written
 from ._graph import runs
 from ._words import LOWER, Words, chained, hashes, mix, slices, within, words
 
+BUCKET_BYTES = 8 << 20
 _SLICE = 4 << 20
-_HELD = 2_000_000
-_LEAST = -(1 << 63)
-#: A document of an n-gram, and how often its logarithm counts in the document's score.
-_MEMBER = np.dtype([("doc", "<i8"), ("weight", "<i4")])
-_BUCKET_DOCS = 1 << 16
+#: Kind 0: a slice's documents; 1: occurrences of a bucket's words in it (``ends``: how many begin or end a text); 2: of its bigrams.
+_OCCURRENCES = "bucket int, slice string, kind int, size int, n int, keys binary, runs binary, docs binary, times binary, ends binary, doc_ids binary, missing binary, words binary"
+_SUMS = "slice string, head int, n int, docs binary, gains binary, doc_ids binary, missing binary, words binary"
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts, first)
 
 
 def _folded(texts: pa.Array) -> tuple[Words, np.ndarray]:
@@ -52,45 +67,6 @@ def _places(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, place, w.counts[docs] - 1 - place
 
 
-def _binaries(data: np.ndarray, edges: np.ndarray) -> pa.Array:
-    """Runs data[edges[i]:edges[i + 1]] as binary values."""
-    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * data.itemsize).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-
-
-def exploded(docs: DataFrame, order: int) -> DataFrame:
-    """gram, n (times in a slice), members (its documents with a weight that isn't 0) of ``docs`` (doc_id, text): a word's longest n-gram has weight 1, the context of the next word's longest one -1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(_LEAST).to_numpy()
-            for at, to in slices(batch.column(1), _SLICE):
-                w, h = _folded(batch.column(1).slice(at, to - at))
-                docs_of, place, left = _places(w)
-                keys, owners, weights = [], [], []
-                for k in range(1, order + 1):
-                    gram, first = _grams(w, h, k)
-                    last = first + k - 1
-                    keys.append(gram)
-                    owners.append(docs_of[last])
-                    weights.append((k == np.minimum(order, place[last] + 1)).astype(np.int64) - ((left[last] > 0) & (k == np.minimum(order, place[last] + 2) - 1)))
-                key, owner, weight = (np.concatenate(x) for x in (keys, owners, weights))
-                by = np.argsort(key, kind="stable")  # owners ascend within a gram
-                key, owner, weight = key[by], owner[by], weight[by]
-                new = np.append(True, key[1:] != key[:-1])[: len(key)]
-                start = np.flatnonzero(new)
-                member = np.flatnonzero(new | np.append(True, owner[1:] != owner[:-1])[: len(key)])
-                if not len(start):
-                    continue
-                sums = np.add.reduceat(weight, member)
-                counted = sums != 0
-                held = np.empty(int(counted.sum()), _MEMBER)
-                held["doc"], held["weight"] = ids[at:to][owner[member][counted]], sums[counted]
-                edges = np.append(np.searchsorted(member[counted], start), len(held))
-                yield pa.RecordBatch.from_arrays([pa.array(key[start].view(np.int64)), pa.array(np.diff(np.append(start, len(key)))), _binaries(held, edges)], ["gram", "n", "members"])
-
-    return docs.mapInArrow(run, "gram long, n long, members binary")
-
-
 def lengths(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, and texts (rows with a word) of every document of ``docs`` (doc_id, text)."""
 
@@ -103,78 +79,162 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, texts long").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("texts").alias("texts"))
 
 
-def _counted(grams: DataFrame) -> DataFrame:
-    return grams.groupBy("gram").agg(F.sum("n").alias("count"))
-
-
 def ngram_counts(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """gram, count of all n-grams of up to ``order`` words; gram 0 has the number of all words."""
     own = keyed_text(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in slices(batch.column(1), _SLICE):
+                w, h = _folded(batch.column(1).slice(at, to - at))
+                grams, n = np.unique(np.concatenate([_grams(w, h, k)[0] for k in range(1, order + 1)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], ["gram", "n"])
+
     total = lengths(own).agg(F.lit(0).cast("long").alias("gram"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("count"))
-    return _counted(exploded(own, order)).union(total)
+    return own.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("count")).union(total)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by byte place, without the places that are zero in all."""
+    width = max((int(x.max()).bit_length() + 7) // 8, 1)
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :width].T).tobytes()
+
 
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
 
-def _added(docs: np.ndarray, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, place = np.unique(docs, return_inverse=True)
-    return found, np.bincount(place, weights=gains, minlength=len(found))
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[k]) for j, (_, k) in enumerate(fields)], [n for n, _ in fields])
 
-def _gains(buckets: int):
-    """Sums by document of a partition's rows (count, members), packed by bucket of documents."""
 
-    def packed(docs: np.ndarray, gains: np.ndarray) -> pa.RecordBatch:
-        bucket = (mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        docs, gains, bucket = docs[by], gains[by], bucket[by]
-        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
-        edges = np.append(start, len(docs))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[start]), _binaries(docs, edges), _binaries(gains, edges)], ["bucket", "docs", "gains"])
+def _least(bucket: int, buckets: int) -> int:
+    """A bound below the hashes of a bucket."""
+    return ((bucket << 32) // buckets) << 32
+
+
+def occurrences(docs: DataFrame, buckets: int) -> DataFrame:
+    """Packed occurrences of all words and bigrams by bucket, and each slice's documents."""
+
+    def rows(kind: int, name: str, keys: np.ndarray, owner: np.ndarray, ends: np.ndarray | None) -> Iterator[tuple]:
+        if not len(keys):
+            return
+        order = np.argsort(keys, kind="stable")  # owners ascend, so they stay sorted within a key
+        keys, owner = keys[order], owner[order]
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))
+        times = np.diff(np.append(first, len(keys)))
+        ends = np.add.reduceat(ends[order], first) if ends is not None else None
+        keys, owner = keys[first], owner[first]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        met, held = keys[starts], np.diff(np.append(starts, len(keys)))
+        bucket = ((met >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        starts = np.append(starts, len(keys))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            at, to = starts[a], starts[b]
+            gaps = np.diff(met[a:b], prepend=np.uint64(_least(int(bucket[a]), buckets)))
+            yield int(bucket[a]), name, kind, int(b - a), int(to - at), _planes(gaps), _planes(held[a:b]), _planes(owner[at:to]), _planes(times[at:to]), None if ends is None else _planes(ends[at:to]), None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, gains, held = [], [], 0
-        for b in batches:
-            members = b.column(1)
-            _, offsets, data = members.buffers()
-            offsets = np.frombuffer(offsets, np.int32)[members.offset : members.offset + len(members) + 1]
-            rows = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(_MEMBER) if data is not None else np.zeros(0, _MEMBER)
-            docs.append(rows["doc"])
-            gains.append(np.repeat(np.log(b.column(0).to_numpy()), np.diff(offsets) // _MEMBER.itemsize) * rows["weight"])
-            held += len(rows)
-            if held > _HELD:
-                found, sums = _added(np.concatenate(docs), np.concatenate(gains))
-                if len(found) > _HELD // 2:
-                    yield packed(found, sums)
-                    found, sums = found[:0], sums[:0]
-                docs, gains, held = [found], [sums], len(found)
-        if held:
-            yield packed(*_added(np.concatenate(docs), np.concatenate(gains)))
-
-    return run, "bucket long, docs binary, gains binary"
-
-
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of packed rows sorted by bucket: one row a document."""
-    for table in runs(batches, 1):
-        docs = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
-        gains = np.concatenate([np.frombuffer(x, np.float64) for x in table.column("gains").to_pylist()])
-        found, sums = _added(docs, gains)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums)], ["key", "gain"])
-
-
-def whole_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_score, mean_log_score, of every document, under the counts of all n-grams of ``docs`` themselves."""
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at, to in slices(batch.column(1), _SLICE):
+                w, h = _folded(batch.column(1).slice(at, to - at))
+                name, made = f"{task}-{made}", made + 1  # the same when a task is run again
+                owner, some = w.docs(), w.counts > 0
+                first, last = np.zeros(len(h), bool), np.zeros(len(h), bool)
+                first[w.firsts[:-1][some]] = True
+                last[w.firsts[1:][some] - 1] = True
+                ids = batch.column(0).slice(at, to - at)
+                head = (ids.fill_null(0).to_numpy().astype("<i8"), np.asarray(ids.is_null()).astype(np.uint8), w.counts.astype("<i8"))
+                out = [((task * 7919 + made) % buckets, name, 0, 0, 0, None, None, None, None, None, *(x.tobytes() for x in head))]
+                out += rows(1, name, h, owner, first.astype(np.int64) + last)
+                pair = np.flatnonzero(~first[1:])
+                out += rows(2, name, chained(h, 2)[pair], owner[pair], None)
+                yield _batch(out, _OCCURRENCES)
+
+    return docs.mapInArrow(run, _OCCURRENCES)
+
+
+def whole_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, log_score, mean_log_score, of every document, from the counts of all words and all bigrams."""
     spark = docs.sparkSession
     own = keyed_text(docs, id_col, text_col)
-    sizes = written(lengths(own), "lengths")
-    every = sizes.agg(F.sum("n_words").alias("words"), F.count("*").alias("docs")).first()
-    buckets = max(1, -(-every["docs"] // _BUCKET_DOCS))
-    grams = exploded(own, order).repartition(partitions(spark), "gram")
-    joined = grams.join(_counted(grams), "gram").select("count", "members")
-    packed = joined.mapInArrow(*_gains(buckets)).repartition(min(buckets, partitions(spark)), "bucket").sortWithinPartitions("bucket")
-    sums = written(packed.mapInArrow(_by_document, "key long, gain double"), "gains")
-    scored = sizes.join(sums, F.coalesce("doc_id", F.lit(_LEAST)) == F.col("key"), "left")
-    log_score = F.when(F.col("n_words") > 0, F.coalesce("gain", F.lit(0.0)) - F.col("texts" if order > 1 else "n_words") * float(np.log(max(every["words"] or 0, 1)))).otherwise(0.0)
-    return _means(scored.select("doc_id", "n_words", log_score.alias("log_score")))
+    size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
+
+    def gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 1):
+            base = np.uint64(_least(table.column("bucket")[0].as_py(), buckets))
+            kinds, sizes, counted = (table.column(n).to_numpy() for n in ("kind", "size", "n"))
+            get = lambda name, i: table.column(name)[int(i)].as_py()  # noqa: B023, E731
+            keys_of = lambda i: np.cumsum(_numbers(get("keys", i), sizes[i]), dtype=np.uint64) + base  # noqa: B023, E731
+            known = {}
+            for kind in (1, 2):
+                keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for i in np.flatnonzero(kinds == kind):
+                    starts = np.cumsum(_numbers(get("runs", i), sizes[i]).astype(np.int64))
+                    keys.append(keys_of(i))
+                    counts.append(np.add.reduceat(_numbers(get("times", i), counted[i]).astype(np.int64), np.append(0, starts[:-1])))
+                keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
+                known[kind] = keys, np.log(counts)
+            out: list[tuple] = []
+            names, i = table.column("slice").to_pylist(), 0
+            while i < len(names):
+                to = i + 1
+                while to < len(names) and names[to] == names[i]:
+                    to += 1
+                owners, gains = [], []
+                for j in range(i, to):
+                    if kinds[j] == 0:
+                        out.append((names[j], 0, 0, None, None, *(get(n, j) for n in ("doc_ids", "missing", "words"))))
+                        continue
+                    keys, logs = known[kinds[j]]
+                    weight = _numbers(get("times", j), counted[j]).astype(np.int64)
+                    if kinds[j] == 1:
+                        weight = _numbers(get("ends", j), counted[j]).astype(np.int64) - weight
+                    owners.append(_numbers(get("docs", j), counted[j]))
+                    gains.append(np.repeat(logs[np.searchsorted(keys, keys_of(j))], _numbers(get("runs", j), sizes[j]).astype(np.int64)) * weight)
+                if owners:
+                    owner, place = np.unique(np.concatenate(owners), return_inverse=True)
+                    out.append((names[i], 1, len(owner), _planes(owner), np.bincount(place, weights=np.concatenate(gains)).tobytes(), None, None, None))
+                i = to
+                if len(out) > 500:
+                    yield _batch(out, _SUMS)
+                    out = []
+            if out:
+                yield _batch(out, _SUMS)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = words_of = total = None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, pa.array(words_of), pa.array((words_of > 0).astype(np.int64)), pa.array(total)], ["doc_id", "n_words", "texts", "gain"])
+
+        for b in batches:
+            for head, n, docs_of, gains, doc_ids, missing, counted in zip(*(b.column(j).to_pylist() for j in range(1, 8)), strict=True):
+                if head == 0:
+                    if ids is not None:
+                        yield out()
+                    ids = pa.array(np.frombuffer(doc_ids, "<i8"), mask=np.frombuffer(missing, np.uint8).astype(bool))
+                    words_of = np.frombuffer(counted, "<i8")
+                    total = np.zeros(len(words_of))
+                else:
+                    total[_numbers(docs_of, n).astype(np.int64)] += np.frombuffer(gains, np.float64)
+        if ids is not None:
+            yield out()
+
+    packed = occurrences(own, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "slice")
+    gains = packed.mapInArrow(gained, _SUMS).repartition(partitions(spark), "slice").sortWithinPartitions("slice", "head")
+    parts = written(gains.mapInArrow(summed, "doc_id long, n_words long, texts long, gain double"), "scores")
+    every = parts.agg(F.sum("n_words")).first()[0] or 0
+    sums = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), (F.sum("gain") - F.sum("texts") * float(np.log(max(every, 1)))).alias("log_score"))
+    return _means(sums)
 
 
 def _means(scored: DataFrame) -> DataFrame:

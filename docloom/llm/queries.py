@@ -26,7 +26,7 @@ def tokenizer_file(name: str) -> str:
 def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .backoff_scores import whole_scores
 
-    scores = whole_scores(table(spark, sf_dir, "documents"), order=2)
+    scores = whole_scores(table(spark, sf_dir, "documents"))
     return scores.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score")))
 
 

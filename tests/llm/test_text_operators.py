@@ -278,8 +278,8 @@ def test_op1_backoff(spark, messy, empty):
                 return out
 
             results = [backoff_scores(messy, ngram_counts(known, order), order, least)]
-            if known is messy and least == 1:
-                results.append(whole_scores(messy, order))
+            if known is messy and (order, least) == (2, 1):
+                results.append(whole_scores(messy))
             for frame in results:
                 got = {r["doc_id"]: r for r in frame.collect()}
                 assert set(got) == set(docs)

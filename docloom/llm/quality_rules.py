@@ -109,7 +109,9 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     """Counts over all documents, one row a language: lang, chars (by class), keys (hashes of its common words) and counts, words (all)."""
     part = docs.select(column(docs, lang_col).cast("string").alias("lang"), column(docs, text_col).alias("text"))
     sums = written(part.mapInArrow(_histograms, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "histograms")
-    words_of = sums.filter("kind = 2").select(F.col("lang").alias("of_lang"), F.col("n").alias("words"))  # read from the table, so broadcast only by its size
+    words_of = sums.filter("kind = 2").select(F.col("lang").alias("of_lang"), F.col("n").alias("words"))
+    if words_of.count() <= MOST_LANGUAGES:
+        words_of = F.broadcast(words_of)
     common = sums.filter("kind = 1").join(words_of, F.col("lang").eqNullSafe(F.col("of_lang"))).filter(F.col("n") * COMMON >= F.col("words")).select("lang", "kind", "key", "n")
     kept = common.union(sums.filter("kind <> 1").select("lang", "kind", "key", "n"))
     of = lambda kind, what: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n")))), lambda x: x[what])

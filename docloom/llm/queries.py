@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import SQL  # noqa: F401  read by __spark_entry__
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -87,7 +89,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_report
 
-    return quality_report(table(spark, sf_dir, "documents"))
+    return quality_report(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("chars_distance", "words_distance")})
 
 
 def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,5 +105,3 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_backoff_scores, op2_packing, op3_piece_spans, op4_ordinal_classifier, op5_token_shards, op6_html_content, op7_near_duplicates, op8_quality_rules, op9_vector_graph, op10_substring_dedup)}
-#: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}

@@ -226,7 +226,7 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int
                 out: list[tuple[np.ndarray, ...]] = []
                 for own, vector, near in zip(asked, sought, found, strict=True):
                     near = near[near >= 0]
-                    gap = np.sqrt(((exact[near] - vector).T ** 2).sum(axis=0))  # added component by component
+                    gap = np.sqrt(np.cumsum((exact[near] - vector) ** 2, axis=1)[:, -1])  # added component by component
                     sizes = starts[near + 1] - starts[near]
                     ids = flat[np.repeat(starts[near] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
                     gap = np.repeat(gap, sizes)

@@ -114,7 +114,7 @@ def test_op9_doubles_and_lengths(spark):
     for q in (0, 100, 200):
         own = dict(rows)[q]
         want = sorted((float(np.sqrt(((np.array(v) - own) ** 2).sum())), i) for i, v in rows if i != q and len(v) == len(own))[:5]
-        assert [i for i, _ in got[q]] == [i for _, i in want] and [s for _, s in got[q]] == [d for d, _ in want]
+        assert [i for i, _ in got[q]] == [i for _, i in want] and [s for _, s in got[q]] == pytest.approx([d for d, _ in want], rel=1e-14)
 
 
 def test_op9_recall_on_the_table(spark):

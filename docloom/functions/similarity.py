@@ -9,8 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.functions import pandas_udf
 
 from ..types import data_type
@@ -22,7 +24,7 @@ FNV32_PRIME, MIX_A, MIX_B = 0x01000193, 0x85EBCA6B, 0xC2B2AE35
 BUCKET_SEED, SIGN_SEED = 0x9E3779B9, 0x85EBCA6B
 SIMHASH_BITS, BANDS, BAND_HEX, DUPLICATE_DISTANCE, DIMENSIONS = 64, 4, 4, 3, 384
 PAIR_MARK = "\x01"
-_BITS = np.arange(64, dtype=np.uint64)
+_RUN = 200_000
 
 
 def _units(strings: list[str], mask: int = 0xFFFF) -> tuple[np.ndarray, np.ndarray]:
@@ -34,13 +36,17 @@ def _units(strings: list[str], mask: int = 0xFFFF) -> tuple[np.ndarray, np.ndarr
     return out & np.uint64(mask), sizes
 
 
+def _fed(h: np.ndarray, units: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """FNV states ``h`` after the strings of ``rows``."""
+    for j in range(int(sizes[rows].max(initial=0))):
+        live = np.flatnonzero(sizes[rows] > j)
+        h[live] = (h[live] ^ units[rows[live], j]) * np.uint64(FNV64_PRIME)
+    return h
+
+
 def fnv64(strings: list[str], mask: int = 0xFFFF) -> np.ndarray:
     units, sizes = _units(strings, mask)
-    h = np.full(len(strings), FNV64_OFFSET, np.uint64)
-    for j in range(units.shape[1]):
-        live = sizes > j
-        h[live] = (h[live] ^ units[live, j]) * np.uint64(FNV64_PRIME)
-    return h
+    return _fed(np.full(len(strings), FNV64_OFFSET, np.uint64), units, sizes, np.arange(len(strings)))
 
 
 def hash32(strings: list[str], seed: int) -> np.ndarray:
@@ -56,22 +62,40 @@ def hash32(strings: list[str], seed: int) -> np.ndarray:
     return h ^ h >> np.uint64(16)
 
 
-def simhash_of(tokens: list[str]) -> str:
-    """Sixteen hexadecimal digits: each bit is the sign of the weights of the features that have it; words weigh 1, neighbouring pairs 2."""
-    if not len(tokens):
-        return "0" * 16
-    weights: Counter = Counter(tokens)
-    for a, b in zip(tokens[:-1], tokens[1:], strict=True):
-        weights[a + PAIR_MARK + b] += 2
-    hashed = fnv64(list(weights))
-    signs = (hashed[:, None] >> _BITS & np.uint64(1)).astype(np.int64) * 2 - 1
-    total = (signs * np.fromiter(weights.values(), np.int64)[:, None]).sum(axis=0)
-    return f"{int(sum(1 << i for i in range(64) if total[i] > 0)):016x}"
-
-
-@pandas_udf(data_type("string"))
-def _simhash(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: simhash_of([] if t is None else list(t)))
+def simhashes(tokens: pa.ListArray) -> np.ndarray:
+    """A 64-bit fingerprint a list: each bit is the sign of the weights of the features that have it; words weigh 1, neighbouring pairs 2. An empty list has 0.
+
+    Every distinct word is hashed once, and a pair goes on from its first word's state.
+    """
+    counts = tokens.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    encoded = tokens.flatten().dictionary_encode()
+    ids = encoded.indices.to_numpy().astype(np.int64)
+    units, sizes = _units(encoded.dictionary.to_pylist())
+    words = _fed(np.full(len(sizes), FNV64_OFFSET, np.uint64), units, sizes, np.arange(len(sizes)))
+    ends = np.cumsum(counts)
+    out = np.zeros(len(counts), np.uint64)
+    a = 0
+    while a < len(counts):  # runs of rows, bounded by their words
+        b = min(max(a + 1, int(np.searchsorted(ends, (ends[a] - counts[a]) + _RUN, side="right"))), len(counts))
+        first, last = int(ends[a] - counts[a]), int(ends[b - 1])
+        own, row = ids[first:last], np.repeat(np.arange(b - a), counts[a:b])
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        pairs = _fed((words[own[pair]] ^ np.uint64(ord(PAIR_MARK))) * np.uint64(FNV64_PRIME), units, sizes, own[pair + 1])
+        total = np.zeros((b - a, 64), np.int64)
+        for hashed, of, weight in ((words[own], row, 1), (pairs, row[pair], 2)):
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+            if len(starts):
+                bits = np.unpackbits(hashed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                n = np.diff(np.append(starts, len(of)))
+                total[of[starts]] += weight * (2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) - n[:, None])
+        out[a:b] = np.packbits(total > 0, axis=1, bitorder="little").view("<u8").ravel()
+        a = b
+    return out
+
+
+@arrow_udf(data_type("string"))
+def _simhash(tokens: pa.Array) -> pa.Array:
+    return pa.array([f"{int(x):016x}" for x in simhashes(tokens)], pa.string())
 
 
 def simhash(text: Column) -> Column:

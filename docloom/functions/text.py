@@ -86,7 +86,7 @@ def cjk_bigrams(c: Column) -> Column:
 def tokenize(c: Column, keep_stopwords: bool = False, stopwords: Iterable[str] = STOPWORDS_EN, stopwords_zh: Iterable[str] = STOPWORDS_ZH) -> Column:
     """Lower-case Latin tokens of two characters or more, then CJK pairs; stop words go unless kept."""
     latin = F.filter(found(F.lower(c), LATIN_TOKEN), lambda t: F.length(t) >= 2)
-    pairs = cjk_bigrams(F.lower(c))
+    pairs = F.when(has_cjk(c), cjk_bigrams(F.lower(c))).otherwise(F.array().cast("array<string>"))  # trying a pair at every place is slow
     if keep_stopwords:
         return F.concat(latin, pairs)
     # A long list of literals becomes a hash set.

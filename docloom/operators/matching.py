@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import DUPLICATE_DISTANCE, simhash_bits
@@ -15,30 +16,47 @@ ECHO_TYPES = ("model", "company", "product", "paper", "benchmark")
 LOCAL_CHECKPOINTS = "/tmp/docloom-checkpoints"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; where that is unset, a local one, which only a local session can use."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (root or LOCAL_CHECKPOINTS).rstrip("/")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cuts lineage with a table in the folder that the cluster shares (spark.checkpoint.dir)."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
-    path = f"{root}/docloom/{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/docloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _masks(most: int, blocks: int = 6) -> list[int]:
+    """Signed 64-bit masks of all choices of blocks - most blocks: fingerprints at most ``most`` bits apart agree under one."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    block = [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    whole = [sum(c) for c in combinations(block, blocks - most)]
+    return [m - (1 << 64) if m >> 63 else m for m in whole]
+
+
 def band_pairs(fingerprints: DataFrame, most: int = DUPLICATE_DISTANCE) -> DataFrame:
     """a, b (a < b), distance of all pairs at most three bits apart, of (id, simhash).
 
-    Equal fingerprints are one class, led by the smallest identifier, and linked to it alone, so a text that a third of all rows share makes no square. Classes meet in their
-    bands' equi-join; an empty text's fingerprint of zeros never takes part.
+    Equal fingerprints are one class, led by the smallest identifier, and linked to it alone, so a text that a third of all rows share makes no square. Fingerprints at most three bits apart agree in
+    three of six blocks of bits, so classes meet in an equi-join on every choice of three blocks, of 32 bits or so; each pair is made once, at its first choice. An empty text's fingerprint of zeros never takes part.
     """
     rows = fingerprints.filter((F.length("simhash") == 16) & (F.col("simhash") != "0" * 16)).select("id", "simhash")
     classes = rows.groupBy("simhash").agg(F.min("id").alias("first"))
     copies = rows.join(classes, "simhash").filter(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.substring("simhash", 4 * i + 1, 4).alias("key")) for i in range(4))))
-    banded = classes.withColumn("k", keys).select(F.col("first").alias("id"), simhash_bits(F.col("simhash")).alias("bits"), "k.band", "k.key")
-    left, right = (banded.select(F.col("id").alias(n), F.col("bits").alias(f"{n}_bits"), "band", "key") for n in ("a", "b"))
-    distance = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
-    near = left.join(right, ["band", "key"]).filter((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.cast("int").alias("distance")).distinct()
-    return near.union(copies)
+    masks = _masks(most)
+    coded = classes.select(F.col("first").alias("id"), simhash_bits(F.col("simhash")).alias("bits"))
+    keyed = coded.withColumn("k", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("bits").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))))
+    left, right = (keyed.select(F.col("id").alias(n), F.col("bits").alias(f"{n}_bits"), "k.choice", "k.key") for n in ("a", "b"))
+    apart = F.col("a_bits").bitwiseXOR(F.col("b_bits"))
+    first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(masks)))
+    met = left.join(right, ["choice", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & (first == F.col("choice")))
+    return met.select("a", "b", F.bit_count(apart).cast("int").alias("distance")).union(copies)
 
 
 def nearest_fingerprint(queries: DataFrame, fingerprints: DataFrame, most: int = DUPLICATE_DISTANCE) -> DataFrame:
@@ -115,7 +133,7 @@ def first_come(nodes: DataFrame, edges: DataFrame | None = None, fingerprints: D
         beaten = F.coalesce(F.col("known") < at, F.lit(False)) | F.coalesce("beaten", F.lit(False))
         waits = F.coalesce(F.col("next") < at, F.lit(False)) | F.coalesce("waits", F.lit(False))
         new = open_.join(reach, "simhash", "left").join(state, "id", "left").filter(beaten | ~waits).select("id", (~beaten).alias("canonical"))
-        settled = saved(settled.union(new))
+        settled = settled.union(saved(new))  # only what is new is written
     best = items.join(settled.filter("canonical").select("id"), "id")
     choices = near.join(best.select(F.col("simhash").alias("b"), F.col("id").alias("match"), at.alias("at")), "b").groupBy(F.col("a").alias("simhash")).agg(F.collect_list(F.struct(F.col("distance").cast("double").alias("weight"), F.col("match").alias("a"), "at")).alias("choices"))
     alike = items.join(choices, "simhash").select("id", F.array_min(F.filter("choices", lambda c: c["at"] < at)).alias("x")).filter("x is not null").select("id", "x.weight", "x.a")

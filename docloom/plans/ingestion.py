@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT, Lexicon, entities_of, topics_of
-from ..functions.scoring import Settings, affinity, score_columns
+from ..functions.scoring import Settings, affinity, with_scores
 from ..functions.similarity import cosine, hash_embed, item_text, simhash
 from ..functions.text import detect_lang, excerpt, normalise_text, reading_time_sec
 from ..functions.urls import canonical_url, url_hash
@@ -78,12 +78,12 @@ def scored(items: DataFrame, settings: Settings, interests: list[list[float]] |
         out = out.withColumns({"__saved": F.lit(0), "__seen": F.lit(0)})
     likeness = [cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in v))) for v in interests or []]
     best = F.greatest(*likeness) if len(likeness) > 1 else likeness[0] if likeness else F.lit(None).cast("double")
-    columns = score_columns(
-        settings, F.col("source"), F.col("kind"), F.concat_ws("\n", "title", "summary", "content"), F.col("metrics"), F.col("published_ms"), F.col("author.followers"), affinity(F.col("__saved"), F.col("__seen")), F.coalesce("author.verified", F.lit(False)),
+    full = with_scores(
+        out, settings, F.col("source"), F.col("kind"), F.concat_ws("\n", "title", "summary", "content"), F.col("metrics"), F.col("published_ms"), F.col("author.followers"), affinity(F.col("__saved"), F.col("__seen")), F.coalesce("author.verified", F.lit(False)),
         F.size(F.coalesce("entities", F.array())), best, F.col("max_similarity"), F.col("echo_count"), keywords=keywords,
     )
-    kept = [c for c in items.columns if c not in columns]
-    return out.select(*kept, *(c.alias(n) for n, c in columns.items()))
+    new = ("score", "breakdown", "reasons")
+    return full.select(*(c for c in items.columns if c not in new), *new)
 
 
 def upserted(items: DataFrame, new: DataFrame) -> DataFrame:

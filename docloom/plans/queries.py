@@ -38,8 +38,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+def spread(df: DataFrame, small: int = 32 << 20) -> DataFrame:
+    """Rows of a small table over all cores: a file of one row group would be one task, whatever is computed on its texts. Larger tables have many row groups and stay as they are read."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, for queries that compute on them."""
+    return spread(table(spark, sf_dir, name))
+
+
+def items_of(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    d = docs if docs is not None else table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     pick = lambda names, c: F.element_at(F.array(*(F.lit(x) for x in names)), (c % len(names) + 1).cast("int"))
     return d.select(
@@ -212,24 +223,24 @@ def digest_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT t AS term, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({TOKENS}) AS t FROM documents) GROUP BY t")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return terms.term_counts(texts(spark, sf_dir), "doc_id", F.col("text"))
 
 
 @query(f"""WITH k AS (SELECT doc_id, {TOKENS} AS toks FROM documents), e AS (SELECT doc_id, len(toks) AS size, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM k),
   g AS (SELECT doc_id, term, size, count(*) AS n, min(pos) AS first FROM e GROUP BY ALL), w AS (SELECT *, n / size * (1 - first / size * 0.45) * CASE WHEN length(term) >= 6 THEN 1.15 ELSE 1.0 END * ln(1 + n) AS w FROM g),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, first) AS rank FROM w) SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, round(w / max(w) OVER (PARTITION BY doc_id), 6) AS weight FROM r WHERE rank <= 3""")
 def keywords_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.keyword_table(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 3).withColumn("weight", F.round("weight", 6))
+    return terms.keyword_table(texts(spark, sf_dir), "doc_id", F.col("text"), 3).withColumn("weight", F.round("weight", 6))
 
 
 @query("""WITH s AS (SELECT doc_id, regexp_replace(substr(text, 1, 2000), '\\s', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) = 0 THEN 'und' WHEN length(regexp_replace(t, '[^A-Za-z]', '', 'g')) / greatest(length(t), 1) > 0.4 THEN 'en' ELSE 'und' END AS detected FROM s""")
 def detect_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.detect_lang(F.col("text")).alias("detected"))
+    return texts(spark, sf_dir).select("doc_id", text.detect_lang(F.col("text")).alias("detected"))
 
 
 @query("SELECT doc_id, CAST(greatest(CASE WHEN trim(text) <> '' THEN 5 ELSE 0 END, floor(len(regexp_extract_all(text, '\\S+')) / 238 * 60 + 0.5)) AS INTEGER) AS seconds FROM documents")
 def reading_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.reading_time_sec(F.col("text")).alias("seconds"))
+    return texts(spark, sf_dir).select("doc_id", text.reading_time_sec(F.col("text")).alias("seconds"))
 
 
 def _re2(pattern: str) -> str:
@@ -246,7 +257,7 @@ NOISE_FROM = """(SELECT *, len(regexp_extract_all(h, '[\U0001f300-\U0001faff☀-
 
 @query(f"SELECT doc_id, round({NOISE}, 6) AS noise FROM {NOISE_FROM}")
 def noise_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.noise(F.col("text"))["score"], 6).alias("noise"))
+    return texts(spark, sf_dir).select("doc_id", F.round(text.noise(F.col("text"))["score"], 6).alias("noise"))
 
 
 _MARKS = [f"CASE WHEN regexp_matches(text, '{_re2(p)}') THEN {w} ELSE 0.0 END" for p, w in text.DEPTH_MARKERS]
@@ -257,20 +268,20 @@ DEPTH_FROM = f"(SELECT *, len({ALL_TOKENS}) AS n, len(list_distinct({TOKENS})) A
 
 @query(f"{ITEMS} SELECT id, round({DEPTH}, 6) AS depth FROM {DEPTH_FROM}")
 def depth_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items_of(spark, sf_dir).select("id", F.round(scoring.depth(F.col("content"), F.col("kind"), F.lit(0)), 6).alias("depth"))
+    return items_of(spark, sf_dir, texts(spark, sf_dir)).select("id", F.round(scoring.depth(F.col("content"), F.col("kind"), F.lit(0)), 6).alias("depth"))
 
 
 @query("""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{1,6}\\s+', '', 'g'), '[*_`>]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM documents),
   h AS (SELECT *, substr(t, 1, 120) AS h FROM c), s AS (SELECT *, length(h) - strpos(reverse(h), ' ') AS sp FROM h)
   SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(CASE WHEN strpos(h, ' ') > 0 AND sp > 72 THEN substr(h, 1, sp) ELSE h END) || '…' END AS excerpt FROM s""")
 def excerpt_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), 120).alias("excerpt"))
+    return texts(spark, sf_dir).select("doc_id", text.excerpt(F.col("text"), 120).alias("excerpt"))
 
 
 @query("""WITH p AS (SELECT doc_id, text, least(nullif(strpos(lower(text), 'license'), 0), nullif(strpos(lower(text), 'idiot'), 0)) - 1 AS pos FROM documents), b AS (SELECT *, greatest(0, pos - 40) AS s, least(length(text), pos + 40) AS e FROM p WHERE pos IS NOT NULL)
   SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)), '\\s+', ' ', 'g')) || CASE WHEN e < length(text) THEN '…' ELSE '' END AS snippet FROM b""")
 def snippet_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.lower("text").rlike("license|idiot"))
+    d = texts(spark, sf_dir).filter(F.lower("text").rlike("license|idiot"))
     return d.select("doc_id", text.snippet(F.col("text"), ["license", "idiot"], 40).alias("snippet"))
 
 
@@ -288,7 +299,7 @@ def _html_sql(column: str) -> str:
 
 @query(f"SELECT page_id, sha256({_html_sql('html')}) AS text_sha256 FROM pages")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.html_to_text(F.col("html")), 256).alias("text_sha256"))
+    return texts(spark, sf_dir, "pages").select("page_id", F.sha2(text.html_to_text(F.col("html")), 256).alias("text_sha256"))
 
 
 _TRACKED = "('" + "','".join(sorted({t.lower() for t in urls.TRACKING} | {"s", "t"})) + "')"
@@ -298,7 +309,7 @@ _TRACKED = "('" + "','".join(sorted({t.lower() for t in urls.TRACKING} | {"s", "
   k AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN {_TRACKED} AND NOT starts_with(lower(x), 'utm_'))) AS kept FROM p)
   SELECT page_id, host, 'https://' || host || CASE WHEN length(path) > 1 AND ends_with(path, '/') THEN path[:-2] WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM k""")
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", urls.canonical_url("url").alias("c")).select("page_id", "c.host", "c.url")
+    return texts(spark, sf_dir, "pages").select("page_id", urls.canonical_url("url").alias("c")).select("page_id", "c.host", "c.url")
 
 
 @query("""WITH h AS (SELECT page_id, string_split(regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\\.', ''), '.') AS p FROM pages) SELECT page_id, CASE WHEN len(p) <= 2 THEN array_to_string(p, '.')
@@ -315,7 +326,7 @@ def display_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simhash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = table(spark, sf_dir, "documents").select("doc_id", similarity.simhash(F.col("text")).alias("simhash"))
+    hashed = texts(spark, sf_dir).select("doc_id", similarity.simhash(F.col("text")).alias("simhash"))
     return hashed.withColumn("bands", F.array_join(similarity.simhash_bands(F.col("simhash")), ","))
 
 
@@ -334,13 +345,13 @@ def dedup_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH a AS (SELECT doc_id, list_distinct({TOKENS}) AS t FROM documents), b AS (SELECT item_id, list_distinct({TOKENS}) AS t FROM benchmark),
   p AS (SELECT doc_id AS a, item_id AS b, len(list_intersect(a.t, b.t)) AS s, len(a.t) AS na, len(b.t) AS nb FROM a, b) SELECT a, b, round(s / (na + nb - s), 6) AS jaccard FROM p WHERE s > 0 AND s / (na + nb - s) >= 0.08""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("tokens"))
+    left = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("tokens"))
     right = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), text.tokenize(F.col("text")).alias("tokens"))
     return terms.shared_terms(left, right, 0.08).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     return d.select(F.format_string("d%08d", "doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("body"))
 
 
@@ -435,11 +446,11 @@ def recency_velocity_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{ITEMS}, n AS (SELECT doc_id, {NOISE} AS noise FROM {NOISE_FROM}), s AS (SELECT d.id, {DEPTH} AS depth, noise, pow(0.5, greatest(0.0, (1200 - d.doc_id) * 1.0) / 36) AS recency FROM {DEPTH_FROM} d JOIN n ON d.doc_id = n.doc_id)
   SELECT id, CAST(floor(least(1.0, greatest(0.0, (0.0 * 0.22 + 0.0 * 0.13 + 0.5 * 0.26 + 1.0 * 0.14 + depth * 0.15 + recency * 0.1) / 1.0 * (1 - least(0.3, noise * 0.4)))) * 100 + 0.5) AS INTEGER) AS score FROM s""")
 def rescore_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = items_of(spark, sf_dir)
+    items = items_of(spark, sf_dir, texts(spark, sf_dir))
     none = F.struct(*(F.lit(None).cast("bigint").alias(c) for c in scoring.COUNTERS))
     settings = scoring.Settings(now_ms=1200 * HOUR)
-    found = scoring.score_columns(settings, F.lit("web"), F.col("kind"), F.col("content"), none, F.col("published_ms"), F.lit(None).cast("long"), F.lit(0.0), F.lit(False), F.lit(0), F.lit(None).cast("double"), F.lit(0.0), F.lit(0))
-    return items.select("id", found["score"].alias("score"))
+    found = scoring.with_scores(items, settings, F.lit("web"), F.col("kind"), F.col("content"), none, F.col("published_ms"), F.lit(None).cast("long"), F.lit(0.0), F.lit(False), F.lit(0), F.lit(None).cast("double"), F.lit(0.0), F.lit(0))
+    return found.select("id", "score")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS turn FROM events) WHERE turn = 1")
@@ -507,7 +518,7 @@ def chat_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.extractive_summary(F.col("text")).alias("summary"))
+    return texts(spark, sf_dir).select("doc_id", text.extractive_summary(F.col("text")).alias("summary"))
 
 
 @query(f"""{ITEMS}, c AS (SELECT id, substr(text, 1, 60) AS title, source, handle, score, state, topics, tags, published_ms, doc_id, substr(trim(regexp_replace(substr(text, 1, 300), '\\s+', ' ', 'g')), 1, 500) AS summary FROM items)
@@ -524,31 +535,39 @@ def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What a flow over the events, read as a stream to its end, has written."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or matching.LOCAL_CHECKPOINTS).rstrip('/')}/docloom/stream-{uuid.uuid4().hex}"
+    root = f"{matching.shared_root(spark)}/docloom/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     rows = flow(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))
     rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{root}/out")
 
 
+def _seconds(out: DataFrame) -> DataFrame:
+    """Windows with start_sec: their start, which was read as of the session's zone, in seconds."""
+    zone = F.lit(out.sparkSession.conf.get("spark.sql.session.timeZone"))
+    return out.withColumn("start_sec", F.unix_micros(F.from_utc_timestamp("start", zone)) / 1e6)
+
+
 @query("""WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS s, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2), m AS (SELECT max(ts) - INTERVAL '1 hour' AS late FROM events)
   SELECT epoch(s) AS start_sec, event_type, n, round(total, 6) AS total FROM w, m WHERE s + INTERVAL '6 hours' <= date_trunc('milliseconds', late)""")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _streamed(spark, sf_dir, lambda e: tumbling(e, "event_type", value="value"))
-    zone = F.lit(spark.conf.get("spark.sql.session.timeZone"))
-    return out.select(F.unix_timestamp(F.from_utc_timestamp("start", zone)).cast("double").alias("start_sec"), "event_type", "n", F.round("total", 6).alias("total"))
+    return _seconds(out).select("start_sec", "event_type", "n", F.round("total", 6).alias("total"))
 
 
 @query()
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda e: sliding(e, "event_type"))
+    return _seconds(_streamed(spark, sf_dir, lambda e: sliding(e, "event_type"))).select("start_sec", "event_type", "n")
 
 
 @query()
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda e: sessions(e, "user_id"))
+    return _seconds(_streamed(spark, sf_dir, lambda e: sessions(e, "user_id"))).select("start_sec", "user_id", "n")
 
 
 @query("SELECT event_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda e: unique_events(e, ["event_id"]).select("event_id", "event_type"))
+
+
+from . import catalogue as _catalogue  # noqa: E402, F401  registers more queries

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,7 +138,7 @@ def naive_simhash(tokens):
 
 def test_simhash(spark):
     words = "spark plans queries and runs them over many partitions of data".split()
-    assert similarity.simhash_of(words) == naive_simhash(words)
+    assert f"{int(similarity.simhashes(pa.array([[], words, None, words[:1]]))[1]):016x}" == naive_simhash(words)
     assert one(spark, similarity.simhash(F.col("t")), t="") == "0" * 16
     assert one(spark, similarity.hamming(F.col("t"), F.lit("f" * 16)), t="0" * 16) == 64
     assert one(spark, similarity.hamming(F.col("t"), F.lit("00000000000000f1")), t="00000000000000f0") == 1
@@ -172,8 +173,7 @@ def score(spark, **given):
     frame = spark.createDataFrame([tuple(row.values())], "source string, kind string, text string, points long, comments long, published long, followers long")
     metrics = F.struct(*((F.col(c) if c in row else F.lit(None).cast("bigint")).alias(c) for c in scoring.COUNTERS))
     settings = dataclasses.replace(scoring.Settings(now_ms=36 * scoring.HOUR_MS))
-    c = scoring.score_columns(settings, F.col("source"), F.col("kind"), F.col("text"), metrics, F.col("published"), F.col("followers"), F.lit(0.0), F.lit(False), F.lit(0), F.lit(None).cast("double"), F.lit(0.0), F.lit(0))
-    return frame.select(*(v.alias(k) for k, v in c.items())).first()
+    return scoring.with_scores(frame, settings, F.col("source"), F.col("kind"), F.col("text"), metrics, F.col("published"), F.col("followers"), F.lit(0.0), F.lit(False), F.lit(0), F.lit(None).cast("double"), F.lit(0.0), F.lit(0)).first()
 
 
 def test_scores(spark):
@@ -181,4 +181,4 @@ def test_scores(spark):
     bait = score(spark, text="Follow me and RT this!!!!! Insane giveaway, DM me", kind="post")
     assert good["score"] > bait["score"] + 5 and 0 <= bait["score"] <= 100
     assert good["breakdown"]["recency"] == pytest.approx(0.5) and good["breakdown"]["relevance"] == 0.5
-    assert any("Penalised" in r for r in bait["reasons"]) and any("Boosted" in r for r in bait["reasons"])
+    assert any("noise" in r for r in bait["reasons"]) and "+ source" in bait["reasons"]

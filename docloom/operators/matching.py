@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import DUPLICATE_DISTANCE, simhash_bits
 from .ranking import nearest_vectors
+from .storage import saved, shared_root  # noqa: F401  also read from here
 
 ECHO_WINDOW_MS = 72 * 3_600_000
 ECHO_TYPES = ("model", "company", "product", "paper", "benchmark")
-LOCAL_CHECKPOINTS = "/tmp/docloom-checkpoints"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; where that is unset, a local one, which only a local session can use."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (root or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the folder that the cluster shares (spark.checkpoint.dir)."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/docloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _masks(most: int, blocks: int = 6) -> list[int]:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK_RUN, LATIN_TOKEN, STOPWORDS_EN, cjk_bigrams
+from .storage import saved
 
 # Weight of a match in each column, constants of BM25 and of rank fusion, floors of cosine.
 COLUMN_WEIGHTS = {"title": 10.0, "body": 1.0, "author": 3.0, "tags": 4.0, "cjk": 1.0}
@@ -133,46 +136,93 @@ def _followed(word: str, by: int, prefix: bool) -> Callable[[Column], Column]:
     return after
 
 
-def keyword_search(documents: DataFrame, q: str, limit: int, relax: bool = False, columns: dict[str, float] = COLUMN_WEIGHTS) -> DataFrame:
-    """id, score, rank of the best documents by BM25 over weighted columns: all clauses must match, or any if relaxed.
-
-    The query's terms filter the exploded tokens before they are shuffled, so only hits are grouped.
-    """
-    clauses = compile_query(q)
-    lengths = document_lengths(documents, columns)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    spark = documents.sparkSession
-    if not clauses or not stats["n"]:
-        return spark.createDataFrame([], "id string, score double, rank int")
+def _wanted(clauses: list[Clause]) -> Callable[[Column], Column]:
+    """Whether a term can be part of a match."""
     exact = sorted({t for c in clauses for p in c.phrases for t in (p[:-1] if c.prefix else p)})
     prefixes = sorted({p[-1] for c in clauses if c.prefix for p in c.phrases})
-    wanted = lambda t: (t.isin(*exact) if exact else F.lit(False)) | (t.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")") if prefixes else F.lit(False))
-    hit = None
-    for name, weight in columns.items():
-        part = documents.select("id", F.posexplode(name).alias("pos", "term")).filter(wanted(F.col("term"))).select("id", F.struct("term", F.lit(name).alias("col"), "pos", F.lit(weight).alias("w")).alias("hit"))
-        hit = part if hit is None else hit.union(part)
-    hits = hit.groupBy("id").agg(F.sort_array(F.collect_list("hit")).alias("hits")).join(lengths, "id")  # hits of one document
+    return lambda t: reduce(lambda a, b: a | b, ([t.isin(*exact)] if exact else []) + [F.startswith(t, F.lit(p)) for p in prefixes])
+
+
+def _frequencies(clauses: list[Clause]) -> list[Column]:
+    """Of each clause the weight of all places where one of its phrases stands, from a document's hits (term, col, pos, w)."""
 
     def phrase(words: tuple[str, ...], prefix: bool) -> Column:
-        """Weight of all places where the phrase stands."""
         found = F.filter("hits", lambda x: F.startswith(x["term"], F.lit(words[0])) if prefix and len(words) == 1 else x["term"] == words[0])
         for j, word in enumerate(words[1:], 1):
             found = F.filter(found, _followed(word, j, prefix and j == len(words) - 1))
         return F.aggregate(found, F.lit(0.0), lambda s, x: s + x["w"])
 
-    names = [f"tf{i}" for i in range(len(clauses))]
-    weighed = hits.select("id", "length", *(sum((phrase(p, c.prefix) for p in c.phrases), F.lit(0.0)).alias(n) for n, c in zip(names, clauses, strict=True)))
-    frequency = weighed.agg(*(F.sum((F.col(n) > 0).cast("long")).alias(n) for n in names)).first()
-    score = F.lit(0.0)
-    for n in names:
-        idf = float(max(np.log((stats["n"] - (frequency[n] or 0) + 0.5) / ((frequency[n] or 0) + 0.5)), 1e-6))
-        score = score + idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("length") / float(stats["mean"])))
-    every = sum(((F.col(n) > 0).cast("int") for n in names), F.lit(0))
-    passing = weighed.filter(every > 0 if relax else every == len(names))
+    return [sum((phrase(p, c.prefix) for p in c.phrases), F.lit(0.0)).alias(f"tf{i}") for i, c in enumerate(clauses)]
+
+
+def _ranked(weighed: DataFrame, clauses: int, n: int, mean: float, frequency: dict, limit: int, relax: bool) -> DataFrame:
+    """id, score, rank by BM25, of documents (id, length, tf0, tf1, ...)."""
+    score, every = F.lit(0.0), F.lit(0)
+    for name in (f"tf{i}" for i in range(clauses)):
+        seen = frequency[name] or 0
+        idf = float(max(np.log((n - seen + 0.5) / (seen + 0.5)), 1e-6))
+        score = score + idf * F.col(name) * (K1 + 1) / (F.col(name) + K1 * (1 - B + B * F.col("length") / mean))
+        every = every + (F.col(name) > 0).cast("int")
+    passing = weighed.filter(every > 0 if relax else every == clauses)
     top = passing.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
+def _nothing(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "id string, score double, rank int")
+
+
+def keyword_search(documents: DataFrame, q: str, limit: int, relax: bool = False, columns: dict[str, float] = COLUMN_WEIGHTS) -> DataFrame:
+    """id, score, rank of the best documents by BM25 over weighted columns: all clauses must match, or any if relaxed.
+
+    A document's hits are found in its own row, so nothing is shuffled, and the texts are read once: lengths and frequencies are written, and ranked from there.
+    """
+    clauses = compile_query(q)
+    if not clauses:
+        return _nothing(documents.sparkSession)
+    wanted = _wanted(clauses)
+    hits = F.concat(*(F.filter(F.transform(c, _placed(c, w)), lambda x: wanted(x["term"])) for c, w in columns.items()))
+    length = sum((F.size(c) for c in columns), F.lit(0))
+    weighed = saved(documents.select("id", length.alias("length"), hits.alias("hits")).select("id", "length", *_frequencies(clauses)))
+    stats = weighed.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"tf{i}") for i in range(len(clauses)))).first()
+    if not stats["n"]:
+        return _nothing(documents.sparkSession)
+    return _ranked(weighed, len(clauses), stats["n"], float(stats["mean"]), stats.asDict(), limit, relax)
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index. ``postings``: term, id, tf, places, in order of terms, so a query reads the row groups of its terms; ``lengths``: id, length; ``n`` and ``mean`` of them."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    n: int
+    mean: float
+    columns: dict[str, float]
+
+
+def build_index(documents: DataFrame, columns: dict[str, float] = COLUMN_WEIGHTS) -> Index:
+    """The index of documents (id, token arrays), as tables in the shared folder."""
+    spark = documents.sparkSession
+    terms = saved(postings(documents, columns).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "id").sortWithinPartitions("term", "id"))
+    lengths = saved(document_lengths(documents, columns))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    return Index(terms, lengths, stats["n"], float(stats["mean"] or 0), dict(columns))
+
+
+def indexed_search(index: Index, q: str, limit: int, relax: bool = False) -> DataFrame:
+    """What ``keyword_search`` gives, from a stored index: only the postings of the query's terms are read."""
+    clauses = compile_query(q)
+    if not clauses or not index.n:
+        return _nothing(index.postings.sparkSession)
+    weight = F.create_map(*(F.lit(x) for c, w in index.columns.items() for x in (c, float(w))))
+    found = index.postings.filter(_wanted(clauses)(F.col("term"))).select("id", "term", F.explode("places").alias("p"))
+    hits = found.groupBy("id").agg(F.collect_list(F.struct("term", "p.col", "p.pos", weight[F.col("p.col")].alias("w"))).alias("hits"))  # hits of one document
+    weighed = saved(hits.join(index.lengths, "id").select("id", "length", *_frequencies(clauses)))
+    frequency = weighed.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"tf{i}") for i in range(len(clauses)))).first()
+    return _ranked(weighed, len(clauses), index.n, index.mean, frequency.asDict(), limit, relax)
+
+
 def _frame(**columns: np.ndarray) -> pd.DataFrame:
     """A frame whose strings are plain objects, which Arrow takes as one array."""
     return pd.DataFrame({k: pd.Series(v if v.dtype.kind in "biuf" else v.astype(object), dtype=None if v.dtype.kind in "biuf" else object) for k, v in columns.items()})

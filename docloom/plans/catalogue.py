@@ -9,7 +9,7 @@ from ..functions import display, scoring, similarity, text, urls
 from ..operators import analytics, export, filters, library, matching, ranking
 from ..schema import BREAKDOWN, ENTITIES, ENTITY_TYPES, METRICS, SearchQuery, violations
 from . import ingestion
-from .queries import ALL_TOKENS, DEPTH, EVENT_MS, HOUR, ITEMS, NOISE, NOISE_FROM, SQL, TOKENS, _ACTIONS, _COSINE, _events, items_of, query, table, texts
+from .queries import ALL_TOKENS, BODY, DEPTH, EVENT_MS, HOUR, ITEMS, NOISE, NOISE_FROM, SQL, TOKENS, _ACTIONS, _COSINE, _WORDS, _documents, _events, items_of, query, table, texts
 from .search import ask, search, similar
 
 _TYPES = "['" + "','".join(ENTITY_TYPES) + "']"
@@ -26,7 +26,7 @@ def full_items(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None)
     return items.join(vectors, "id", "left")
 
 
-# Search over all index columns.
+# Search over all index columns, and from a stored index.
 
 _FOLD = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
 _CUT = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+')"
@@ -63,6 +63,13 @@ def search_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(full_items(spark, sf_dir, texts(spark, sf_dir)), "zzzzqq ment")
 
 
+@query(SQL["bm25_keyword"])
+def indexed_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword search from a stored index of all documents."""
+    index = ranking.build_index(_documents(spark, sf_dir), BODY)
+    return ranking.indexed_search(index, " ".join(_WORDS), 25).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH RECURSIVE {_index(('tion', 'ment'))[5:]} SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS n, id, substr(text, 1, 60) AS title, 'https://example.org/' || doc_id AS url FROM bm ORDER BY score DESC, id LIMIT 12")
 def ask_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = full_items(spark, sf_dir, texts(spark, sf_dir)).withColumn("embedding", F.lit(None).cast("array<float>"))
@@ -307,6 +314,10 @@ _SIMHASH = f"""WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), o AS (SE
 SQL["simhash_docs"] = f"""{_SIMHASH}, x AS (SELECT doc_id, {_hex('v')} AS simhash FROM s) SELECT doc_id, simhash, array_to_string(list_transform(range(4), lambda i: i || ':' || substr(simhash, CAST(4 * i + 1 AS BIGINT), 4)), ',') AS bands FROM x"""
 SQL["near_duplicates"] = f"""{_SIMHASH}, c AS (SELECT v, min(doc_id) AS a FROM s WHERE v <> 0 GROUP BY v) SELECT a, doc_id AS b, 0 AS distance FROM c JOIN s USING (v) WHERE doc_id <> a
   UNION ALL SELECT l.a, r.a, CAST(bit_count(xor(l.v, r.v)) AS INTEGER) FROM c l JOIN c r ON l.a < r.a WHERE bit_count(xor(l.v, r.v)) <= 3"""
+SQL["dedup_canonical"] = f"""{_SIMHASH.replace("WITH d", "WITH RECURSIVE d")}, numbered AS MATERIALIZED (SELECT doc_id AS id, v, row_number() OVER (ORDER BY doc_id) AS i FROM s),
+  r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BIGINT AS duplicate_of, []::STRUCT(id BIGINT, v HUGEINT)[] AS known UNION ALL SELECT i, id, twin, CASE WHEN twin IS NULL AND v <> 0 THEN list_append(known, {{'id': id, 'v': v}}) ELSE known END
+    FROM (SELECT o.i, o.id, o.v, known, list_min(list_transform(list_filter(known, lambda c: o.v <> 0 AND bit_count(xor(c.v, o.v)) <= 3), lambda c: {{'d': bit_count(xor(c.v, o.v)), 'id': c.id}})).id AS twin FROM r JOIN numbered o ON o.i = r.i + 1))
+  SELECT id, duplicate_of FROM r WHERE i > 0"""
 SQL["stream_sliding"] = """WITH w AS (SELECT time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '3 hours' * k AS s, event_type FROM events, range(2) t(k)), g AS (SELECT s, event_type, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT max(ts) - INTERVAL '1 hour' AS late FROM events)
   SELECT epoch(s) AS start_sec, event_type, n FROM g, m WHERE s + INTERVAL '6 hours' <= date_trunc('milliseconds', late)"""
 SQL["stream_session"] = """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '30 minutes' AS new FROM events), i AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e),

@@ -13,6 +13,7 @@ from ..functions.text import snippet, tokenize
 from ..operators.analytics import facets
 from ..operators.filters import browse, decode_cursor, encode_cursor, matching, ordering
 from ..operators.ranking import FLOOR_SEMANTIC, FLOOR_SIMILAR, concept_search, diversified, documents_of, highlight_terms, keyword_search, nearest_vectors, reciprocal_rank_fusion
+from ..operators.storage import saved
 from ..schema import SearchQuery
 
 
@@ -55,8 +56,9 @@ def search(items: DataFrame, query: SearchQuery, lexicon: Lexicon = DEFAULT, mem
         topics, names = classify(lexicon, "", query.q, 4, for_query=True), [e["name"] for e in entities_in(lexicon, query.q)]
         lists["concept"] = concept_search(fits, topics, names, most).select("id", "rank")
         lists["semantic"] = nearest_vectors(fits.select("id", "embedding"), vector, most, FLOOR_SEMANTIC).select("id", "rank")
+    lists = {name: saved(ranked) for name, ranked in lists.items()}  # at most 400 rows each
     if all(ranked.isEmpty() for ranked in lists.values()):
-        lists["keyword"] = keyword_search(documents, query.q, most, relax=True).select("id", "rank")
+        lists["keyword"] = saved(keyword_search(documents, query.q, most, relax=True).select("id", "rank"))
     fused = reciprocal_rank_fusion(lists).limit(most)
     if query.diversify > 0:
         candidates = fused.join(fits.select("id", "embedding"), "id").withColumn("query_id", F.lit("q"))

@@ -179,3 +179,16 @@ def test_buckets(days):
     from docloom.operators.analytics import bucket_count, bucket_size
 
     assert bucket_size(0, days * 86_400_000, bucket_count(days)) >= 3_600_000
+
+
+def test_index_finds_what_a_scan_finds(spark):
+    rows = [(f"d{i}", [w for w in ("red blue green vector search index " * (i % 3 + 1)).split()][i % 4 :], ["tag", f"t{i % 2}"]) for i in range(12)] + [("d12", [], [])]
+    documents = spark.createDataFrame(rows, "id string, body array<string>, tags array<string>")
+    columns = {"body": 1.0, "tags": 4.0}
+    index = ranking.build_index(documents, columns)
+    for q in ("vector", '"vector search"', '"search vector"', "vec gre", '"blue green" t1', "zzz green", "zzz"):
+        for relax in (False, True):
+            want = [(r["id"], round(r["score"], 9), r["rank"]) for r in ranking.keyword_search(documents, q, 8, relax, columns).collect()]
+            assert [(r["id"], round(r["score"], 9), r["rank"]) for r in ranking.indexed_search(index, q, 8, relax).collect()] == want
+    assert ranking.indexed_search(index, '"search vector"', 8).count() == 0 < ranking.indexed_search(index, '"vector search"', 8).count()
+    assert ranking.indexed_search(ranking.build_index(documents.limit(0), columns), "vector", 8).count() == 0

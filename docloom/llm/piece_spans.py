@@ -87,6 +87,7 @@ class Model:
     """What the normaliser needs of a model file."""
 
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # bytes of each piece; -1: unknown, 0: control
+    bytes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the byte that a piece stands for, or -1
     pieces: list[bytes] = field(default_factory=list)
     symbols: list[bytes] = field(default_factory=list)
     map: CharacterMap = field(default_factory=lambda: CharacterMap(b""))
@@ -99,22 +100,25 @@ class Model:
     def read(cls, path: str) -> Model:
         with open(path, "rb") as f:
             data = f.read()
-        model, sizes = cls(), []
+        model, sizes, bytes_ = cls(), [], []
         for number, value in _fields(data):
             if number == 1:
                 piece = dict(_fields(value))
                 name, kind = piece.get(1, b""), piece.get(3, 1)
                 model.pieces.append(name)
                 sizes.append({2: -1, 3: 0, 6: 1}.get(kind, len(name)))
+                bytes_.append(int(name[1:-1], 16) if kind == 6 else -1)
                 if kind == 4:
                     model.symbols.append(name)
             elif number == 2:
                 model.suffix = bool(dict(_fields(value)).get(24, 0))
             elif number == 3:
                 spec = dict(_fields(value))
-                model.map = CharacterMap(spec.get(2, b""))
-                model.dummy_prefix, model.squeeze, model.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
-        model.sizes = np.array(sizes, np.int64)
+                if 2 in spec:
+                    model.map = CharacterMap(spec[2])
+                for k, name in ((3, "dummy_prefix"), (4, "squeeze"), (5, "escape")):
+                    setattr(model, name, bool(spec.get(k, getattr(model, name))))
+        model.sizes, model.bytes = np.array(sizes, np.int64), np.array(bytes_, np.int64)
         return model
 
     @property
@@ -203,7 +207,20 @@ def _piece_sizes(model: Model, ids: list[int], normal: bytes) -> np.ndarray:
 
 
 def spans(model: Model, texts: list[str], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """First and end byte, in the original UTF-8, of every piece of ``texts``, one text after another."""
+    """First and end byte, in the original UTF-8, of every piece of ``texts``, one text after another. Of a character in single bytes the last has the whole span, as the library has it."""
+    begin, end = _spans(model, texts, ids)
+    flat = np.fromiter((i for x in ids for i in x), np.int64, len(begin))
+    value = model.bytes[flat] if len(flat) else flat
+    alone = np.flatnonzero(value >= 0)
+    if len(alone):
+        lead = np.maximum.accumulate(np.where((value[alone] & 0xC0) != 0x80, np.arange(len(alone)), 0))
+        begin[alone] = begin[alone][lead]
+        more = alone[:-1][(np.diff(lead) == 0) & (np.diff(alone) == 1)]  # another byte of the character follows
+        end[more] = begin[more]
+    return begin, end
+
+
+def _spans(model: Model, texts: list[str], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(x) for x in ids], np.int64)
     flat = np.fromiter((i for x in ids for i in x), np.int64, int(counts.sum()))
     sizes = model.sizes[flat]

@@ -497,3 +497,28 @@ def test_op4_grades(spark, messy, empty):
     nothing = fit_on(empty, table, graded(table))
     assert nothing is None and all(r["kept"] and r["expected_grade"] is None for r in grade_documents(messy, nothing).collect())
     assert grade_documents(empty, model).count() == 0
+
+
+def test_op3_spans_are_the_librarys(tmp_path):
+    """Of the vocabulary as it is, and with compiled character maps and squeezed spaces put into it."""
+    import random
+
+    import sentencepiece
+
+    from docloom.llm.piece_spans import Model, spans
+
+    with open(pt.path("piece_bpe_32k.model"), "rb") as f:
+        base = f.read()
+    squeezed = bytes([0x1A, 2, 0x20, 1])  # a normaliser's field 4
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab cdéßﬁＡ①½㌔ \n\t　​ 日本ﾞｶ😀\U0001f9ffx.,12▁Å") for _ in range(rng.randint(0, 30))) for _ in range(400)] + ["", " ", "  a  b ", "a", "​", "①  "]
+    maps = [b"", *(sentencepiece.SentencePieceNormalizer(rule_name=r).serialized_model_proto() for r in ("nmt_nfkc", "nfkc_cf", "nmt_nfkc_cf"))]
+    for k, extra in enumerate([*maps, *(m + squeezed for m in maps)]):
+        path = tmp_path / f"{k}.model"
+        path.write_bytes(base + extra)  # a later part of a message is merged into it
+        tool, model = sentencepiece.SentencePieceProcessor(model_file=str(path)), Model.read(str(path))
+        assert bool(model.map) == (k % 4 > 0) and model.squeeze == (k > 3)
+        ids = [tool.encode(t) for t in texts]
+        begin, end = spans(model, texts, ids)
+        want = [(p.begin, p.end) for t in texts for p in tool.encode(t, return_type="proto").pieces]
+        assert list(zip(begin.tolist(), end.tolist(), strict=True)) == want

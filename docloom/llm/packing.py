@@ -197,13 +197,16 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     return keyed_text(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, gap: float = 1e-4, salts: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, gap: float = 1e-4, salts: int | None = None, late: tuple[str, ...] = ()) -> DataFrame:
     """``pieces`` (at least doc_id, start, length, ids_crc32; at most ``capacity`` long) with sequence_id and offset.
 
-    ``unit``: lengths are rounded up to it for the plan only. ``salts``: groups in which a class is ranked, by default spark.sql.shuffle.partitions.
+    ``unit``: lengths are rounded up to it for the plan only. ``salts``: groups in which a class is ranked, by default spark.sql.shuffle.partitions. ``late``: large columns, which are joined to the placed pieces
+    at the end instead of being carried along.
     """
     spark = pieces.sparkSession
-    pieces = written(pieces, "pieces")
+    names = pieces.columns
+    whole = written(pieces.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
+    pieces = whole.drop(*late)
     kind = F.least(F.ceil(F.col("length") / unit), F.lit(capacity // unit)).cast("long")
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts or partitions(spark)))
     marked = pieces.withColumns({"__kind": kind, "__salt": salt})
@@ -219,9 +222,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, gap: float = 1e
             ranks = b.column(b.schema.get_field_index("__rank")).to_numpy()
             i = np.searchsorted(starts, kinds * big + ranks, side="right") - 1
             turn, place = np.divmod(ranks - made.base[i], made.each[i])
-            keep = [b.column(j) for j in range(b.num_columns) if not b.schema.field(j).name.startswith("__")]
-            names = [x.name for x in b.schema if not x.name.startswith("__")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(made.first[i] + turn), pa.array(made.slot[i] + place)], [*names, "sequence_id", "__slot"])
+            kept = [x.name for x in b.schema if x.name not in ("__kind", "__rank")]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in kept), pa.array(made.first[i] + turn), pa.array(made.slot[i] + place)], [*kept, "sequence_id", "__slot"])
 
     before = rows.withColumn("__before", F.sum("__n").over(Window.partitionBy("__kind").orderBy("__salt")) - F.col("__n")).drop("__n")
     within = Window.partitionBy("__kind", "__salt").orderBy("doc_id", "start", "ids_crc32")
@@ -230,9 +232,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, gap: float = 1e
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     placed = ranked.mapInArrow(run, f"{fields}, sequence_id long, __slot long")
     order = Window.partitionBy("sequence_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.withColumn("offset", F.sum("length").over(order) - F.col("length")).drop("__slot")
+    placed = placed.withColumn("offset", F.sum("length").over(order) - F.col("length"))
+    if late:
+        placed = placed.join(whole.select("__piece", *late), "__piece")
+    return placed.select(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, unit: int = 8) -> DataFrame:
     """Pieces of all documents with their sequence and place in it."""
-    return pack(token_pieces(docs, vocabulary, end_id, capacity, id_col, text_col, ids=ids), capacity, unit)
+    return pack(token_pieces(docs, vocabulary, end_id, capacity, id_col, text_col, ids=ids), capacity, unit, late=("ids",) if ids else ())

@@ -162,6 +162,76 @@ def test_pipeline_stages(spark, messy, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Rules and classifier by their reports, near duplicates, passages and pieces by plain loops over all documents."""
+    import random
+    import re
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    pt = pytest.importorskip("public_tokenizers")
+    from conftest import prose
+    from tokenizers import Tokenizer
+
+    from docloom.llm.ordinal_classifier import fit_on, grade_documents, graded
+    from docloom.llm.quality_rules import quality_report
+
+    rng = random.Random(11)
+    passages = [prose(900 + i, 58) for i in range(3)]
+    texts = {}
+    for i in range(90):
+        t = prose(i, rng.randint(60, 260))
+        if i % 9 == 1:
+            t = texts[i - 1]
+        elif i % 9 == 3:
+            t = texts[i - 1] + " and a tail"
+        elif i % 9 in (5, 7):
+            t = t + " " + rng.choice(passages) + " " + prose(i + 300, 40)
+        elif i % 9 == 8:
+            t = t.replace(" ", " %%% ")
+        texts[i] = t
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, int(i % 9 != 8), 0) for i in range(0, 90, 2)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+
+    fine = [r["doc_id"] for r in quality_report(docs).collect() if r["kept"]]
+    left = docs.filter(F.col("doc_id").isin(fine))
+    kept = sorted(r["doc_id"] for r in grade_documents(left, fit_on(left, labels, graded(labels))).collect() if r["kept"])
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", texts[i]) for i in kept}
+    sets = {i: {tuple(x.lower() for x in w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    root = {i: i for i in kept}
+    for a in kept:
+        for b in kept:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    kept = [i for i in kept if root[i] == i]
+    first: dict = {}
+    for i in kept:
+        for k in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][k : k + 50]), i)
+    tool, want = Tokenizer.from_file(pt.path("word_bpe_49k.json")), {}
+    for i in kept:
+        gone = {j for k in range(len(words[i]) - 49) if first[tuple(words[i][k : k + 50])] < i for j in range(k, k + 50)}
+        text = " ".join(x for j, x in enumerate(words[i]) if j not in gone) if gone else texts[i]
+        want[i] = tool.encode(text, add_special_tokens=False).ids + [1]
+    assert 30 < len(kept) < len(fine) < 90 and any(len(want[i]) < len(tool.encode(texts[i]).ids) for i in kept)
+    got: dict = {}
+    for r in pipeline.run(spark, str(tmp_path)).orderBy("doc_id", "start").collect():
+        assert r["start"] == len(got.setdefault(r["doc_id"], []))
+        got[r["doc_id"]] += r["ids"]
+    assert got == want
+
+
+def test_pipeline_stages_take_messy_tables(spark, messy, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, 1, 0), (None, None, None), (7, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, messy, str(tmp_path))
+        assert out.columns == messy.columns or name == "packing", name
+        assert out.count() <= 3 * messy.count() and (out.count() > 0 or name == "quality classifier"), name  # which has two labels here
+
+
 def test_registry():
     import __spark_entry__
     from docloom.llm.queries import QUERIES

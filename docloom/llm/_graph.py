@@ -16,8 +16,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``links`` (a, b) to (node, root): every node's least node in reach, by alternating large and small stars until nothing changes;
     the rounds needed grow with the logarithm of the longest path, and running out of them is an error.
 
-    Each star step takes a minimum by node, combined before the shuffle and written, and joins it back one to many; both sides are only shuffled, so Spark can split a hot node. The links of every round are
-    written to the shared folder, too.
+    Each star step takes a minimum by node, combined before the shuffle, and joins it back one to many. The minima of large stars are written first, so both sides of their join are only shuffled and Spark can split
+    a hot node; the links of every round are written, too.
     """
     now = written(links.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     before = None
@@ -28,9 +28,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before = (mark["n"], mark["x"])
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = written(both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").distinct(), "links")
+        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").distinct()
         lower = large.select(F.col("b").alias("u"), F.col("a").alias("v"))  # a < b always: the lower neighbours of b
-        roots = written(lower.groupBy("u").agg(F.min("v").alias("m")), "roots")
+        roots = lower.groupBy("u").agg(F.min("v").alias("m"))
         small = lower.join(roots, "u").select("m", F.col("v").alias("w")).filter(F.col("m") != F.col("w")).union(roots.select("m", F.col("u").alias("w")))
         now = written(small.select(F.col("m").alias("a"), F.col("w").alias("b")).distinct(), "links")
     else:

@@ -234,7 +234,7 @@ def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: in
     return links.union(_compared(both.withColumn("chunk", (F.col("block") * F.col("chunks") + F.col("piece")).cast("int")), percent))
 
 
-def _resolved(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, trees: int = 10, tokens: int = 32, least: int = 15, leaf: int = 512, wide: int = 3, cluster: int = 4096) -> DataFrame:
+def _resolved(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, trees: int = 10, tokens: int = 32, least: int = 15, leaf: int = 512, wide: int = 3, cluster: int = 1024) -> DataFrame:
     """doc_id, text_hash, n_shingles, root (the component, null for an empty set) and component_id of every row."""
     own = keyed_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     rows = written(document_classes(own, size, tokens), "classes")

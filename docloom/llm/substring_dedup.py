@@ -267,7 +267,7 @@ def _cut(window: int):
     return run, "c binary, n_removed long, kept_text string, kept_sha256 string, spans array<struct<start:int,words:int>>"
 
 
-def repeated_passages(docs: DataFrame, window: int = 50, group: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 50, group: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_words, n_removed, kept_sha256, kept_text (null: nothing removed), spans (start, words) of what goes, of every row."""
     own = keyed_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     rows = written(own.mapInArrow(*_scanned(window)), "scanned")

@@ -102,6 +102,13 @@ def rescored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingestion.rescore(full_items(spark, sf_dir, texts(spark, sf_dir)), scoring.Settings(now_ms=1200 * HOUR)).select("id", "score")
 
 
+@query()
+def interest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of the latest saved items' vectors; how many count is the profile's own limit."""
+    centres, _ = ingestion.interest_profile(full_items(spark, sf_dir))
+    return spark.createDataFrame(list(enumerate(centres)), "cluster int, centre array<double>")
+
+
 # Joins and aggregates of items.
 
 

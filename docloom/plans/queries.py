@@ -413,13 +413,6 @@ def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.diversified(near.join(v.select("id", "embedding"), "id"), 0.7, 20)
 
 
-@query()
-def interest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _vectors(spark, sf_dir).orderBy("id").limit(400).collect()  # a profile has 400 vectors at most
-    centres = similarity.interest_clusters([r["embedding"] for r in rows])
-    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cluster int, centre array<double>")
-
-
 NOW = 1_735_689_600_000
 _ORDER_MS = "epoch_ms(o_orderdate)"
 

@@ -125,6 +125,29 @@ def highlights_of(highlights: DataFrame, item_id: str | None = None, limit: int
     return highlights.orderBy(F.desc("created_ms"), "id").limit(limit)
 
 
+def new_highlights(highlights: DataFrame, added: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """The table with the valid ones of ``added``, and the others with their reason: text is needed, of at most ``most`` characters."""
+    size = F.length(F.trim(F.coalesce("text", F.lit(""))))
+    checked = added.withColumn("reason", F.when(size == 0, "no text").when(F.length("text") > most, "too long"))
+    return highlights.unionByName(checked.filter("reason is null").select(*highlights.columns)), checked.filter("reason is not null")
+
+
+def appended(ledger: DataFrame, actions: DataFrame) -> DataFrame:
+    """The ledger with a batch of ``actions`` (ts_ms, type, item_id, call_id, value) after its last entry, in order of time, item and type."""
+    last = ledger.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__last"))
+    turn = F.row_number().over(Window.orderBy("ts_ms", "item_id", "type"))  # a batch, not the ledger
+    placed = actions.crossJoin(F.broadcast(last)).withColumn("seq", F.col("__last") + turn)  # one row
+    return ledger.unionByName(placed.select(*ledger.columns))
+
+
+def changes(before: DataFrame, after: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """id, change of two versions of a table: created, removed, or updated in any of ``columns``."""
+    mark = F.struct(*columns)
+    both = before.select(key, mark.alias("old")).join(after.select(key, mark.alias("new")), key, "full_outer")
+    change = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "updated")
+    return both.select(key, change.alias("change")).filter("change is not null")
+
+
 def facet_values(items: DataFrame) -> DataFrame:
     """All values to filter by: facet, value, n."""
     from .analytics import facets

@@ -236,6 +236,24 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(violations(row), ",").alias("invalid"), filters.rejection(row, ("License ", "z"), ("@a7",)).alias("reason"))
 
 
+@query("""WITH o AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 7 <> 3), n AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'moved' ELSE source END AS source, CASE WHEN quality = 0 THEN NULL ELSE lang END AS lang FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.doc_id % 5 <> 2)
+  SELECT coalesce(o.doc_id, n.doc_id) AS id, CASE WHEN o.doc_id IS NULL THEN 'created' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'updated' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.source IS DISTINCT FROM n.source OR o.lang IS DISTINCT FROM n.lang""")
+def item_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+    graded = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    new = d.filter("id % 5 <> 2").join(graded, "id", "left").select("id", F.when(F.col("toxic") == 1, "moved").otherwise(F.col("source")).alias("source"), F.when(F.col("quality") == 0, None).otherwise(F.col("lang")).alias("lang"))
+    return library.changes(d.filter("id % 7 <> 3"), new, ["source", "lang"])
+
+
+@query(f"""WITH l AS (SELECT event_id AS seq, {EVENT_MS} AS ts_ms, event_type AS type, user_id FROM events), n AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS k, conv_id, turn FROM conversations)
+  SELECT seq, ts_ms, type, 'u' || user_id AS item_id FROM l UNION ALL SELECT (SELECT max(seq) FROM l) + k, conv_id * 1000 + turn, 'asked', 'c' || conv_id FROM n""")
+def ledger_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    ledger = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.col("at_ms").alias("ts_ms"), F.col("event_type").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("item_id"), none.alias("call_id"), none.alias("value"))
+    actions = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ts_ms"), F.lit("asked").alias("type"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("item_id"), none.alias("call_id"), none.alias("value"))
+    return library.appended(ledger, actions).select("seq", "ts_ms", "type", "item_id")
+
+
 # Export.
 
 

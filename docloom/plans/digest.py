@@ -43,9 +43,13 @@ def cluster(rows: list) -> list[tuple[str, list]]:
 
 def template(rows: list) -> str:
     """The digest's text: a lede and up to four bullets a section."""
+    if not rows:
+        return "No items in this period."
     groups = cluster(rows)
     sources = len({r["source"] for r in rows})
     lines = [f"{len(rows)} items from {sources} source{'s' if sources != 1 else ''}, in {len(groups)} theme{'s' if len(groups) != 1 else ''}."]
+    top = max(rows, key=lambda r: (r["score"] or 0, r["id"]))
+    lines[0] += f" Best: {top['title'] or top['url']}" + (f", by {top['by']}." if top["by"] else ".")
     number = {r["id"]: i + 1 for i, r in enumerate(rows)}
     for topic, group in groups:
         lines += ["", f"## {topic}"] + [f"- {r['title'] or r['url']}: {r['line']} [{number[r['id']]}]" for r in sorted(group, key=lambda r: (-(r["score"] or 0), r["id"]))[:BULLETS]]
@@ -55,13 +59,21 @@ def template(rows: list) -> str:
 def generate(items: DataFrame, now_ms: int, hours: int = 24, most: int = 24) -> DataFrame:
     """One row of the digest table."""
     chosen = select_items(items, now_ms, hours, most).withColumn("line", excerpt(F.coalesce("summary", "content"), 160))
-    rows = chosen.select("id", "url", "title", "source", "topics", "score", "embedding", "line").collect()  # ``most`` rows
+    by = F.coalesce("author.name", "author.handle").alias("by")
+    rows = chosen.select("id", "url", "title", "source", "topics", "score", "embedding", "line", by).collect()  # ``most`` rows
     name = "Daily" if hours <= 24 else "Weekly" if hours <= 168 else "Period"
     body = template(rows)
     key = hashlib.sha256(f"{now_ms}:{hours}:{body}".encode()).hexdigest()[:24]
     return items.sparkSession.createDataFrame([(key, f"{name} digest", now_ms - hours * HOUR_MS, now_ms, body, [r["id"] for r in rows], now_ms)], DIGEST)
 
 
+def stored(digests: DataFrame, digest_id: str | None = None, limit: int = 30) -> DataFrame:
+    """Digests, latest first; or one by its identifier. ``stored(digests, limit=1)`` is the latest."""
+    if digest_id is not None:
+        return digests.filter(F.col("id") == digest_id)
+    return digests.orderBy(F.desc("period_to_ms"), F.desc("created_ms"), "id").limit(limit)
+
+
 def sections(body: str) -> list[dict]:
     """Headings, text and cited numbers of a Markdown digest."""
     import re

@@ -187,3 +187,46 @@ def test_first_seen_stream(spark, tmp_path):
     first_seen(rows).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["url"], r["full"]) for r in spark.read.schema(rows.schema).parquet(str(tmp_path / "out")).collect())
     assert got == [("a", False), ("a", True), ("b", True)]
+
+
+def test_refresh_keeps_errors_with_their_source(spark):
+    from docloom.plans.refresh import tick
+
+    rows = [("a", "rss", True, 600, 0, 5, None), ("b", "rss", True, 600, None, None, "old"), ("c", "rss", False, 600, 0, 1, None), ("d", "rss", True, 600, 9_999_000, 2, "kept")]
+    sources = spark.createDataFrame(rows, "id string, kind string, enabled boolean, interval_sec long, last_run_ms long, items_total long, last_error string")
+
+    def fetch(source):
+        if source["id"] == "b":
+            raise ValueError("no feed")
+        return spark.range(3)
+
+    got = {r["id"]: (r["last_run_ms"], r["items_total"], r["last_error"]) for r in tick(sources, 10_000_000, fetch, lambda s, f: f.count()).collect()}
+    assert got == {"a": (10_000_000, 8, None), "b": (10_000_000, 0, "ValueError: no feed"), "c": (0, 1, None), "d": (9_999_000, 2, "kept")}
+
+
+def test_highlights_and_digests(spark):
+    from docloom.operators.library import new_highlights
+    from docloom.plans.digest import stored, template
+    from docloom.schema import DIGEST, HIGHLIGHT
+
+    none = spark.createDataFrame([], HIGHLIGHT)
+    added = spark.createDataFrame([("h1", "i", "text", None, None, 1), ("h2", "i", " ", None, None, 2), ("h3", "i", "x" * 10_001, None, None, 3), ("h4", "i", None, None, None, 4)], HIGHLIGHT)
+    table, refused = new_highlights(none, added)
+    assert [r["id"] for r in table.collect()] == ["h1"] and {(r["id"], r["reason"]) for r in refused.collect()} == {("h2", "no text"), ("h3", "too long"), ("h4", "no text")}
+    digests = spark.createDataFrame([("x", "t", 0, 10, "b", [], 10), ("y", "t", 0, 30, "b", [], 30), ("z", "t", 0, 20, "b", [], 20)], DIGEST)
+    assert [r["id"] for r in stored(digests).collect()] == ["y", "z", "x"] and stored(digests, limit=1).first()["id"] == "y" and stored(digests, "z").count() == 1
+    assert template([]) == "No items in this period."
+
+
+def test_demo_rows_go_through_ingestion(spark):
+    from docloom.functions.scoring import Settings
+    from docloom.plans.ingestion import run
+    from docloom.schema import ITEM
+    from docloom.sources.demo import demo_rows
+
+    now = 1_700_000_000_000
+    rows = demo_rows(spark, now)
+    assert rows.count() == 36 and rows.select("url").distinct().count() == 36
+    done = run(spark.createDataFrame([], ITEM), rows, Settings(now_ms=now))
+    counts = {r["outcome"]: r["n"] for r in done.results.collect()}
+    assert counts["received"] == 36 and counts["duplicates"] >= 5 and counts["created"] + counts["duplicates"] + counts["rejected"] == 36

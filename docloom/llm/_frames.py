@@ -12,8 +12,10 @@ LOCAL_SHARED = "/tmp/docloom-shared"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; where it is unset, a local one, which only a local session can use."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (root or LOCAL_SHARED).rstrip("/")
 
 

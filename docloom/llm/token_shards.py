@@ -1,6 +1,6 @@
 """Token-id shards as sorted string tables.
 
-Documents are range-partitioned and sorted by key, so the shards in order hold the corpus in ascending key order. A shard file holds:
+Documents are range-partitioned and sorted by key, and within a key by a hash of the text, so the shards in order hold the corpus in ascending key order and a key of many rows can be in several. A shard file holds:
 
 * data blocks of about ``block_bytes``: entries (shared key bytes, other key bytes, value bytes as varints; the other key bytes; the value), a restart point
   with a whole key every ``RESTART`` entries, the restart offsets, their number, and a CRC-32;
@@ -256,7 +256,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, directory: str |
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], ["part", "seq", "path", "first", "last", "docs", "tokens", "bytes"])
 
     part = keyed_text(docs, id_col, text_col)
-    ranged = part.repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ("doc_id", F.xxhash64("text"))  # so that a key of many rows is cut, too
+    ranged = part.repartitionByRange(shards or partitions(spark), *order).sortWithinPartitions(*order)
     return written(ranged.mapInArrow(run, _MANIFEST), "token-manifest")
 
 

@@ -1,4 +1,4 @@
-"""Tables in the folder that the cluster shares."""
+"""Tables in the folder that the cluster shares, and small ones over all cores."""
 
 from __future__ import annotations
 
@@ -23,3 +23,9 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_root(spark)}/docloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, small: int = 32 << 20) -> DataFrame:
+    """Rows of a small table over all cores: a file of one row group would be one task, whatever is computed on its texts. Larger tables have many row groups and stay as they are read."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df

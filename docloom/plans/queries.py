@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, scoring, similarity, text, urls
 from ..operators import analytics, export, filters, library, matching, ranking, terms
+from ..operators.storage import spread
 from ..schema import KINDS, STATES, SearchQuery
 from ..streaming import sessions, sliding, tumbling, unique_events
 
@@ -38,12 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, small: int = 32 << 20) -> DataFrame:
-    """Rows of a small table over all cores: a file of one row group would be one task, whatever is computed on its texts. Larger tables have many row groups and stay as they are read."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table of texts, for queries that compute on them."""
     return spread(table(spark, sf_dir, name))

@@ -74,10 +74,53 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FRO
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+
+def _crc32(bytes_list: str) -> str:
+    """CRC-32 of a list of bytes, bit by bit."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_list}), lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"
+
+
+def _bytes(text: str) -> str:
+    return f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || hex(encode({text}))[2 * i - 1:2 * i])::BIGINT)"
+
+
+_LOWER_RUNS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+IMPORTANCE_RESAMPLING = f"""
+WITH d AS (SELECT doc_id, {_LOWER_RUNS} AS w FROM documents),
+words AS (SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM d UNION ALL SELECT unnest({_LOWER_RUNS}) FROM benchmark)),
+buckets AS (SELECT word, {_crc32(_bytes("word"))} % 10000 AS bucket FROM words),
+f AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) JOIN buckets USING (word) GROUP BY ALL),
+s AS (SELECT bucket, sum(n) AS s FROM f GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest({_LOWER_RUNS}) AS word FROM benchmark) JOIN buckets USING (word) GROUP BY bucket),
+sizes AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS whole_s, (SELECT coalesce(sum(t), 0) FROM t) AS whole_t),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (whole_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (whole_t + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), sizes),
+weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM f JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id::VARCHAR), 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+CONVERSATION_TRIE = rf"""
+WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, {_crc32(_bytes("conv_id::VARCHAR"))} % 4 AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM r),
+nodes AS (SELECT turns[1:depth] AS path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '') AS ends,
+  any_value(CASE WHEN depth > 0 THEN len(regexp_extract_all(turns[depth].text, '[^ 	-]+')) ELSE 0 END) AS words FROM p GROUP BY turns[1:depth]),
+kin AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kin USING (path)),
+below AS (SELECT path[1:up] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS up FROM full_nodes) GROUP BY ALL)
+SELECT n.conv_id, n.depth, parent.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_nodes n JOIN below USING (path) LEFT JOIN nodes parent ON n.depth > 0 AND parent.path = n.path[1:n.depth - 1]
+"""
+
 SQL: dict[str, str] = {
     "op1_backoff_scores": BACKOFF_SCORES,
     "op7_near_duplicates": NEAR_DUPLICATES,
     "op8_quality_rules": QUALITY_RULES,
     "op9_vector_graph": NEAREST,
     "op10_substring_dedup": SUBSTRING_DEDUP,
+    "op12_importance_resampling": IMPORTANCE_RESAMPLING,
+    "op13_conversation_trie": CONVERSATION_TRIE,
 }

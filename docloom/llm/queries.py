@@ -107,4 +107,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_backoff_scores, op2_packing, op3_piece_spans, op4_ordinal_classifier, op5_token_shards, op6_html_content, op7_near_duplicates, op8_quality_rules, op9_vector_graph, op10_substring_dedup)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .secret_scan import find_secrets, secret_digest
+
+    return secret_digest(find_secrets(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance_resampling import resample
+
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), order=1, buckets=10_000, seed="2024", percent=10, least_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"), family=20, head_turns=3)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_backoff_scores, op2_packing, op3_piece_spans, op4_ordinal_classifier, op5_token_shards, op6_html_content, op7_near_duplicates, op8_quality_rules, op9_vector_graph, op10_substring_dedup, op11_secret_scan, op12_importance_resampling, op13_conversation_trie)}

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK_RUN, LATIN_TOKEN, STOPWORDS_EN, cjk_bigrams
+from .pivots import finite, nearest_by_pivots, unit_rows
 from .storage import saved
 
 # Weight of a match in each column, constants of BM25 and of rank fusion, floors of cosine.
@@ -228,42 +230,33 @@ def _frame(**columns: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series(v if v.dtype.kind in "biuf" else v.astype(object), dtype=None if v.dtype.kind in "biuf" else object) for k, v in columns.items()})
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, floor: float = -1.0, block_rows: int = 2048, skip_self: bool = True) -> DataFrame:
-    """query_id, id, similarity, rank: the ``k`` most alike by cosine, exactly, of ``vectors`` (id, embedding).
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, floor: float = -1.0, block_rows: int = 1024, skip_self: bool = True) -> DataFrame:
+    """query_id, id, similarity, rank: the ``k`` most alike by cosine, exactly, of ``vectors`` (id, embedding). Ties go to smaller identifiers.
 
-    Queries are packed in blocks of ``block_rows``; every block meets every part of the corpus once, as one matrix product, and only its ``k`` best leave a part. Ties go to smaller identifiers.
+    Up to ``block_rows`` queries go to every task with the function, which passes over the corpus once; more meet it in cells around pivots (``pivots.nearest_by_pivots``).
     """
-    spark = vectors.sparkSession
-    numbered = queries.select("id", "embedding").filter("embedding is not null")
-    blocks = max(1, -(-numbered.count() // block_rows))
-    packed = numbered.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "embedding")).alias("asked"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    corpus = vectors.filter("embedding is not null").select(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(parts)).cast("int").alias("part"), "id", "embedding")
-
-    def unit(rows: pd.Series) -> np.ndarray:
-        m = np.stack([np.asarray(r, np.float64) for r in rows])
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = _frame(query_id=np.array([], object), id=np.array([], object), similarity=np.zeros(0))
-        if not len(left) or not len(right):
-            return empty
-        left = left.sort_values("id", kind="stable").reset_index(drop=True)
-        m, ids, out = unit(left.embedding), left.id.to_numpy(), []
-        for rows in right.asked:
-            names = np.array([r["id"] for r in rows])
-            sims = unit(pd.Series([r["embedding"] for r in rows])) @ m.T
-            if skip_self:
-                sims[names[:, None] == ids[None, :]] = -np.inf
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(sims, order, axis=1)
-            keep = found >= floor
-            out.append(_frame(query_id=np.repeat(names, order.shape[1])[keep.ravel()], id=ids[order][keep], similarity=found[keep]))
-        return pd.concat(out) if out else empty
-
+    asked = queries.select("id", "embedding").filter(finite("embedding"))
+    block = asked.limit(block_rows + 1).collect()
+    if len(block) > block_rows:
+        return nearest_by_pivots(vectors, queries, k, floor, skip_self)
     kind = vectors.schema["id"].dataType.simpleString()
-    found = corpus.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(best, f"query_id {kind}, id {kind}, similarity double")
+    if not block:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, similarity double, rank int")
+    names, q = np.array([r["id"] for r in block], None if kind != "string" else object), unit_rows(pa.array([r["embedding"] for r in block], pa.list_(pa.float64())))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full((len(q), k), -np.inf)  # of each query the k best so far in this task, in order
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                ids, m = batch.column(0).slice(start, 2048), unit_rows(batch.column(1).slice(start, 2048))
+                similar = q @ m.T
+                if skip_self:
+                    similar[names[:, None] == ids.to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                top = np.sort(np.concatenate([top, similar], axis=1), axis=1)[:, -k:]
+                query, place = np.nonzero((similar >= np.maximum(top[:, :1], floor)) & (similar > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(names[query], batch.schema.field(0).type), ids.take(pa.array(place)), pa.array(similar[query, place])], ["query_id", "id", "similarity"])
+
+    found = vectors.filter(finite("embedding")).select("id", "embedding").mapInArrow(best, f"query_id {kind}, id {kind}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

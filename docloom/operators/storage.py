@@ -17,10 +17,15 @@ def shared_root(spark: SparkSession) -> str:
     return (root or LOCAL_CHECKPOINTS).rstrip("/")
 
 
+def shared_path(spark: SparkSession, what: str = "table") -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_root(spark)}/docloom/{what}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cuts lineage with a table in the folder that the cluster shares (spark.checkpoint.dir)."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/docloom/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

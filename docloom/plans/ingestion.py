@@ -14,6 +14,7 @@ from ..functions.text import detect_lang, excerpt, normalise_text, reading_time_
 from ..functions.urls import canonical_url, url_hash
 from ..operators.filters import rejection
 from ..operators.matching import echo_candidates, first_come, last_wins, max_similarity, saved
+from ..operators.versions import Change, Store
 from ..schema import ITEM, violations
 
 #: Least cosine of an echo for hashed embeddings.
@@ -22,11 +23,12 @@ ECHO_COSINE = 0.5
 
 @dataclass(frozen=True)
 class Outcome:
-    """``items``: the table after the batch; ``results``: outcome and n; ``rejected``: rows with their reason."""
+    """``items``: the table after the batch; ``results``: outcome and n; ``rejected``: rows with their reason; ``changes``: url_hash, item (null: none) and echoes, what the batch does to the table."""
 
     items: DataFrame
     results: DataFrame
     rejected: DataFrame
+    changes: DataFrame
 
 
 def _columns(df: DataFrame) -> dict[str, Column]:
@@ -124,10 +126,30 @@ def run(items: DataFrame, batch: DataFrame, settings: Settings, lexicon: Lexicon
     full = full.withColumns({"state": F.when(twin, "archived").otherwise(F.coalesce("state", F.when(inbox, "inbox").otherwise("archived"))), "score": F.when(twin, 0.0).otherwise(F.col("score").cast("double")), "embedding": F.when(~twin, F.col("embedding"))})
     full = saved(full)
     echoes = full.filter(twin & F.col("created")).groupBy(F.col("duplicate_of").alias("id")).agg(F.count("*").alias("__echoes"))
-    table = upserted(items, full).join(echoes, "id", "left").withColumn("echo_count", (F.coalesce("echo_count", F.lit(0)) + F.coalesce("__echoes", F.lit(0))).cast("int")).drop("__echoes")
+    hashes = items.select("id", "url_hash").union(new.filter("created").select("id", "url_hash"))
+    changes = full.select("url_hash", F.struct(*ITEM.fieldNames()).alias("item"), F.lit(0).cast("long").alias("echoes")).union(
+        hashes.join(echoes, "id").select("url_hash", F.lit(None).cast(ITEM).alias("item"), "__echoes")
+    )
+    table = merge_changes(items, changes)
     outcome = F.when(twin, "duplicates").when(F.col("created"), "created").otherwise("updated")
     results = full.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n")).union(rejected.agg(F.lit("rejected"), F.count("*"))).union(batch.agg(F.lit("received"), F.count("*")))
-    return Outcome(table, results, rejected)
+    return Outcome(table, results, rejected, changes)
+
+
+def merge_changes(items: DataFrame, changes: DataFrame) -> DataFrame:
+    """``items`` after an outcome's ``changes``: new values by upsert, then the echoes that items have got."""
+    new = changes.filter("item is not null").select("item.*")
+    echoes = changes.groupBy("url_hash").agg(F.sum("echoes").alias("__echoes"))
+    return upserted(items, new).join(echoes, "url_hash", "left").withColumn("echo_count", (F.coalesce("echo_count", F.lit(0)) + F.coalesce("__echoes", F.lit(0))).cast("int")).select(*ITEM.fieldNames())
+
+
+def run_into(store: Store, batch: DataFrame, settings: Settings, name: str = "items", **more) -> Outcome:
+    """A batch into a versioned table of items, keyed by url_hash: only the buckets that the batch or its echoes fall into are rewritten, in one transaction."""
+    if name not in store.snapshot().tables:
+        store.create(name, ITEM, "url_hash")
+    outcome = run(store.snapshot().table(name), batch, settings, **more)
+    store.transact({name: Change(outcome.changes, merge_changes)})
+    return outcome
 
 
 def rescore(items: DataFrame, settings: Settings, interests: list[list[float]] | None = None, authors: DataFrame | None = None, keywords: list[str] | None = None) -> DataFrame:

@@ -450,9 +450,16 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
   n AS (SELECT sha256('https://example.org/' || doc_id) AS h, CASE WHEN quality = 1 THEN 'graded ' || doc_id ELSE '' END AS title, ['graded', 't1'] AS tags, 450 AS secs FROM labels UNION ALL SELECT sha256('https://example.org/benchmark/' || item_id), substr(text, 1, 60), CAST(NULL AS VARCHAR[]), 5 FROM benchmark)
   SELECT coalesce(o.h, n.h) AS url_hash, coalesce(nullif(n.title, ''), o.title) AS title, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.tags, []), coalesce(n.tags, [])))), ',') AS tags, CAST(greatest(coalesce(o.secs, n.secs), coalesce(n.secs, o.secs)) AS INTEGER) AS secs, CASE WHEN o.h IS NULL THEN 'new' ELSE 'old' END AS state FROM o FULL JOIN n ON o.h = n.h""")
 def upsert_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..schema import ITEM
     from .ingestion import upserted
 
+    old, new = _upsert_inputs(spark, sf_dir)
+    return _upsert_columns(upserted(old, new))
+
+
+def _upsert_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items of all documents, and new rows: one for each labelled document, and one for each text of the benchmark."""
+    from ..schema import ITEM
+
     def item(rows: DataFrame, **given) -> DataFrame:
         return rows.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ITEM))
 
@@ -462,8 +469,11 @@ def upsert_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = item(table(spark, sf_dir, "documents"), url_hash=urls.url_hash(at("", "doc_id")), title=F.substring("text", 1, 60), tags=tags, reading_time_sec=n % 900, state=F.lit("old"))
     graded = item(table(spark, sf_dir, "labels"), url_hash=urls.url_hash(at("", "doc_id")), title=F.when(F.col("quality") == 1, F.concat(F.lit("graded "), n)).otherwise(""), tags=F.array(F.lit("graded"), F.lit("t1")), reading_time_sec=F.lit(450), state=F.lit("new"))
     added = item(table(spark, sf_dir, "benchmark"), url_hash=urls.url_hash(at("benchmark/", "item_id")), title=F.substring("text", 1, 60), reading_time_sec=F.lit(5), state=F.lit("new"))
-    out = upserted(old, graded.union(added))
-    return out.select("url_hash", "title", F.array_join(F.sort_array(F.coalesce("tags", F.array().cast("array<string>"))), ",").alias("tags"), F.col("reading_time_sec").alias("secs"), "state")
+    return old, graded.union(added)
+
+
+def _upsert_columns(items: DataFrame) -> DataFrame:
+    return items.select("url_hash", "title", F.array_join(F.sort_array(F.coalesce("tags", F.array().cast("array<string>"))), ",").alias("tags"), F.col("reading_time_sec").alias("secs"), "state")
 
 
 _ACTIONS = {"purchase": "item.save", "error": "item.trash", "signup": "item.shortlist", "click": "item.star", "view": "item.read"}
@@ -559,3 +569,4 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import catalogue as _catalogue  # noqa: E402, F401  registers more queries
+from . import stored as _stored  # noqa: E402, F401  registers more queries

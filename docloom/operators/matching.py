@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import DUPLICATE_DISTANCE, simhash_bits
 from .ranking import nearest_vectors
-from .storage import saved, shared_root  # noqa: F401  also read from here
+from .storage import saved, shared_path, shared_root  # noqa: F401  also read from here
 
 ECHO_WINDOW_MS = 72 * 3_600_000
 ECHO_TYPES = ("model", "company", "product", "paper", "benchmark")
@@ -42,12 +42,48 @@ def band_pairs(fingerprints: DataFrame, most: int = DUPLICATE_DISTANCE) -> DataF
     return met.select("a", "b", F.bit_count(apart).cast("int").alias("distance")).union(copies)
 
 
-def nearest_fingerprint(queries: DataFrame, fingerprints: DataFrame, most: int = DUPLICATE_DISTANCE) -> DataFrame:
-    """id, match, distance: the nearest known fingerprint of each of ``queries`` (id, simhash) but its own row; ties to the smaller identifier."""
-    banded = lambda df, n: df.filter(F.col("simhash") != "0" * 16).select(F.col("id").alias(n), simhash_bits(F.col("simhash")).alias(f"{n}_bits"), F.posexplode(F.array(*(F.substring("simhash", 4 * i + 1, 4) for i in range(4)))).alias("band", "key"))
-    distance = F.bit_count(F.col("q_bits").bitwiseXOR(F.col("m_bits"))).cast("int")
-    pairs = banded(queries, "q").join(banded(fingerprints, "m"), ["band", "key"]).filter((F.col("q") != F.col("m")) & (distance <= most))
-    return pairs.groupBy(F.col("q").alias("id")).agg(F.min(F.struct(distance.alias("distance"), F.col("m").alias("match"))).alias("x")).select("id", "x.match", "x.distance")
+class KnownFingerprints:
+    """A stored corpus of fingerprints that batches are held against without shuffling it.
+
+    Each distinct fingerprint is stored once for every choice of three of its six blocks of bits, in a table bucketed and sorted by (choice, key) in the shared folder, registered in the catalogue as ``name``. A join on
+    these columns takes the buckets as they lie: only the batch is shuffled. A batch that is added brings its own files to the buckets; a class keeps its two smallest identifiers, so that a row can be told from itself.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, most: int = DUPLICATE_DISTANCE, buckets: int = 64) -> None:
+        self.spark, self.name, self.most, self.buckets = spark, name, most, buckets
+        self.masks = _masks(most)
+
+    @staticmethod
+    def _valid(fingerprints: DataFrame) -> DataFrame:
+        return fingerprints.filter((F.length("simhash") == 16) & (F.col("simhash") != "0" * 16)).select("id", simhash_bits(F.col("simhash")).alias("bits"))
+
+    def _keyed(self, rows: DataFrame) -> DataFrame:
+        choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("bits").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(self.masks)))
+        return rows.withColumn("k", F.explode(choices)).select("k.choice", "k.key", *rows.columns)
+
+    def add(self, fingerprints: DataFrame) -> None:
+        """Stores (id, simhash); empty texts' fingerprints of zeros and malformed ones never match and are left out."""
+        turn = Window.partitionBy("bits").orderBy("id")
+        classes = self._valid(fingerprints).withColumn("turn", F.row_number().over(turn)).filter("turn <= 2").groupBy("bits").agg(F.min("id").alias("first"), F.max("id").alias("second"))
+        path = {} if self.spark.catalog.tableExists(self.name) else {"path": shared_path(self.spark, "known")}
+        rows = self._keyed(classes).repartition(self.buckets, "choice", "key")
+        rows.write.bucketBy(self.buckets, "choice", "key").sortBy("choice", "key").options(**path).mode("append").saveAsTable(self.name)
+
+    def candidates(self, queries: DataFrame) -> DataFrame:
+        """bits, distance, match: stored identifiers in reach of the distinct fingerprints of ``queries``, two of a class at most. A pair that agrees under several choices is taken at its first."""
+        asked = self._keyed(self._valid(queries).select("bits").distinct())
+        known = self.spark.table(self.name).select("choice", "key", F.col("bits").alias("k_bits"), "first", "second")
+        apart = F.col("bits").bitwiseXOR(F.col("k_bits"))
+        first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(self.masks)))
+        met = asked.hint("shuffle_merge").join(known, ["choice", "key"]).filter((F.bit_count(apart) <= self.most) & (first == F.col("choice")))
+        return met.select("bits", F.bit_count(apart).cast("int").alias("distance"), F.explode(F.array_distinct(F.array("first", "second"))).alias("match"))
+
+    def nearest(self, queries: DataFrame) -> DataFrame:
+        """id, match, distance: the nearest stored fingerprint of each of ``queries`` (id, simhash) but its own row's; ties go to the smaller identifier. Queries without one are left out."""
+        order = Window.partitionBy("bits").orderBy("distance", "match")
+        two = self.candidates(queries).distinct().withColumn("turn", F.row_number().over(order)).filter("turn <= 3")  # the row itself may be stored twice, once a batch
+        pairs = self._valid(queries).join(two, "bits").filter(F.col("id") != F.col("match"))
+        return pairs.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("x")).select("id", "x.match", "x.distance")
 
 
 def window_pairs(left: DataFrame, right: DataFrame, key: str, time: str, span_ms: int = ECHO_WINDOW_MS) -> DataFrame:

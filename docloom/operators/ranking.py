@@ -80,53 +80,48 @@ def _pairs(run: str) -> tuple[str, ...]:
     return (run,) if len(run) == 1 else tuple(run[i : i + 2] for i in range(len(run) - 1))
 
 
-def _run_clause(run: str) -> Clause | None:
-    """A CJK run without question words: whole if short, else any of its windows of four characters."""
-    changed = True
-    while changed and len(run) > 2:
-        changed = False
-        for affix in _QUESTION:
-            if len(run) > len(affix) + 1:
-                if run.startswith(affix):
-                    run, changed = run[len(affix) :], True
-                if len(run) > len(affix) + 1 and run.endswith(affix):
-                    run, changed = run[: -len(affix)], True
-    if not run:
-        return None
-    if len(run) <= 5:
-        return Clause([_pairs(run)])
-    windows = [run[i : i + 4] for i in range(0, len(run) - 3, 2)]
-    return Clause([_pairs(w) for w in dict.fromkeys([*windows, run[-4:]])])
+#: Question words at the ends of a run, which keeps two characters at least.
+_ENDS = [re.compile(p) for word in _QUESTION for p in (f"^{word}(?=..)", f"(?<=..){word}$")]
+#: The parts of a query, each in a group of its own.
+_PARTS = re.compile(f'"(?P<phrase>[^"]+)"|(?P<run>[{CJK_RUN}]+)|(?P<term>{LATIN_TOKEN})')
+
+
+def _parts(q: str | None) -> dict[str, list[str]]:
+    """A query's quoted phrases, CJK runs and Latin terms, each kind in order of appearance."""
+    found: dict[str, list[str]] = {"phrase": [], "run": [], "term": []}
+    for m in _PARTS.finditer((q or "").lower()):
+        found[m.lastgroup].append(m[m.lastgroup].strip())
+    return found
+
+
+def _trimmed(run: str) -> str:
+    """A run without question words at its ends, to the last."""
+    once = reduce(lambda text, end: end.sub("", text), _ENDS, run)
+    return once if once == run else _trimmed(once)
+
+
+def _asked_for(run: str) -> Clause:
+    """What a CJK run asks for: a term if short; of a longer one any four neighbours, taken at every second place and at its end."""
+    core = _trimmed(run)
+    if len(core) < 6:
+        return Clause([_pairs(core)])
+    return Clause([_pairs(core[i : i + 4]) for i in sorted({*range(0, len(core) - 3, 2), len(core) - 4})])
 
 
 def compile_query(q: str) -> list[Clause]:
     """A human query as a conjunction: quoted phrases, CJK runs, Latin terms (prefixes from three characters on). Terms are cut as documents are, so a hyphen makes a phrase."""
-    out: list[Clause] = []
-    rest = q = (q or "").strip()
-    cut = lambda text: tuple(re.findall(r"[^\W_]+", re.sub(f"[{CJK_RUN}]+", " ", text.lower())))
-    for m in re.finditer(r'"([^"]+)"', q):
-        for run in re.findall(f"[{CJK_RUN}]+", m[1]):
-            out.append(Clause([_pairs(run)]))
-        if words := cut(m[1]):
-            out.append(Clause([words]))
-        rest = rest.replace(m[0], " ", 1)
-    for run in re.findall(f"[{CJK_RUN}]+", rest):
-        if clause := _run_clause(run):
-            out.append(clause)
-    for term in re.findall(LATIN_TOKEN, re.sub(f"[{CJK_RUN}]+", " ", rest.lower())):
-        if len(term) >= 2 and (words := cut(term)):
-            out.append(Clause([words], prefix=len(term) >= 3))
-    return out
+    parts = _parts(q)
+    cut = lambda text: tuple(re.findall(r"[^\W_]+", re.sub(f"[{CJK_RUN}]+", " ", text)))
+    quoted = [c for p in parts["phrase"] for c in [*map(_pairs, re.findall(f"[{CJK_RUN}]+", p)), cut(p)] if c]
+    terms = [Clause([words], prefix=len(t) >= 3) for t in parts["term"] if len(t) >= 2 and (words := cut(t))]
+    return [*(Clause([words]) for words in quoted), *map(_asked_for, parts["run"]), *terms]
 
 
 def highlight_terms(q: str) -> list[str]:
-    """Phrases, terms and CJK runs to mark, 24 at most."""
-    q = (q or "").strip().lower()
-    out = [m.strip() for m in re.findall(r'"([^"]+)"', q)]
-    rest = re.sub(r'"[^"]+"', " ", q)
-    out += [t for t in re.findall(LATIN_TOKEN, rest) if len(t) >= 2 and t not in STOPWORDS_EN]
-    out += re.findall(f"[{CJK_RUN}]+", rest)
-    return [t for t in dict.fromkeys(out) if t][:24]
+    """What to mark of a query's parts, 24 at most: phrases, terms that aren't stopwords, CJK runs."""
+    parts = _parts(q)
+    telling = [t for t in parts["term"] if len(t) >= 2 and t not in STOPWORDS_EN]
+    return list(dict.fromkeys(filter(None, [*parts["phrase"], *telling, *parts["run"]])))[:24]
 
 
 def _followed(word: str, by: int, prefix: bool) -> Callable[[Column], Column]:

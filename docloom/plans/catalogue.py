@@ -339,6 +339,8 @@ _SIMHASH = f"""WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), o AS (SE
 SQL["simhash_docs"] = f"""{_SIMHASH}, x AS (SELECT doc_id, {_hex('v')} AS simhash FROM s) SELECT doc_id, simhash, array_to_string(list_transform(range(4), lambda i: i || ':' || substr(simhash, CAST(4 * i + 1 AS BIGINT), 4)), ',') AS bands FROM x"""
 SQL["near_duplicates"] = f"""{_SIMHASH}, c AS (SELECT v, min(doc_id) AS a FROM s WHERE v <> 0 GROUP BY v) SELECT a, doc_id AS b, 0 AS distance FROM c JOIN s USING (v) WHERE doc_id <> a
   UNION ALL SELECT l.a, r.a, CAST(bit_count(xor(l.v, r.v)) AS INTEGER) FROM c l JOIN c r ON l.a < r.a WHERE bit_count(xor(l.v, r.v)) <= 3"""
+SQL["known_near_duplicates"] = f"""{_SIMHASH} SELECT a.doc_id AS id, arg_min(b.doc_id, (bit_count(xor(a.v, b.v)), b.doc_id)) AS match, CAST(min(bit_count(xor(a.v, b.v))) AS INTEGER) AS distance
+  FROM s a JOIN s b ON a.doc_id <> b.doc_id AND bit_count(xor(a.v, b.v)) <= 3 WHERE a.v <> 0 AND b.v <> 0 GROUP BY a.doc_id"""
 SQL["dedup_canonical"] = f"""{_SIMHASH.replace("WITH d", "WITH RECURSIVE d")}, numbered AS MATERIALIZED (SELECT doc_id AS id, v, row_number() OVER (ORDER BY doc_id) AS i FROM s),
   r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BIGINT AS duplicate_of, []::STRUCT(id BIGINT, v HUGEINT)[] AS known UNION ALL SELECT i, id, twin, CASE WHEN twin IS NULL AND v <> 0 THEN list_append(known, {{'id': id, 'v': v}}) ELSE known END
     FROM (SELECT o.i, o.id, o.v, known, list_min(list_transform(list_filter(known, lambda c: o.v <> 0 AND bit_count(xor(c.v, o.v)) <= 3), lambda c: {{'d': bit_count(xor(c.v, o.v)), 'id': c.id}})).id AS twin FROM r JOIN numbered o ON o.i = r.i + 1))

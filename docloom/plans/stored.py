@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.matching import KnownFingerprints
 from ..operators.pivots import nearest_by_pivots
-from ..operators.storage import shared_path
+from ..operators.storage import saved, shared_path
 from ..operators.versions import Change, Store, removal, upsert
-from .queries import _COSINE, SQL, _upsert_columns, _upsert_inputs, _vectors, query, table
+from .queries import _COSINE, SQL, _upsert_columns, _upsert_inputs, _vectors, query, simhash_docs, table
 
 _UPSERTED = SQL["upsert_items"]
 
@@ -43,3 +46,12 @@ def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight most alike others of every vector."""
     vectors = _vectors(spark, sf_dir)
     return nearest_by_pivots(vectors, vectors, 8).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(SQL["known_near_duplicates"])
+def known_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the nearest other of a stored, bucketed corpus."""
+    hashed = saved(simhash_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "simhash"))
+    known = KnownFingerprints(spark, f"known_{uuid.uuid4().hex}")
+    known.add(hashed)
+    return known.nearest(hashed)

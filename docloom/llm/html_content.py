@@ -4,13 +4,15 @@ The standard library's parser gives events, which make a tree of block elements
 lies in. The ratios of characters to tags of the lines outside boilerplate, in page order, are smoothed with a Gaussian; lines above the threshold (the smoothed ratios' standard deviation, at most
 their mean) are content clusters. They choose the region:
 
-* With article or main elements, the region is the innermost such level that has half of the clusters' characters in such elements: all of them that lie beside one another there, so no sibling is lost.
+* With article or main elements, the core is the innermost such level that has half of the clusters' characters in such elements: all of them that lie beside one another there, so no sibling is lost. Of the lines
+  around the core, but in an article or main element, those of a cluster belong to it, unless they are mostly links. Lines of the core stay, but for menus: two or more neighbours that are mostly links, whose smoothed
+  ratios are on average under half of those of the other lines. A link between paragraphs, or long titles among them, are raised by the smoothing and stay.
 * Else it is the innermost element that holds all clusters, and of its lines those from the first to the last cluster, those in an element that has a cluster line itself, and headings right before a
   cluster. Lines that are mostly links and in no cluster are menus.
 
-Boilerplate is never content. An element is boilerplate by its tag, its role, being hidden (``hidden``, ``aria-hidden``, ``display: none``), or a word of its class or id. Words count by the text that they
-would take: where less than a fifth of the text would be left (and under 200 characters), and nothing of an article, an element with most of the text is no boilerplate. Modifiers (``has-sidebar``, ``no-comments``) are no marks. Of a header inside an
-article or main element the headings stay. Inline boilerplate (a button in a paragraph) is cut out of its line.
+Boilerplate is never content. An element is boilerplate by its tag, its role, being hidden (``hidden``, ``aria-hidden``, ``display: none``), or a word of its class or id. Reader comments and adverts are so at any size and
+wherever they are; an element with another word is a mere wrapper, and no boilerplate, where every line that is left lies in it. Modifiers (``has-sidebar``, ``no-comments``) and states (``comments-closed``) are no marks. Of a header
+inside an article or main element the headings stay. Inline boilerplate (a button in a paragraph) is cut out of its line.
 
 Defined results: a null or empty page, or one without text, has an empty text and 0 characters. Unclosed elements end with their parent, a truncated page with its end; an unfinished tag at the end is dropped. White space is what ``str.split`` takes for it. Repeated rows are
 extracted row by row; extra columns are passed over. Time grows with the page, not with the depth of its elements.
@@ -39,11 +41,13 @@ ARTICLES = frozenset(("article", "main"))
 #: Ended by the next of its kind.
 SINGLE = frozenset("p li td th tr dd dt option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of a class or id that mark boilerplate; of an article or main element, only the second.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-ARTICLE_MARKS = frozenset("ad ads advert advertisement comment comments promo promoted related sponsored".split())
-#: A name that begins with one of these says what the page is like.
+#: Words of a class or id that mark what is never content, and boilerplate; of an article or main element, only the third count.
+NEVER = frozenset("ad ads advert adverts advertisement advertising comment comments discussion disqus promoted replies reply response responses sponsor sponsored".split())
+MARKS = NEVER | frozenset("alert alerts banner breadcrumb breadcrumbs consent cookie cookies footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related share sharing sidebar signup social subscribe toolbar widget".split())
+ARTICLE_MARKS = NEVER | frozenset("promo related".split())
+#: A name that begins, or ends, with one of these says what the page is like.
 MODIFIERS = frozenset("has no non not with without is show hide".split())
+STATES = frozenset("enabled disabled open closed on off free".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _UNFINISHED = re.compile(r"<[A-Za-z/!?]")
@@ -63,7 +67,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.parent, self.hard, self.marked, self.header = [-1], [False], [False], [False]
+        self.parent, self.hard, self.marked, self.header = [-1], [False], [False], [False]  # of elements; 0 is the page
         self.level = [0]  # how many article and main elements are around an element, itself included
         self.stack: list[tuple[str, int, int, int]] = []  # tag, and what was before it: node, inline elements to skip, links
         self.open: Counter[str] = Counter()
@@ -99,8 +103,8 @@ class Lines(HTMLParser):
                     break
         self.stack.append((tag, self.node, self.skip, self.anchors))
         self.open[tag] += 1
-        hidden, marked = _marks(tag, attrs) if attrs else (False, False)
-        hard = tag in SKIPPED or hidden
+        never, marked = _marks(tag, attrs) if attrs else (False, False)
+        hard = tag in SKIPPED or never
         if block:
             inner = self.level[self.node] > 0
             self.parent.append(self.node)
@@ -146,22 +150,24 @@ class Lines(HTMLParser):
 
 def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
     """Whether attributes hide an element, or make it no content, for sure; and whether its names mark boilerplate."""
-    hidden = marked = False
+    never = marked = False
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            hidden = True
+            never = True
         elif not value:
             continue
         elif name == "role":
-            hidden |= value.strip().lower() in ROLES
+            never |= value.strip().lower() in ROLES
         elif name == "style":
-            hidden |= _HIDDEN.search(value) is not None
+            never |= _HIDDEN.search(value) is not None
         elif name in ("class", "id") and tag not in ("html", "body"):
             names = ARTICLE_MARKS if tag in ARTICLES else MARKS
             for one in value.split():
                 words = [w.lower() for w in _WORD.findall(one)]
-                marked |= bool(words) and words[0] not in MODIFIERS and not names.isdisjoint(words)
-    return hidden, marked
+                if words and words[0] not in MODIFIERS and words[-1] not in STATES and not names.isdisjoint(words):
+                    marked = True
+                    never |= not NEVER.isdisjoint(words)
+    return never, marked
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -191,19 +197,29 @@ def _below(parent: list[int], flags: list[bool]) -> list[bool]:
 
 
 def boilerplate(page: Lines) -> list[bool]:
-    """Whether each element is, or lies in, boilerplate."""
+    """Whether each element is, or lies in, boilerplate: for sure, or by a mark, unless every line that is left lies in the marked element."""
     parent = page.parent
     hard = _below(parent, page.hard)
-    if any(page.marked):
-        strict = _below(parent, [h or m for h, m in zip(page.hard, page.marked, strict=True)])
-        total = sum(len(x.text) for x in page.lines if not hard[x.node])
-        clean = [x for x in page.lines if not strict[x.node]]
-        if sum(len(x.text) for x in clean) >= min(total / 5, 200) or any(page.level[x.node] for x in clean):
-            hard = strict
-        else:
-            held = _sums(parent, [x.node for x in page.lines], [0 if hard[x.node] else len(x.text) for x in page.lines])
-            hard = _below(parent, [h or m and 2 * n <= total for h, m, n in zip(page.hard, page.marked, held, strict=True)])
-    return hard
+    if not any(page.marked):
+        return hard
+    left = [x.node for x in page.lines if not hard[x.node]]
+    held = _sums(parent, left, [1] * len(left))
+    return _below(parent, [h or m and n < len(left) for h, m, n in zip(page.hard, page.marked, held, strict=True)])
+
+
+def menus(ratio: np.ndarray, linked: list[bool]) -> list[bool]:
+    """Which lines belong to menus: two or more neighbours that are mostly links, with smoothed ratios under half of what lines of text have on average."""
+    out = [False] * len(linked)
+    if all(linked):
+        return out
+    least = ratio[~np.array(linked)].mean() / 2
+    start = 0
+    for i in range(len(linked) + 1):
+        if i == len(linked) or not linked[i]:
+            if i - start >= 2 and ratio[start:i].mean() < least:
+                out[start:i] = [True] * (i - start)
+            start = i + 1
+    return out
 
 
 def content(page: Lines) -> list[str]:
@@ -227,7 +243,11 @@ def content(page: Lines) -> list[str]:
             held[level[node]] += heavy[node]
     chosen = max((k for k, n in held.items() if 2 * n >= total), default=0)
     if chosen:
-        return [x.text for x in lines if level[x.node] >= chosen]
+        linked = [2 * x.links >= len(x.text) for x in lines]
+        core = [(level[x.node] >= chosen or level[x.node] > 0 and c and not of_links) for x, c, of_links in zip(lines, cluster, linked, strict=True)]
+        at = np.flatnonzero(core)
+        in_menu = menus(ratio[at], [linked[i] for i in at])
+        return [lines[i].text for i, m in zip(at, in_menu, strict=True) if not m]
     region = max(node for node in range(len(parent)) if heavy[node] == total)
     inside = [False] * len(parent)
     inside[region] = True

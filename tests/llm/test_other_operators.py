@@ -238,3 +238,49 @@ def test_registry():
 
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
+
+
+LONG = "A sentence of an article that is long enough to be told from a menu by its ratio of characters to tags, whatever the page looks like. " * 2
+
+
+def test_op6_comments_and_notices_at_any_size():
+    """Reader comments, adverts and notices never come back, however short the article beside them is."""
+    from docloom.llm.html_content import main_text
+
+    post = "<p>A short post of a few words.</p>"
+    for name in ("comments", "responses", "reader-replies", "discussion", "disqus_thread", "ad-slot", "sponsored", "alert", "cookie-notice", "newsletter signup"):
+        junk = f'<div class="{name}">' + f"<p>{LONG}</p>" * 12 + "</div>"
+        assert main_text(f"<body><div>{post}</div>{junk}</body>") == "A short post of a few words.", name
+        assert main_text(f"<article>{post}{junk}</article>") == "A short post of a few words.", name
+    assert main_text(f'<div class="comments"><p>{LONG}</p></div>') == ""
+    assert main_text(f'<div class="page-header-wrapper"><p>{LONG}</p><nav>n</nav></div><footer>f</footer>') == LONG.strip()
+    for name in ("comments-closed", "no-comments", "ad-free", "has-sidebar"):
+        assert main_text(f'<div class="{name}"><p>{LONG}</p></div><div><p>{LONG}</p></div>') == f"{LONG.strip()}\n{LONG.strip()}", name
+
+
+def test_op6_text_around_an_article_and_menus_in_it():
+    from docloom.llm.html_content import main_text
+
+    text = LONG.strip()
+    assert main_text(f"<main><p>intro</p><article><p>{LONG}</p><p>{LONG}</p></article><p>end</p></main>") == f"intro\n{text}\n{text}\nend"
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About</a></li></ul>"
+    body = f"<p>{LONG}</p><p>Short.</p>" * 4
+    want = "\n".join([text, "Short."] * 4)
+    for page in (f"<article>{menu}{body}</article>", f"<article>{body}{menu}</article>", f"<article><p>{LONG}</p>{menu}{body}</article>".replace(f"<p>{LONG}</p>{menu}", menu + f"<p>{LONG}</p>", 1)):
+        assert "Home" not in main_text(page) and main_text(page).count("Short.") == 4
+    assert main_text(f"<article>{menu}{body}</article>") == want
+    assert main_text(f"<article>{body}<p><a href=x>The study itself</a></p></article>") == f"{want}\nThe study itself"
+    assert main_text("<article><p><a href=a>one link</a></p><p><a href=b>two links</a></p></article>") == "one link\ntwo links"
+
+
+def test_op6_result_needs_the_smoothing(monkeypatch):
+    """Without the Gaussian, titles in links between paragraphs are taken for a menu and text around the core is lost; with it, they stay."""
+    from docloom.llm import html_content
+
+    titles = "<ul><li><a href=a>The first of the studies that this was about, in full and with its year</a></li><li><a href=b>The second of the studies that this was about, in full and with its year</a></li></ul>"
+    pages = [f"<article><p>{LONG}</p><p>{LONG}</p>{titles}<p>{LONG}</p><p>{LONG}</p></article>", f"<main><p>intro</p><article><p>{LONG}</p><p>{LONG}</p></article><p>end</p></main>"]
+    smooth = [html_content.main_text(p) for p in pages]
+    assert "The first of the studies" in smooth[0] and smooth[1].startswith("intro\n") and smooth[1].endswith("\nend")
+    monkeypatch.setattr(html_content, "smoothed", lambda ratios, sigma=1.0: ratios)
+    raw = [html_content.main_text(p) for p in pages]
+    assert "studies" not in raw[0] and "intro" not in raw[1] and "end" not in raw[1].split("\n")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import DUPLICATE_DISTANCE, simhash_bits
+from .graphs import components
 from .ranking import nearest_vectors
 from .storage import saved, shared_path, shared_root  # noqa: F401  also read from here
 
@@ -115,15 +118,85 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.transform("v", lambda e: F.when(F.col("norm") > 0, e["x"] / F.col("norm")).otherwise(e["x"])).alias("centroid"))
 
 
-def first_come(nodes: DataFrame, edges: DataFrame | None = None, fingerprints: DataFrame | None = None, most: int = DUPLICATE_DISTANCE) -> DataFrame:
+def _settled_in_order(table: pa.Table) -> pa.Table:
+    """One component: which of its items are canonical, taken in their order of arrival. Rows (root, kind, x, y, seq) are items (0: x of class y), near classes (1) and earlier matches (2: x before y)."""
+    kind, x, y, seq = (table[c].to_pylist() for c in ("kind", "x", "y", "seq"))
+    near, earlier, order = defaultdict(set), defaultdict(list), []
+    for k, a, b, s in zip(kind, x, y, seq, strict=True):
+        if k == 0:
+            order.append((s, a, b))
+        elif k == 1:
+            near[a].add(b)
+        else:
+            earlier[b].append(a)
+    canonical, held = set(), set()
+    for _, item, of in sorted(order, key=lambda r: r[:2]):
+        beaten = of is not None and (of in held or not held.isdisjoint(near[of])) or any(e in canonical for e in earlier[item])
+        if not beaten:
+            canonical.add(item)
+            if of is not None:
+                held.add(of)
+    return pa.table({"x": pa.array(sorted(canonical), table["x"].type)})
+
+
+def _canonical(items: DataFrame, older: DataFrame, near: DataFrame, most_rows: int) -> DataFrame:
+    """The canonical of ``items`` (id, seq, simhash or null): id. ``older``: a before b; ``near``: pairs of classes, both ways.
+
+    Of a class only items that have matches of their own, and the first of the others, can be canonical: what beats that one beats the others, too. These make components with near classes and matches. A component of
+    up to ``most_rows`` rows is settled in the order of arrival by one task; a larger one in rounds.
+    """
+    linked = older.select(F.col("a").alias("id")).union(older.select("b")).distinct().withColumn("linked", F.lit(True))
+    marked = items.join(linked, "id", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    firsts = marked.filter("simhash is not null and not linked").groupBy("simhash").agg(F.min(F.struct("seq", "id")).alias("at"))
+    some = saved(marked.filter("linked").select("id", "seq", "simhash").union(firsts.select("at.id", "at.seq", "simhash")))
+    alone = marked.filter("simhash is null and not linked").select("id")  # nothing can match these
+    item, of = (lambda c: F.concat(F.lit("i"), F.col(c).cast("string"))), (lambda c: F.concat(F.lit("c"), F.col(c)))
+    apart = near.filter("a < b")
+    links = some.filter("simhash is not null").select(item("id").alias("a"), of("simhash").alias("b")).union(apart.select(of("a"), of("b"))).union(older.select(item("a"), item("b")))
+    roots = components(links)
+    rows = (
+        some.select(F.lit(0).alias("kind"), F.col("id").cast("string").alias("x"), F.col("simhash").alias("y"), "seq", item("id").alias("node"))
+        .union(near.filter("a <> b").select(F.lit(1), "a", "b", F.lit(None).cast("long"), of("a"))).union(older.select(F.lit(2), F.col("a").cast("string"), F.col("b").cast("string"), F.lit(None).cast("long"), item("a")))
+    )
+    placed = saved(rows.join(roots, "node").drop("node"))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
+    small = placed.join(sizes.filter(F.col("n") <= most_rows).select("root"), "root", "left_semi")
+    settled = small.groupBy("root").applyInArrow(_settled_in_order, "x string")
+    large = saved(placed.filter("kind = 0").join(sizes.filter(F.col("n") > most_rows).select("root"), "root", "left_semi").select(F.col("x").alias("text")))
+    kind = items.schema["id"].dataType.simpleString()
+    out = alone.union(settled.select(F.col("x").cast(kind).alias("id")))
+    if large.isEmpty():
+        return out
+    return out.union(_settled_in_rounds(saved(some.join(large.select(F.col("text").cast(kind).alias("id")), "id")), older, near))
+
+
+def _settled_in_rounds(items: DataFrame, older: DataFrame, near: DataFrame) -> DataFrame:
+    """The canonical of ``items``, whole components. Each round settles all that a canonical one beats, or whose earlier matches are all settled, until none is open; the earliest open item always settles."""
+    at = F.struct("seq", "id")
+    settled = items.filter("false").select("id", F.lit(True).alias("canonical"))
+    while True:
+        marked = saved(items.join(settled, "id", "left"))
+        open_ = marked.filter("canonical is null").drop("canonical")
+        if open_.isEmpty():
+            return settled.filter("canonical").select("id")
+        firsts = marked.filter("simhash is not null").groupBy(F.col("simhash").alias("b")).agg(F.min(F.when(F.col("canonical"), at)).alias("known"), F.min(F.when(F.col("canonical").isNull(), at)).alias("next"))
+        reach = near.join(firsts, "b").groupBy(F.col("a").alias("simhash")).agg(F.min("known").alias("known"), F.min("next").alias("next"))
+        seen = older.join(open_.select(F.col("id").alias("b")), "b").join(settled.withColumnRenamed("id", "a"), "a", "left")
+        state = seen.groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce("canonical", F.lit(False))).alias("beaten"), F.max(F.col("canonical").isNull()).alias("waits"))
+        beaten = F.coalesce(F.col("known") < at, F.lit(False)) | F.coalesce("beaten", F.lit(False))
+        waits = F.coalesce(F.col("next") < at, F.lit(False)) | F.coalesce("waits", F.lit(False))
+        new = open_.join(reach, "simhash", "left").join(state, "id", "left").filter(beaten | ~waits).select("id", (~beaten).alias("canonical"))
+        settled = saved(settled.union(new))  # one table, so that no plan grows with the rounds
+
+
+def first_come(nodes: DataFrame, edges: DataFrame | None = None, fingerprints: DataFrame | None = None, most: int = DUPLICATE_DISTANCE, most_rows: int = 200_000) -> DataFrame:
     """Which items are canonical: an item is, unless an *earlier canonical* item matches it.
 
     ``nodes``: id, seq. ``edges``: a, b, weight (smaller is nearer), in either direction. ``fingerprints``: id, simhash; items at most ``most`` bits apart match, their distance is the weight. Returns id,
-    duplicate_of (null: canonical), the nearest canonical earlier match, ties to the smaller identifier. Each round settles all items that a canonical one beats, or whose earlier matches are all settled, until
-    none is open (the earliest open item always settles); what is settled is written to the shared folder.
+    duplicate_of (null: canonical), the nearest canonical earlier match, ties to the smaller identifier. Items are settled a component of matches at a time, so a long chain takes no more rounds than a short one.
 
-    Equal fingerprints are one class, which has one canonical item at most. Only classes are paired: an item asks for the first open and the first canonical item in reach of its class, so a text that a third of
-    all rows share makes no square.
+    Equal fingerprints are one class, which has one canonical item at most. Only classes are paired: an item asks for the first canonical item in reach of its class, so a text that a third of all rows share makes no
+    square.
     """
     order, at = nodes.select("id", "seq"), F.struct("seq", "id")
     if edges is None:
@@ -139,21 +212,7 @@ def first_come(nodes: DataFrame, edges: DataFrame | None = None, fingerprints: D
     classes = items.filter("simhash is not null").select("simhash").distinct()
     pairs = band_pairs(classes.select(F.col("simhash").alias("id"), "simhash"), most)
     near = saved(pairs.union(pairs.select("b", "a", "distance")).union(classes.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"), F.lit(0).alias("distance"))))
-    settled = items.filter("false").select("id", F.lit(True).alias("canonical"))
-    while True:
-        marked = saved(items.join(settled, "id", "left"))
-        open_ = marked.filter("canonical is null").drop("canonical")
-        if open_.isEmpty():
-            break
-        firsts = marked.filter("simhash is not null").groupBy(F.col("simhash").alias("b")).agg(F.min(F.when(F.col("canonical"), at)).alias("known"), F.min(F.when(F.col("canonical").isNull(), at)).alias("next"))
-        reach = near.join(firsts, "b").groupBy(F.col("a").alias("simhash")).agg(F.min("known").alias("known"), F.min("next").alias("next"))
-        seen = older.join(open_.select(F.col("id").alias("b")), "b").join(settled.withColumnRenamed("id", "a"), "a", "left")
-        state = seen.groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce("canonical", F.lit(False))).alias("beaten"), F.max(F.col("canonical").isNull()).alias("waits"))
-        beaten = F.coalesce(F.col("known") < at, F.lit(False)) | F.coalesce("beaten", F.lit(False))
-        waits = F.coalesce(F.col("next") < at, F.lit(False)) | F.coalesce("waits", F.lit(False))
-        new = open_.join(reach, "simhash", "left").join(state, "id", "left").filter(beaten | ~waits).select("id", (~beaten).alias("canonical"))
-        settled = settled.union(saved(new))  # only what is new is written
-    best = items.join(settled.filter("canonical").select("id"), "id")
+    best = items.join(_canonical(items, older, near, most_rows), "id")
     choices = near.join(best.select(F.col("simhash").alias("b"), F.col("id").alias("match"), at.alias("at")), "b").groupBy(F.col("a").alias("simhash")).agg(F.collect_list(F.struct(F.col("distance").cast("double").alias("weight"), F.col("match").alias("a"), "at")).alias("choices"))
     alike = items.join(choices, "simhash").select("id", F.array_min(F.filter("choices", lambda c: c["at"] < at)).alias("x")).filter("x is not null").select("id", "x.weight", "x.a")
     linked = older.join(best.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id"), "weight", "a")

@@ -192,3 +192,61 @@ def test_index_finds_what_a_scan_finds(spark):
             assert [(r["id"], round(r["score"], 9), r["rank"]) for r in ranking.indexed_search(index, q, 8, relax).collect()] == want
     assert ranking.indexed_search(index, '"search vector"', 8).count() == 0 < ranking.indexed_search(index, '"vector search"', 8).count()
     assert ranking.indexed_search(ranking.build_index(documents.limit(0), columns), "vector", 8).count() == 0
+
+
+def _greedy(rows, links):
+    """Items (id, seq, fingerprint) in the order of arrival, each against all that came before."""
+    expected, done = {}, []
+    for i, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        found = [((v ^ w).bit_count(), j) for j, w in done if v and w and (v ^ w).bit_count() <= 3 and expected[j] is None]
+        found += [(weight, j) for j, _ in done for a, b, weight in links if {a, b} == {i, j} and expected[j] is None]
+        expected[i] = min(found)[1] if found else None
+        done.append((i, v))
+    return expected
+
+
+def _first_come(spark, rows, links, **more):
+    nodes = spark.createDataFrame([(i, s, f"{v:016x}") for i, s, v in rows], "id long, seq long, simhash string")
+    got = matching.first_come(nodes.select("id", "seq"), spark.createDataFrame(links, "a long, b long, weight double"), nodes.select("id", "simhash"), **more)
+    return {r["id"]: r["duplicate_of"] for r in got.collect()}
+
+
+def test_first_come_over_a_long_chain(spark, monkeypatch):
+    """A chain of 200, each three bits from the next: as many tables as for a chain of 8, but for rounds that grow with its logarithm."""
+    import time
+
+    from docloom.operators import graphs
+
+    def chain(n):
+        out, v = [], 0x123456789ABCDEF0
+        for i in range(n):
+            out.append((i, i, v))
+            for b in range(3):
+                v ^= 1 << (3 * i + b) % 64 if i % 64 < 21 else 1 << (7 * i + 11 * b) % 64
+        return out
+
+    tables = []
+    for module in (matching, graphs):
+        keep = module.saved
+        monkeypatch.setattr(module, "saved", lambda df, keep=keep: (tables.append(1), keep(df))[1])
+    links = [(i, i + 1, 10.5) for i in range(0, 199)]
+    counts = []
+    for n in (8, 200):
+        tables.clear()
+        began = time.perf_counter()
+        rows = chain(n)
+        assert _first_come(spark, rows, [x for x in links if x[1] < n]) == _greedy(rows, [x for x in links if x[1] < n])
+        assert time.perf_counter() - began < 60
+        counts.append(len(tables))
+    assert counts[1] <= counts[0] + 12 and counts[1] <= 32, counts
+
+
+def test_first_come_components_over_the_bound(spark):
+    """The same result by components and in rounds, with hot classes, links, and equal times."""
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    rows = [(i, rng.randrange(25), rng.choice(base) ^ (rng.choice([0, 0, 1, 3, 7, 96, 15 << 30]))) for i in range(90)] + [(100 + i, 30, base[0]) for i in range(30)] + [(200, 1, 0), (201, 2, 0)]
+    links = [(a, b, 10.5) for a, b in ((rng.choice(rows)[0], rng.choice(rows)[0]) for _ in range(25)) if a != b]
+    want = _greedy(rows, links)
+    for most_rows in (200_000, 20, 0):
+        assert _first_come(spark, rows, links, most_rows=most_rows) == want

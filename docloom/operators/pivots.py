@@ -1,15 +1,15 @@
 """Exact nearest vectors by cosine, in cells around pivots: the triangle inequality decides which cells a query visits.
 
-Vectors are brought to length 1, where the cosine falls as the Euclidean distance grows. Pivots are centres of a bounded sample; every vector goes to the cell of its nearest pivot. A query first meets its own cell, whose k-th
-neighbour bounds the distance it has to look, and then only cells that can hold something nearer:
+Vectors are brought to length 1, where the cosine falls as the Euclidean distance grows. Pivots are centres of a bounded sample; every vector goes to the cell of its nearest pivot. No vector of a cell is nearer to query q
 
-* no vector of a cell is nearer to query q than |d(q, pivot) - radius| (outside the ring of the cell's distances to its pivot), and
-* none is nearer than the plane between the two pivots, (d(q, pivot)^2 - d(q, own pivot)^2) / 2 d(pivot, own pivot).
+* than the ring of the cell's distances to its pivot is to d(q, pivot), nor
+* than the plane between the two pivots, (d(q, pivot)^2 - d(q, own pivot)^2) / 2 d(pivot, own pivot).
 
-Inside a cell, vectors are in the order of their distance to the pivot, and only those within the bound of some query of a batch are multiplied. The sample decides how much is pruned, never what is found.
+Neighbouring cells share a bucket, so that a query is sent once for many cells. It first meets the bucket of its own cell, that cell first, whose k-th neighbour bounds how far it has to look; then it is sent to the buckets
+with a cell that can hold something nearer, and meets those cells only, and of them the vectors whose distance to the pivot is within its bound. The sample decides how much is pruned, never what is found.
 
-Equal vectors are one: a class keeps the k + 1 smallest identifiers, so copies of a third of all rows are compared once. A cell is split into parts of at most ``part_rows`` classes, and the queries of a part into tasks of
-about ``task_queries``, so neither a crowded cell nor a hot query group is one task; a task holds one part and one batch of queries.
+Equal vectors are one: a class keeps the k + 1 smallest identifiers, so copies of a third of all rows are compared once. A crowded cell is split into parts, and the queries of a part into several tasks, so neither a crowded
+cell nor a hot query group is one task; a task holds one part and a few queries at a time. Where vectors have no clusters nothing can be pruned, and all pairs are computed, as any exact method would.
 """
 
 from __future__ import annotations
@@ -77,48 +77,103 @@ def _placed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(place, f"key {kind}, unit array<double>, cell int, far double")
 
 
-def _searched(k: int, floor: float):
-    """Of rows (cell, part, turn, kind, key, unit, far, bound, forbidden), sorted so that a part's corpus comes before its queries: (query, key, cosine), and how many cosines were computed."""
+class _Cells:
+    """Pivots, and of each cell the number of vectors, the ring of their distances, its bucket; of each bucket the number of its parts."""
+
+    def __init__(self, pivots: np.ndarray, counts: dict[int, tuple[int, float, float]], part_rows: int) -> None:
+        self.pivots, self.between = pivots, distances(pivots, pivots)
+        self.full = np.array(sorted(counts))  # cells that hold any vector
+        n, self.low, self.high = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+        for cell, (rows, low, high) in counts.items():
+            n[cell], self.low[cell], self.high[cell] = rows, low, high
+        self.bucket, self.parts = np.full(len(pivots), -1), []
+        for cell in self.full[np.argsort(-n[self.full])]:  # a crowded cell begins a bucket, its nearest neighbours fill it up
+            if self.bucket[cell] < 0:
+                free = [c for c in self.full[np.argsort(self.between[cell][self.full], kind="stable")] if self.bucket[c] < 0]
+                room = np.cumsum(n[free]) <= max(part_rows, n[cell])
+                self.bucket[[c for c, fits in zip(free, room, strict=True) if fits]] = len(self.parts)
+                self.parts.append(int(-(-n[cell] // part_rows)))
+
+    def nearest_full(self, unit: np.ndarray) -> np.ndarray:
+        return self.full[distances(unit, self.pivots[self.full]).argmin(1)]
+
+    def least(self, to: np.ndarray, cells: np.ndarray, own: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """How near a vector of a cell can be to a query at least. ``to``: distances of queries to the pivots of ``cells``; ``own``, ``far``: a query's nearest pivot, and the distance to it."""
+        ring = np.maximum(to - self.high[cells][None, :], self.low[cells][None, :] - to)
+        gap = self.between[own][:, cells]
+        return np.maximum(ring, np.where(gap > 1e-9, (to**2 - far[:, None] ** 2) / np.maximum(2 * gap, 1e-12), 0))
+
+
+def _reach(kth: np.ndarray) -> np.ndarray:
+    """The distance of the cosine ``kth``, with what rounding may add."""
+    return np.sqrt(np.maximum(2 - 2 * kth, 0)) + 2 * _SLACK
+
+
+def _answers(at: _Cells, corpus: tuple, rows: pa.RecordBatch, k: int, floor: float) -> pa.RecordBatch:
+    """(query, key, similarity, cost) of a few queries against one part: all that may be among the ``k`` + 1 best."""
+    keys, m, far, edges, cells = corpus
+    q, own, own_far, home = unit_rows(rows.column("unit")), *(rows.column(c).to_numpy() for c in ("cell", "far", "home"))
+    bound, kth = rows.column("bound").to_numpy().copy(), np.full(len(q), -np.inf)
+    top = np.full((len(q), k + 1), -np.inf)
+    found, cost = [], 0
+
+    def meet(some: np.ndarray, low: int, high: int) -> None:
+        nonlocal cost
+        similar = q[some] @ m[low:high].T
+        cost += similar.size
+        top[some] = np.partition(np.concatenate([top[some], similar], axis=1), -(k + 1), axis=1)[:, -(k + 1) :]
+        kth[some] = top[some].min(axis=1)
+        bound[some] = np.minimum(bound[some], _reach(np.maximum(np.maximum(kth[some], floor), -1.0)))
+        row, place = np.nonzero(similar >= np.maximum(kth[some], floor)[:, None])
+        found.append((some[row], low + place, similar[row, place]))
+
+    for i, cell in enumerate(cells):
+        if len(mine := np.flatnonzero(home == cell)):
+            meet(mine, edges[i], edges[i + 1])
+    to = distances(q, at.pivots[cells])
+    least = at.least(to, cells, own, own_far)
+    for i, cell in enumerate(cells):
+        some = np.flatnonzero((least[:, i] <= bound + _SLACK) & (home != cell))
+        if len(some):
+            ring = far[edges[i] : edges[i + 1]]
+            low, high = np.searchsorted(ring, (to[some, i] - bound[some]).min() - _SLACK), np.searchsorted(ring, (to[some, i] + bound[some]).max() + _SLACK, side="right")
+            if high > low:
+                meet(some, edges[i] + low, edges[i] + high)
+    row, place, similar = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    best = similar >= kth[row]
+    costs = np.zeros(int(best.sum()), np.int64)
+    costs[:1] = cost
+    return pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(row[best])), keys.take(pa.array(place[best])), pa.array(similar[best]), pa.array(costs)], ["query", "key", "similarity", "cost"])
+
+
+def _searched(at: _Cells, k: int, floor: float, few: int = 256):
+    """Searches rows (bucket, part, turn, kind, key, unit, cell, far, home, bound), sorted so that a part's corpus, by cell and distance to its pivot, comes before its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, corpus = None, [], None
-
-        def answer(rows: pa.RecordBatch) -> pa.RecordBatch:
-            keys, m, far = corpus
-            asked, q, near, bound = rows.column("key"), unit_rows(rows.column("unit")), rows.column("far").to_numpy(), rows.column("bound").to_numpy()
-            low, high = np.searchsorted(far, (near - bound).min() - _SLACK), np.searchsorted(far, (near + bound).max() + _SLACK, side="right")
-            similar = q @ m[low:high].T
-            best = min(k + 1, high - low)  # its own class may be among them
-            order = np.argpartition(-similar, best - 1, axis=1)[:, :best] if best < high - low else np.tile(np.arange(high - low), (len(q), 1))
-            found = np.take_along_axis(similar, order, axis=1) if high > low else np.zeros((len(q), 0))
-            edge = found.min(axis=1) if found.size else np.zeros(len(q))
-            rank, place = np.nonzero(similar >= np.maximum(edge, floor)[:, None]) if high > low else (np.zeros(0, int), np.zeros(0, int))  # ties with the last, too
-            cost = np.zeros(len(rank), np.int64)
-            cost[:1] = similar.size
-            return pa.RecordBatch.from_arrays([asked.take(pa.array(rank)), keys.take(pa.array(low + place)), pa.array(similar[rank, place]), pa.array(cost)], ["query", "key", "similarity", "cost"])
-
         for b in batches:
-            places = np.stack([b.column(c).to_numpy() for c in ("cell", "part", "turn", "kind")], axis=1)
+            places = np.stack([b.column(c).to_numpy() for c in ("bucket", "part", "turn", "kind")], axis=1)
             edges = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]).any(1), True]) if b.num_rows else [0]
             for i, j in zip(edges[:-1], edges[1:], strict=True):
-                rows, at = b.slice(i, j - i), tuple(places[i].tolist())
-                if at[:3] != group:
-                    group, held, corpus = at[:3], [], None
-                if at[3] == 0:
+                rows, here = b.slice(i, j - i), tuple(places[i].tolist())
+                if here[:3] != group:
+                    group, held, corpus = here[:3], [], None
+                if here[3] == 0:
                     held.append(rows)
                     continue
-                if corpus is None and held:
-                    whole = pa.Table.from_batches(held).combine_chunks().sort_by("far")
-                    corpus = whole["key"].combine_chunks(), unit_rows(whole["unit"].combine_chunks()), whole["far"].to_numpy()
-                    held = []
+                if held:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    cell = whole["cell"].to_numpy()
+                    cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+                    corpus, held = (whole["key"].combine_chunks(), unit_rows(whole["unit"].combine_chunks()), whole["far"].to_numpy(), cuts, cell[cuts[:-1]]), []
                 if corpus is not None:
-                    for start in range(0, rows.num_rows, 1024):
-                        yield answer(rows.slice(start, 1024))
+                    for start in range(0, rows.num_rows, few):
+                        yield _answers(at, corpus, rows.slice(start, few), k, floor)
 
     return run
 
 
-def nearest_classes(corpus: DataFrame, queries: DataFrame, k: int, floor: float = -1.0, part_rows: int = 4096, task_queries: int = 16_384) -> tuple[DataFrame, DataFrame]:
+def nearest_classes(corpus: DataFrame, queries: DataFrame, k: int, floor: float = -1.0, part_rows: int = 16_384, task_queries: int = 16_384) -> tuple[DataFrame, DataFrame]:
     """(query, key, similarity) that holds the ``k`` + 1 most alike rows of ``corpus`` (key, embedding) for each of ``queries`` (key, embedding), ties included, and a table of costs (cost: cosines computed).
 
     All vectors have one length.
@@ -129,63 +184,62 @@ def nearest_classes(corpus: DataFrame, queries: DataFrame, k: int, floor: float
     if first is None:
         none = spark.createDataFrame([], f"query {kind}, key {kind}, similarity double, cost long")
         return none.select("query", "key", "similarity"), none.select("cost")
-    rows, most = corpus.count(), max(256, min(SAMPLE_ROWS, (64 << 20) // (8 * max(first["n"], 1))))
+    width = 8 * max(first["n"], 1)
+    rows, most, part_rows = corpus.count(), max(256, min(SAMPLE_ROWS, (64 << 20) // width)), max(1, min(part_rows, (64 << 20) // width))
     sample = corpus.sample(min(1.0, 1.2 * most / rows), seed=11).limit(most).select("embedding").collect() or corpus.limit(1).select("embedding").collect()  # at most 64 MB; decides the pruning only
     pivots = centres(unit_rows(pa.array([r["embedding"] for r in sample], pa.list_(pa.float64()))), int(min(MOST_PIVOTS, max(1, rows**0.5 / 2))))
-    stored, asked = saved(_placed(corpus, pivots)), _placed(queries, pivots)
-    stats = {r["cell"]: r for r in stored.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}  # a row a pivot
-    cells = np.array(sorted(stats))
-    low, high = (np.array([stats[c][x] for c in cells]) for x in ("low", "high"))
-    parts = {int(c): -(-stats[c]["n"] // part_rows) for c in cells}
-    between = distances(pivots, pivots)
-
-    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the nearest cell that holds any vector, and the distance to its pivot."""
+    stored = saved(_placed(corpus, pivots))
+    counts = {r["cell"]: (r["n"], r["low"], r["high"]) for r in stored.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}  # a row a pivot
+    at = _Cells(pivots, counts, part_rows)
+
+    def with_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the nearest cell that holds any vector."""
         for b in batches:
             if b.num_rows:
-                d = distances(unit_rows(b.column("unit")), pivots[cells])
-                home = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("unit"), b.column("cell"), b.column("far"), pa.array(cells[home].astype(np.int32)), pa.array(d[np.arange(len(home)), home])], ["key", "unit", "cell", "far", "home", "home_far"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.nearest_full(unit_rows(b.column("unit"))).astype(np.int32))], [*b.schema.names, "home"])
 
     def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries to the cells, but their home, that their bound reaches."""
+        """Queries to the buckets, but that of their home, with a cell that their bound reaches."""
         for b in batches:
-            if not b.num_rows:
-                continue
-            to, bound, nearest = distances(unit_rows(b.column("unit")), pivots[cells]), b.column("bound").to_numpy(), b.column("cell").to_numpy()
-            ring = np.maximum(to - high[None, :], low[None, :] - to)
-            gap = between[nearest][:, cells]
-            plane = (to**2 - b.column("far").to_numpy()[:, None] ** 2) / np.maximum(2 * gap, 1e-12)
-            least = np.maximum(ring, np.where(gap > 1e-9, plane, 0))
-            at, column = np.nonzero((least <= bound[:, None] + _SLACK) & (cells[None, :] != b.column("home").to_numpy()[:, None]))
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(cells[column].astype(np.int32)), b.column("key").take(take), b.column("unit").take(take), pa.array(to[at, column]), pa.array(bound[at])], ["cell", "key", "unit", "far", "bound"])
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                own, far, home, bound = (part.column(c).to_numpy() for c in ("cell", "far", "home", "bound"))
+                reached = at.least(distances(unit_rows(part.column("unit")), pivots[at.full]), at.full, own, far) <= bound[:, None] + _SLACK
+                to = np.zeros((part.num_rows, len(at.parts)), bool)
+                row, column = np.nonzero(reached)
+                to[row, at.bucket[at.full[column]]] = True
+                to[np.arange(part.num_rows), at.bucket[home]] = False
+                row, bucket = np.nonzero(to)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *(c.take(pa.array(row)) for c in part.columns)], ["bucket", *part.schema.names])
 
     def round_of(visiting: DataFrame) -> DataFrame:
-        """Sends queries to all parts of their cells; where a cell has many queries, its parts are copied for several tasks."""
+        """Sends queries to all parts of their buckets; where a bucket has many queries, its parts are copied for several tasks."""
         visiting = saved(visiting)
-        crowd = {r["cell"]: -(-r["count"] // task_queries) for r in visiting.groupBy("cell").count().collect()}  # a row a pivot
-        plan = spark.createDataFrame([(int(c), parts[int(c)], crowd[int(c)]) for c in cells if int(c) in crowd], "cell int, parts int, turns int")
+        crowd = {r["bucket"]: -(-r["count"] // task_queries) for r in visiting.groupBy("bucket").count().collect()}  # a row a bucket
+        plan = spark.createDataFrame([(b, at.parts[b], n) for b, n in crowd.items()], "bucket int, parts int, turns int")
+        of_cells = spark.createDataFrame([(int(c), int(at.bucket[c])) for c in at.full], "cell int, bucket int")
         salt = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
-        to = visiting.join(F.broadcast(plan), "cell").withColumn("turn", salt("turns", 3)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        of = stored.join(F.broadcast(plan), "cell").withColumn("part", salt("parts", 5)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-        columns = ["cell", "part", "turn"]
-        both = of.select(*columns, F.lit(0).alias("kind"), "key", "unit", "far", F.lit(0.0).alias("bound")).union(to.select(*columns, F.lit(1), "key", "unit", "far", "bound"))
+        to = visiting.join(F.broadcast(plan), "bucket").withColumn("turn", salt("turns", 3)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        of = stored.join(F.broadcast(of_cells), "cell").join(F.broadcast(plan), "bucket").withColumn("part", salt("parts", 5)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        place, held = ["bucket", "part", "turn"], ["key", "unit", "cell", "far"]
+        both = of.select(*place, F.lit(0).alias("kind"), *held, F.col("cell").alias("home"), F.lit(0.0).alias("bound")).union(to.select(*place, F.lit(1), *held, "home", "bound"))
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return saved(both.repartition(n, *columns).sortWithinPartitions(*columns, "kind", "far").mapInArrow(_searched(k, floor), f"query {kind}, key {kind}, similarity double, cost long"))
+        return saved(both.repartition(n, *place).sortWithinPartitions(*place, "kind", "cell", "far").mapInArrow(_searched(at, k, floor), f"query {kind}, key {kind}, similarity double, cost long"))
 
-    asked = saved(asked.mapInArrow(at_home, f"key {kind}, unit array<double>, cell int, far double, home int, home_far double"))
-    own = round_of(asked.select(F.col("home").alias("cell"), "key", "unit", F.col("home_far").alias("far"), F.lit(4.0).alias("bound")))
+    columns = f"key {kind}, unit array<double>, cell int, far double, home int"
+    asked = saved(_placed(queries, pivots).mapInArrow(with_home, columns))
+    bucket_of = F.element_at(F.array(*map(F.lit, at.bucket.tolist())), F.col("home") + 1).cast("int")
+    own = round_of(asked.select(bucket_of.alias("bucket"), "*", F.lit(4.0).alias("bound")))
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
     last = own.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") == k + 1).select(F.col("query").alias("key"), F.col("similarity").alias("kth"))
     least = F.greatest(F.coalesce("kth", F.lit(-1.0)), F.lit(float(max(floor, -1.0))))
     bounded = asked.join(last, "key", "left").withColumn("bound", F.sqrt(F.greatest(2 - 2 * least, F.lit(0.0))) + 2 * _SLACK).select("key", "unit", "cell", "far", "home", "bound")
-    others = round_of(bounded.mapInArrow(onward, f"cell int, key {kind}, unit array<double>, far double, bound double"))
+    others = round_of(bounded.mapInArrow(onward, f"bucket int, {columns}, bound double"))
     found = own.union(others)
     return found.select("query", "key", "similarity"), found.select("cost")
 
 
-def nearest_by_pivots(vectors: DataFrame, queries: DataFrame, k: int, floor: float = -1.0, skip_self: bool = True, part_rows: int = 4096, task_queries: int = 16_384, costs: list | None = None) -> DataFrame:
+def nearest_by_pivots(vectors: DataFrame, queries: DataFrame, k: int, floor: float = -1.0, skip_self: bool = True, part_rows: int = 16_384, task_queries: int = 16_384, costs: list | None = None) -> DataFrame:
     """query_id, id, similarity, rank: the ``k`` most alike by cosine, exactly, of ``vectors`` (id, embedding); ties go to smaller identifiers. Vectors that are null or hold a null or a number that isn't finite are left out; all others have one length.
 
     ``costs``: gets the number of cosines computed.

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators.matching import KnownFingerprints
 from ..operators.pivots import nearest_by_pivots
+from ..operators.segments import SegmentedIndex
 from ..operators.storage import saved, shared_path
 from ..operators.versions import Change, Store, removal, upsert
-from .queries import _COSINE, SQL, _upsert_columns, _upsert_inputs, _vectors, query, simhash_docs, table
+from .queries import _COSINE, BODY, SQL, _upsert_columns, _upsert_inputs, _vectors, query, simhash_docs, table, texts
 
 _UPSERTED = SQL["upsert_items"]
 
@@ -55,3 +56,25 @@ def known_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = KnownFingerprints(spark, f"known_{uuid.uuid4().hex}")
     known.add(hashed)
     return known.nearest(hashed)
+
+
+_ASKED = ("the", "of", "and")
+_CHANGED = """d AS (SELECT 'd' || doc_id AS id, CASE WHEN quality = 0 THEN text || ' the end of this and that' ELSE text END AS text FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0 UNION ALL SELECT 'b' || item_id, text FROM benchmark)"""
+_EXACT = f"""{_CHANGED}, k AS (SELECT id, len(w) AS length, {", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(_ASKED))} FROM (SELECT id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM d)),
+  s AS (SELECT count(*) AS n, avg(length) AS mean, {", ".join(f"count(*) FILTER (t{i} > 0) AS f{i}" for i in range(len(_ASKED)))} FROM k),
+  b AS (SELECT id, {" + ".join(f"greatest(ln((n - f{i} + 0.5) / (f{i} + 0.5)), 1e-6) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(_ASKED)))} AS score FROM k, s WHERE t0 > 0 AND t1 > 0 AND t2 > 0)"""
+
+
+@query(f"WITH {_EXACT}, r AS (SELECT id, round(score, 6) AS score FROM b ORDER BY b.score DESC, id LIMIT 25) SELECT 'segments' AS kept, * FROM r UNION ALL SELECT 'merged', * FROM r")
+def index_after_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 from an index that was filled, changed by three batches (new texts, deletions, updates), and merged."""
+    words = lambda rows, key: rows.select(key.alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("body"))
+    key = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    labels = table(spark, sf_dir, "labels")
+    docs = texts(spark, sf_dir)
+    poor = docs.join(labels.filter("quality = 0").select("doc_id"), "doc_id").withColumn("text", F.concat("text", F.lit(" the end of this and that")))
+    index = SegmentedIndex().with_documents(words(docs, key), BODY)
+    index = index.with_documents(words(table(spark, sf_dir, "benchmark"), F.concat(F.lit("b"), F.col("item_id").cast("string"))), BODY)
+    index = index.with_documents(words(poor, key), BODY).without(labels.filter("toxic = 1").select(key.alias("id")))
+    found = [i.search(spark, list(_ASKED), 25).select(F.lit(name).alias("kept"), "id", F.round("score", 6).alias("score")) for name, i in (("segments", index), ("merged", index.merged(spark)))]
+    return found[0].union(found[1])

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..operators.matching import KnownFingerprints
 from ..operators.pivots import nearest_by_pivots
 from ..operators.segments import SegmentedIndex
+from ..operators.standing import standing_counts
 from ..operators.storage import saved, shared_path
 from ..operators.versions import Change, Store, removal, upsert
-from .queries import _COSINE, BODY, SQL, _upsert_columns, _upsert_inputs, _vectors, query, simhash_docs, table, texts
+from .queries import _COSINE, BODY, HOUR, ITEMS, SQL, _upsert_columns, _upsert_inputs, _vectors, items_of, query, simhash_docs, table, texts
 
 _UPSERTED = SQL["upsert_items"]
 
@@ -78,3 +79,25 @@ def index_after_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = index.with_documents(words(poor, key), BODY).without(labels.filter("toxic = 1").select(key.alias("id")))
     found = [i.search(spark, list(_ASKED), 25).select(F.lit(name).alias("kept"), "id", F.round("score", 6).alias("score")) for name, i in (("segments", index), ("merged", index.merged(spark)))]
     return found[0].union(found[1])
+
+
+@query(f"""{ITEMS}, s AS (SELECT event_id, 't' || (event_id % 8) AS tag, ['en', 'fr', 'de', 'es'][CAST(event_id % 4 AS INTEGER) + 1] AS lang, 'a' || (event_id % 61) AS handle, CAST(event_id % 90 AS DOUBLE) AS least, event_id % 5 AS what, user_id * {HOUR} AS since FROM events)
+  SELECT 's' || event_id AS search_id, count(items.id) AS n FROM s LEFT JOIN items ON NOT twin AND state <> 'trash' AND published_ms > since AND (what <> 0 OR list_contains(tags, tag) AND score >= least) AND (what <> 1 OR s.lang = items.lang AND list_contains(tags, tag))
+    AND (what <> 2 OR s.handle = items.handle) AND (what <> 3 OR score >= least) AND (what <> 4 OR s.handle = items.handle AND s.lang = items.lang AND starred) GROUP BY event_id""")
+def standing_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One saved search for each event, five kinds of them, held against all items."""
+    e = F.col("event_id")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    tag, handle = text(F.concat(F.lit("t"), (e % 8).cast("string"))), text(F.concat(F.lit("a"), (e % 61).cast("string")))
+    lang = text(F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (e % 4 + 1).cast("int")))
+    least = (e % 90).cast("string")
+    kinds = [
+        F.concat(F.lit('{"tags": ['), tag, F.lit('], "min_score": '), least, F.lit("}")),
+        F.concat(F.lit('{"tags": ['), tag, F.lit('], "lang": '), lang, F.lit("}")),
+        F.concat(F.lit('{"authors": ['), handle, F.lit("]}")),
+        F.concat(F.lit('{"min_score": '), least, F.lit("}")),
+        F.concat(F.lit('{"authors": ['), handle, F.lit('], "starred": true, "lang": '), lang, F.lit("}")),
+    ]
+    query = F.element_at(F.array(*kinds), (e % 5 + 1).cast("int"))
+    searches = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), e.cast("string")).alias("id"), query.alias("query"), (F.col("user_id") * HOUR).alias("last_seen_ms"))
+    return standing_counts(items_of(spark, sf_dir), searches)

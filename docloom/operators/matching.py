@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from .graphs import components
 from .ranking import nearest_vectors
 from .storage import saved, shared_path, shared_root  # noqa: F401  also read from here
 
+_WHOLE = (1 << 64) - 1
 ECHO_WINDOW_MS = 72 * 3_600_000
 ECHO_TYPES = ("model", "company", "product", "paper", "benchmark")
 
@@ -60,21 +62,17 @@ class KnownFingerprints:
     def _valid(fingerprints: DataFrame) -> DataFrame:
         return fingerprints.filter((F.length("simhash") == 16) & (F.col("simhash") != "0" * 16)).select("id", simhash_bits(F.col("simhash")).alias("bits"))
 
-    def _keyed(self, rows: DataFrame) -> DataFrame:
-        choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("bits").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(self.masks)))
-        return rows.withColumn("k", F.explode(choices)).select("k.choice", "k.key", *rows.columns)
-
     def add(self, fingerprints: DataFrame) -> None:
         """Stores (id, simhash); empty texts' fingerprints of zeros and malformed ones never match and are left out."""
         turn = Window.partitionBy("bits").orderBy("id")
         classes = self._valid(fingerprints).withColumn("turn", F.row_number().over(turn)).filter("turn <= 2").groupBy("bits").agg(F.min("id").alias("first"), F.max("id").alias("second"))
         path = {} if self.spark.catalog.tableExists(self.name) else {"path": shared_path(self.spark, "known")}
-        rows = self._keyed(classes).repartition(self.buckets, "choice", "key")
+        rows = _keyed(classes, self.masks).repartition(self.buckets, "choice", "key")
         rows.write.bucketBy(self.buckets, "choice", "key").sortBy("choice", "key").options(**path).mode("append").saveAsTable(self.name)
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         """bits, distance, match: stored identifiers in reach of the distinct fingerprints of ``queries``, two of a class at most. A pair that agrees under several choices is taken at its first."""
-        asked = self._keyed(self._valid(queries).select("bits").distinct())
+        asked = _keyed(self._valid(queries).select("bits").distinct(), self.masks)
         known = self.spark.table(self.name).select("choice", "key", F.col("bits").alias("k_bits"), "first", "second")
         apart = F.col("bits").bitwiseXOR(F.col("k_bits"))
         first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(self.masks)))
@@ -118,75 +116,97 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.transform("v", lambda e: F.when(F.col("norm") > 0, e["x"] / F.col("norm")).otherwise(e["x"])).alias("centroid"))
 
 
-def _settled_in_order(table: pa.Table) -> pa.Table:
-    """One component: which of its items are canonical, taken in their order of arrival. Rows (root, kind, x, y, seq) are items (0: x of class y), near classes (1) and earlier matches (2: x before y)."""
-    kind, x, y, seq = (table[c].to_pylist() for c in ("kind", "x", "y", "seq"))
-    near, earlier, order = defaultdict(set), defaultdict(list), []
-    for k, a, b, s in zip(kind, x, y, seq, strict=True):
-        if k == 0:
-            order.append((s, a, b))
-        elif k == 1:
-            near[a].add(b)
-        else:
-            earlier[b].append(a)
-    canonical, held = set(), set()
-    for _, item, of in sorted(order, key=lambda r: r[:2]):
-        beaten = of is not None and (of in held or not held.isdisjoint(near[of])) or any(e in canonical for e in earlier[item])
-        if not beaten:
-            canonical.add(item)
-            if of is not None:
-                held.add(of)
-    return pa.table({"x": pa.array(sorted(canonical), table["x"].type)})
+def _keyed(classes: DataFrame, masks: list[int]) -> DataFrame:
+    """choice, key of every choice of blocks, before the columns of ``classes`` (bits, ...): classes in reach of one another meet under one of them."""
+    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("bits").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
+    return classes.withColumn("k", F.explode(choices)).select("k.choice", "k.key", *classes.columns)
 
 
-def _canonical(items: DataFrame, older: DataFrame, near: DataFrame, most_rows: int) -> DataFrame:
-    """The canonical of ``items`` (id, seq, simhash or null): id. ``older``: a before b; ``near``: pairs of classes, both ways.
+def _in_order(masks: list[int], most: int):
+    """Settles components, each with its items in their order of arrival: of rows (root, kind, x, y, bits, seq), sorted by root and kind, matches (0: x before y) and items (1: x, of class bits), the canonical items."""
 
-    Of a class only items that have matches of their own, and the first of the others, can be canonical: what beats that one beats the others, too. These make components with near classes and matches. A component of
-    up to ``most_rows`` rows is settled in the order of arrival by one task; a larger one in rounds.
+    def settle(earlier: dict, items: list) -> list[str]:
+        canonical, held, reach = set(), set(), defaultdict(list)
+        for _, item, bits in sorted(items):
+            beaten = bits is not None and (bits in held or any((bits ^ other).bit_count() <= most for i, m in enumerate(masks) for other in reach.get((i, bits & m), ())))
+            if beaten or any(e in canonical for e in earlier.get(item, ())):
+                continue
+            canonical.add(item)
+            if bits is not None and bits not in held:
+                held.add(bits)
+                for i, m in enumerate(masks):
+                    reach[i, bits & m].append(bits)
+        return [x for _, x, _ in items if x in canonical]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, earlier, items = None, defaultdict(list), []
+        for b in batches:
+            done: list[str] = []
+            for root, kind, x, y, bits, seq, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if root != at:
+                    done += settle(earlier, items)
+                    at, earlier, items = root, defaultdict(list), []
+                if kind == 0:
+                    earlier[y].append(x)
+                else:
+                    items.append(((seq, key), x, None if bits is None else bits & _WHOLE))
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["x"])
+        yield pa.RecordBatch.from_arrays([pa.array(settle(earlier, items), pa.string())], ["x"])
+
+    return run
+
+
+def _canonical(items: DataFrame, older: DataFrame, most: int, most_rows: int) -> DataFrame:
+    """The canonical of ``items`` (id, seq, bits or null): id. ``older``: a before b.
+
+    Of a class only items that have matches of their own, and the first of the others, can be canonical: what beats that one beats the others, too. Components are made over matches and over classes that share a block key with
+    the least class of the key, so a crowd of near classes makes no pairs; they may hold more than what really matches, never less. The first ``most_rows`` open items of each component are settled in their order by
+    one task; what these beat, found by joins, is settled with them, and what is left goes on in the same way.
     """
+    spark, masks = items.sparkSession, _masks(most)
     linked = older.select(F.col("a").alias("id")).union(older.select("b")).distinct().withColumn("linked", F.lit(True))
     marked = items.join(linked, "id", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    firsts = marked.filter("simhash is not null and not linked").groupBy("simhash").agg(F.min(F.struct("seq", "id")).alias("at"))
-    some = saved(marked.filter("linked").select("id", "seq", "simhash").union(firsts.select("at.id", "at.seq", "simhash")))
-    alone = marked.filter("simhash is null and not linked").select("id")  # nothing can match these
-    item, of = (lambda c: F.concat(F.lit("i"), F.col(c).cast("string"))), (lambda c: F.concat(F.lit("c"), F.col(c)))
-    apart = near.filter("a < b")
-    links = some.filter("simhash is not null").select(item("id").alias("a"), of("simhash").alias("b")).union(apart.select(of("a"), of("b"))).union(older.select(item("a"), item("b")))
-    roots = components(links)
-    rows = (
-        some.select(F.lit(0).alias("kind"), F.col("id").cast("string").alias("x"), F.col("simhash").alias("y"), "seq", item("id").alias("node"))
-        .union(near.filter("a <> b").select(F.lit(1), "a", "b", F.lit(None).cast("long"), of("a"))).union(older.select(F.lit(2), F.col("a").cast("string"), F.col("b").cast("string"), F.lit(None).cast("long"), item("a")))
-    )
-    placed = saved(rows.join(roots, "node").drop("node"))
-    sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
-    small = placed.join(sizes.filter(F.col("n") <= most_rows).select("root"), "root", "left_semi")
-    settled = small.groupBy("root").applyInArrow(_settled_in_order, "x string")
-    large = saved(placed.filter("kind = 0").join(sizes.filter(F.col("n") > most_rows).select("root"), "root", "left_semi").select(F.col("x").alias("text")))
-    kind = items.schema["id"].dataType.simpleString()
-    out = alone.union(settled.select(F.col("x").cast(kind).alias("id")))
-    if large.isEmpty():
-        return out
-    return out.union(_settled_in_rounds(saved(some.join(large.select(F.col("text").cast(kind).alias("id")), "id")), older, near))
-
-
-def _settled_in_rounds(items: DataFrame, older: DataFrame, near: DataFrame) -> DataFrame:
-    """The canonical of ``items``, whole components. Each round settles all that a canonical one beats, or whose earlier matches are all settled, until none is open; the earliest open item always settles."""
-    at = F.struct("seq", "id")
-    settled = items.filter("false").select("id", F.lit(True).alias("canonical"))
-    while True:
-        marked = saved(items.join(settled, "id", "left"))
-        open_ = marked.filter("canonical is null").drop("canonical")
-        if open_.isEmpty():
-            return settled.filter("canonical").select("id")
-        firsts = marked.filter("simhash is not null").groupBy(F.col("simhash").alias("b")).agg(F.min(F.when(F.col("canonical"), at)).alias("known"), F.min(F.when(F.col("canonical").isNull(), at)).alias("next"))
-        reach = near.join(firsts, "b").groupBy(F.col("a").alias("simhash")).agg(F.min("known").alias("known"), F.min("next").alias("next"))
-        seen = older.join(open_.select(F.col("id").alias("b")), "b").join(settled.withColumnRenamed("id", "a"), "a", "left")
-        state = seen.groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce("canonical", F.lit(False))).alias("beaten"), F.max(F.col("canonical").isNull()).alias("waits"))
-        beaten = F.coalesce(F.col("known") < at, F.lit(False)) | F.coalesce("beaten", F.lit(False))
-        waits = F.coalesce(F.col("next") < at, F.lit(False)) | F.coalesce("waits", F.lit(False))
-        new = open_.join(reach, "simhash", "left").join(state, "id", "left").filter(beaten | ~waits).select("id", (~beaten).alias("canonical"))
-        settled = saved(settled.union(new))  # one table, so that no plan grows with the rounds
+    firsts = marked.filter("bits is not null and not linked").groupBy("bits").agg(F.min(F.struct("seq", "id")).alias("at"))
+    some = saved(marked.filter("linked").select("id", "seq", "bits", "linked").union(firsts.select("at.id", "at.seq", "bits", F.lit(False))))
+    keyed = saved(_keyed(some.filter("bits is not null").select("bits").distinct(), masks))
+    hubs = keyed.groupBy("choice", "key").agg(F.min("bits").alias("hub"), F.max("bits").alias("other"), F.count("*").alias("n")).filter("n > 1")
+    alike = (F.col("n") > 2) | (F.bit_count(F.col("hub").bitwiseXOR(F.col("other"))) <= most)
+    near = saved(keyed.join(hubs.filter(alike).select("choice", "key", "hub"), ["choice", "key"]).filter("bits <> hub").select("bits", "hub").distinct())
+    item, of = (lambda c: F.concat(F.lit("i"), F.col(c).cast("string"))), (lambda c: F.concat(F.lit("c"), F.col(c).cast("string")))
+    met = near.select("bits").union(near.select("hub")).union(some.filter("linked and bits is not null").select("bits")).distinct()
+    free = some.filter("not linked").join(met, "bits", "left_anti").select("id").union(marked.filter("bits is null and not linked").select("id"))  # nothing can match these
+    links = some.join(met, "bits").select(item("id").alias("a"), of("bits").alias("b")).union(near.select(of("bits"), of("hub"))).union(older.select(item("a"), item("b")))
+    open_ = saved(some.withColumn("node", item("id")).join(components(links), "node").select("id", "seq", "bits", "root"))
+    kind, n = items.schema["id"].dataType.simpleString(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = free
+    while not open_.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("root").orderBy("seq", "id"))
+        heads = saved(open_.withColumn("turn", turn).filter(F.col("turn") <= most_rows).drop("turn"))
+        matches = older.join(heads.select(F.col("id").alias("b"), "root"), "b")
+        null = lambda t: F.lit(None).cast(t)
+        rows = heads.select("root", F.lit(1).alias("kind"), F.col("id").cast("string").alias("x"), null("string").alias("y"), "bits", "seq", F.col("id").alias("key")).union(
+            matches.select("root", F.lit(0), F.col("a").cast("string"), F.col("b").cast("string"), null("long"), null("long"), null(kind))
+        )
+        new = saved(rows.repartition(n, "root").sortWithinPartitions("root", "kind").mapInArrow(_in_order([m & _WHOLE for m in masks], most), "x string").select(F.col("x").cast(kind).alias("id")))
+        found = found.union(new)
+        rest = open_.join(heads.select("id"), "id", "left_anti")
+        if rest.isEmpty():
+            break
+        classes = heads.join(new, "id").filter("bits is not null").select("bits").distinct()
+        reach = _in_reach(rest.filter("bits is not null").select("bits").distinct(), classes, most).select("bits").distinct()
+        beaten = rest.join(reach, "bits").select("id").union(older.join(new.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")))
+        open_ = saved(rest.join(beaten.distinct(), "id", "left_anti"))
+    return found
+
+
+def _in_reach(classes: DataFrame, others: DataFrame, most: int) -> DataFrame:
+    """bits, other, distance: which of ``others`` (bits) are at most ``most`` bits from each of ``classes`` (bits), itself included."""
+    masks = _masks(most)
+    right = _keyed(others, masks).select("choice", "key", F.col("bits").alias("other"))
+    apart = F.col("bits").bitwiseXOR(F.col("other"))
+    first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(masks)))
+    met = _keyed(classes, masks).join(right, ["choice", "key"]).filter((F.bit_count(apart) <= most) & (first == F.col("choice")))
+    return met.select("bits", "other", F.bit_count(apart).cast("int").alias("distance"))
 
 
 def first_come(nodes: DataFrame, edges: DataFrame | None = None, fingerprints: DataFrame | None = None, most: int = DUPLICATE_DISTANCE, most_rows: int = 200_000) -> DataFrame:
@@ -195,9 +215,11 @@ def first_come(nodes: DataFrame, edges: DataFrame | None = None, fingerprints: D
     ``nodes``: id, seq. ``edges``: a, b, weight (smaller is nearer), in either direction. ``fingerprints``: id, simhash; items at most ``most`` bits apart match, their distance is the weight. Returns id,
     duplicate_of (null: canonical), the nearest canonical earlier match, ties to the smaller identifier. Items are settled a component of matches at a time, so a long chain takes no more rounds than a short one.
 
-    Equal fingerprints are one class, which has one canonical item at most. Only classes are paired: an item asks for the first canonical item in reach of its class, so a text that a third of all rows share makes no
-    square.
+    Equal fingerprints are one class, which has one canonical item at most. Classes are only paired with canonical ones, which are out of reach of each other, so neither a text that a third of all rows share nor a crowd
+    of near texts makes a square.
     """
+    if most_rows < 1:
+        raise ValueError("a task must settle one item at least")
     order, at = nodes.select("id", "seq"), F.struct("seq", "id")
     if edges is None:
         edges = order.filter("false").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("weight"))
@@ -207,14 +229,14 @@ def first_come(nodes: DataFrame, edges: DataFrame | None = None, fingerprints: D
     both = both.union(both.select("b", "a", "weight"))
     older = both.join(order.select(F.col("id").alias("a"), F.col("seq").alias("a_seq")), "a").join(order.select(F.col("id").alias("b"), F.col("seq").alias("b_seq")), "b")
     older = saved(older.filter((F.col("a_seq") < F.col("b_seq")) | ((F.col("a_seq") == F.col("b_seq")) & (F.col("a") < F.col("b")))).groupBy("a", "b").agg(F.min("weight").alias("weight")))
-    valid = fingerprints.filter((F.length("simhash") == 16) & (F.col("simhash") != "0" * 16)).select("id", "simhash")
+    valid = fingerprints.filter((F.length("simhash") == 16) & (F.col("simhash") != "0" * 16)).select("id", simhash_bits(F.col("simhash")).alias("bits"))
     items = saved(order.filter("id is not null").join(valid, "id", "left"))
-    classes = items.filter("simhash is not null").select("simhash").distinct()
-    pairs = band_pairs(classes.select(F.col("simhash").alias("id"), "simhash"), most)
-    near = saved(pairs.union(pairs.select("b", "a", "distance")).union(classes.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"), F.lit(0).alias("distance"))))
-    best = items.join(_canonical(items, older, near, most_rows), "id")
-    choices = near.join(best.select(F.col("simhash").alias("b"), F.col("id").alias("match"), at.alias("at")), "b").groupBy(F.col("a").alias("simhash")).agg(F.collect_list(F.struct(F.col("distance").cast("double").alias("weight"), F.col("match").alias("a"), "at")).alias("choices"))
-    alike = items.join(choices, "simhash").select("id", F.array_min(F.filter("choices", lambda c: c["at"] < at)).alias("x")).filter("x is not null").select("id", "x.weight", "x.a")
+    best = saved(items.join(_canonical(items, older, most, most_rows), "id"))
+    heads = best.filter("bits is not null").groupBy("bits").agg(F.min(F.struct("seq", "id")).alias("at"))  # one a class, but for items that have no fingerprint
+    near = _in_reach(items.filter("bits is not null").select("bits").distinct(), heads.select("bits"), most)
+    choices = near.join(heads.select(F.col("bits").alias("other"), "at"), "other").select("bits", F.struct(F.col("distance").cast("double").alias("weight"), F.col("at.id").alias("a"), "at").alias("c"))
+    choices = choices.groupBy("bits").agg(F.collect_list("c").alias("choices"))  # canonical classes in reach of one class, and of none of each other
+    alike = items.join(choices, "bits").select("id", F.array_min(F.filter("choices", lambda c: c["at"] < at)).alias("x")).filter("x is not null").select("id", "x.weight", "x.a")
     linked = older.join(best.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id"), "weight", "a")
     parents = alike.union(linked).groupBy("id").agg(F.min(F.struct("weight", "a")).alias("x"))
     return order.join(parents, "id", "left").select("id", F.col("x.a").alias("duplicate_of"))

@@ -248,5 +248,7 @@ def test_first_come_components_over_the_bound(spark):
     rows = [(i, rng.randrange(25), rng.choice(base) ^ (rng.choice([0, 0, 1, 3, 7, 96, 15 << 30]))) for i in range(90)] + [(100 + i, 30, base[0]) for i in range(30)] + [(200, 1, 0), (201, 2, 0)]
     links = [(a, b, 10.5) for a, b in ((rng.choice(rows)[0], rng.choice(rows)[0]) for _ in range(25)) if a != b]
     want = _greedy(rows, links)
-    for most_rows in (200_000, 20, 0):
+    with pytest.raises(ValueError, match="at least"):
+        _first_come(spark, rows, links, most_rows=0)
+    for most_rows in (200_000, 40):
         assert _first_come(spark, rows, links, most_rows=most_rows) == want

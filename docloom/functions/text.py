@@ -53,6 +53,7 @@ DEPTH_MARKERS = (
     (rf"(?i){WORD_START}(?:however|whereas|trade-?off|caveat|limitation|counterintuitive|nuance)", 0.08),
     ("实测|复现|对比实验|消融|参数量|吞吐|延迟|开源地址", 0.11),
 )
+# Elements that break lines.
 BLOCK_ELEMENTS = "p|div|section|article|header|footer|main|aside|nav|h[1-6]|ul|ol|li|blockquote|pre|table|tr|br|hr|figure|figcaption"
 
 
@@ -134,6 +135,7 @@ def html_to_text(c: Column, numeric_references: bool = False) -> Column:
         out = F.regexp_replace(out, pattern, " ")
     out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCK_ELEMENTS})\b[^>]*>", "\n")
     out = F.regexp_replace(out, "<[^>]+>", "")
+    # The named references.
     for name, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–")):
         out = F.replace(out, F.lit(name), F.lit(char))
     out = _references(out) if numeric_references else out
@@ -145,7 +147,7 @@ def html_to_text(c: Column, numeric_references: bool = False) -> Column:
 def normalise_text(c: Column, limit: int = 200_000) -> Column:
     """Text of what looks like HTML, trimmed and cut to ``limit``."""
     trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    return F.substring(F.when(text_of(c).rlike(r"(?i)<[a-z][\s\S]*>"), html_to_text(c)).otherwise(trimmed(text_of(c))), 1, limit)
+    return F.substring(F.when(text_of(c).rlike(r"(?i)<[a-z][\s\S]*>"), html_to_text(c, numeric_references=True)).otherwise(trimmed(text_of(c))), 1, limit)
 
 
 def truncate(c: Column, limit: int, ellipsis: str = "…") -> Column:
@@ -160,6 +162,7 @@ def truncate(c: Column, limit: int, ellipsis: str = "…") -> Column:
 def excerpt(c: Column, limit: int = 220) -> Column:
     """Plain text of Markdown on one line, truncated."""
     out = text_of(c)
+    # The marks of Markdown.
     for pattern, new in ((r"(?m)^#{1,6}\s+", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"[*_`>]", ""), (r"\s+", " ")):
         out = F.regexp_replace(out, pattern, new)
     return truncate(F.trim(out), limit)

@@ -7,12 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import filters
+from ..operators.bitmaps import bitmap_index
 from ..operators.matching import KnownFingerprints
 from ..operators.pivots import nearest_by_pivots
+from ..operators.seek import clustered
 from ..operators.segments import SegmentedIndex
 from ..operators.standing import standing_counts
 from ..operators.storage import saved, shared_path
 from ..operators.versions import Change, Store, removal, upsert
+from ..schema import SearchQuery
 from .queries import _COSINE, BODY, HOUR, ITEMS, SQL, _upsert_columns, _upsert_inputs, _vectors, items_of, query, simhash_docs, table, texts
 
 _UPSERTED = SQL["upsert_items"]
@@ -101,3 +105,35 @@ def standing_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = F.element_at(F.array(*kinds), (e % 5 + 1).cast("int"))
     searches = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), e.cast("string")).alias("id"), query.alias("query"), (F.col("user_id") * HOUR).alias("last_seen_ms"))
     return standing_counts(items_of(spark, sf_dir), searches)
+
+
+_FACETS = SQL["facets_four_dims"]
+_UNDER = {"all": [], "german": [("topic", "de")], "tagged": [("topic", "de"), ("tag", "t1")]}
+
+
+def _facets_under(wanted: list[tuple[str, str]]) -> str:
+    tests = "".join(f" AND list_contains({'topics' if d == 'topic' else 'tags'}, '{v}')" for d, v in wanted)
+    return _FACETS.replace("state <> 'trash')", f"state <> 'trash'{tests})")
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS under, * FROM ({_facets_under(wanted)})" for name, wanted in _UNDER.items()))
+def facets_by_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets in four dimensions under three filters, from one index: the items are read once."""
+    fits = filters.matching(items_of(spark, sf_dir), SearchQuery())
+    index = bitmap_index(fits, {"source": F.col("source"), "topic": F.col("topics"), "tag": F.col("tags"), "author": F.col("author.handle")})
+    parts = [index.facets(wanted, {"source": 12, "topic": 16, "tag": 16, "author": 12}).select(F.lit(name).alias("under"), "facet", "value", "n") for name, wanted in _UNDER.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"""{ITEMS}, r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place, count(*) OVER () AS n FROM items WHERE NOT twin AND state <> 'trash') SELECT id, score, CAST((place - 1) // ((n + 19) // 20) AS INTEGER) AS page FROM r""")
+def seek_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items by score in twenty pages, each begun at the last one's cursor."""
+    fits = filters.matching(items_of(spark, sf_dir), SearchQuery()).select("id", "score")
+    pages = clustered(fits, "score", ranges=40)
+    limit, out, cursor, number = max(1, (sum(n for _, _, n in pages.parts) + 19) // 20), None, None, 0
+    while True:
+        rows, cursor = pages.page(limit, cursor)
+        rows = rows.withColumn("page", F.lit(number))
+        out, number = rows if out is None else out.union(rows), number + 1
+        if cursor is None:
+            return out

@@ -84,6 +84,13 @@ def is_post(node: dict) -> bool:
     return isinstance(at(node, "legacy", "full_text"), str) or isinstance(node.get("full_text"), str) or (node.get("__typename") == "Tweet" and isinstance(node.get("legacy"), dict))
 
 
+def _named(person: dict) -> tuple[dict, dict, str | None, str | None]:
+    """A person, what holds the person's own fields, the handle, and the name."""
+    own = person["legacy"] if isinstance(person.get("legacy"), dict) else person
+    handle = first(text_at(own, "screen_name"), text_at(person, "core", "screen_name"))
+    return person, own, handle, first(text_at(own, "name"), text_at(person, "core", "name"), handle)
+
+
 def post_row(node: dict) -> tuple | None:
     """A social post: the long body before the short one, links expanded, title from its first telling line."""
     body = node["legacy"] if isinstance(node.get("legacy"), dict) else node
@@ -92,10 +99,8 @@ def post_row(node: dict) -> tuple | None:
     if not number_id or not (text or "").strip():
         return None
     people = [at(node, "core", "user_results"), at(node, "core", "user_result"), node.get("user_results"), body.get("user"), node.get("user")]
-    person = next((p.get("result") if isinstance(p.get("result"), dict) else p for p in people if isinstance(p, dict)), {})
-    own = person["legacy"] if isinstance(person.get("legacy"), dict) else person
-    handle = first(text_at(own, "screen_name"), text_at(person, "core", "screen_name"))
-    name = first(text_at(own, "name"), text_at(person, "core", "name"), handle)
+    found = (_named(p.get("result") if isinstance(p.get("result"), dict) else p) for p in people if isinstance(p, dict))
+    person, own, handle, name = next((x for x in found if x[2] or x[3]), ({}, {}, None, None))
     for link in at(body, "entities", "urls") or []:
         if text_at(link, "url") and text_at(link, "expanded_url"):
             text = text.replace(link["url"], link["expanded_url"])

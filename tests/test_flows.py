@@ -230,3 +230,19 @@ def test_demo_rows_go_through_ingestion(spark):
     done = run(spark.createDataFrame([], ITEM), rows, Settings(now_ms=now))
     counts = {r["outcome"]: r["n"] for r in done.results.collect()}
     assert counts["received"] == 36 and counts["duplicates"] >= 5 and counts["created"] + counts["duplicates"] + counts["rejected"] == 36
+
+
+def test_post_author_is_the_first_with_a_name():
+    """A person without handle and name is passed over for the next place that has one."""
+    node = {"rest_id": "5", "core": {"user_results": {"result": {"legacy": {"followers_count": 3}}}}, "legacy": {"full_text": "a post by bob of some words", "id_str": "5", "user": {"screen_name": "bob", "followers_count": 7}}}
+    row = dict(zip(captures._FIELDS, captures.post_row(node), strict=True))
+    assert (row["author_handle"], row["author_name"], row["followers"], row["url"]) == ("bob", "bob", 7, "https://x.com/bob/status/5")
+    del node["legacy"]["user"]
+    assert dict(zip(captures._FIELDS, captures.post_row(node), strict=True))["author_handle"] == "i"
+
+
+def test_stored_content_decodes_numeric_references(spark):
+    from docloom.functions.text import normalise_text
+
+    frame = spark.createDataFrame([("<p>It&#8217;s &amp; &#x41;</p>",), ("plain &#65; text",)], "t string")
+    assert [r[0] for r in frame.select(normalise_text(F.col("t"))).collect()] == ["It’s & A", "plain &#65; text"]

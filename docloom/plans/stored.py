@@ -15,6 +15,7 @@ from ..operators.seek import clustered
 from ..operators.segments import SegmentedIndex
 from ..operators.standing import standing_counts
 from ..operators.storage import saved, shared_path
+from ..operators.vectors import VectorIndex
 from ..operators.versions import Change, Store, removal, upsert
 from ..schema import SearchQuery
 from .queries import _COSINE, BODY, HOUR, ITEMS, SQL, _upsert_columns, _upsert_inputs, _vectors, items_of, query, simhash_docs, table, texts
@@ -137,3 +138,15 @@ def seek_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         out, number = rows if out is None else out.union(rows), number + 1
         if cursor is None:
             return out
+
+
+@query("""WITH v AS (SELECT vec_id, CASE WHEN label = 4 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE label <> 2),
+  n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.e, b.e) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+  SELECT query_id, id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 3""")
+def vectors_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest of all vectors in an index that was filled, partly set anew, thinned, partly filled again, and compacted."""
+    vectors = _vectors(spark, sf_dir)
+    turned = vectors.filter("label in (2, 4)").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    length = vectors.select(F.max(F.size("embedding"))).first()[0] or 1
+    index = VectorIndex(length).put(vectors).put(turned).without(vectors.filter("label in (2, 7)").select("id")).put(vectors.filter("label = 7")).compacted(spark)
+    return index.nearest(index.living(spark), 3).withColumn("similarity", F.round("similarity", 6))

@@ -75,3 +75,28 @@ def test_bad_vectors_and_empty_tables(spark):
         assert ask(bad.limit(0), bad, 2).count() == ask(bad, bad.limit(0), 2).count() == 0
     one = bad.filter("id = 7")
     assert nearest_by_pivots(one, one, 2).count() == 0 and nearest_by_pivots(one, one, 2, skip_self=False).count() == 1
+
+
+def test_an_index_that_changes(spark):
+    """Set, delete, set again, against a dictionary; earlier states stay readable."""
+    from docloom.operators.vectors import VectorIndex
+
+    vectors = clustered(60, dim=6)
+    kept = {i: tuple(map(float, v)) for i, v in enumerate(vectors[:40])}
+    index = VectorIndex(6).put(frame(spark, vectors[:40]))
+    state = lambda i: {r["id"]: tuple(r["embedding"]) for r in i.living(spark).collect()}
+    first = index
+    index = index.put(frame(spark, vectors[40:50], range(5, 15))).without(spark.createDataFrame([(5,), (6,), (39,), (39,), (999,)], "id long"))
+    now = kept | {5 + i: tuple(map(float, v)) for i, v in enumerate(vectors[40:50])}
+    now = {i: v for i, v in now.items() if i not in (5, 6, 39)}
+    assert state(index) == now
+    index = index.put(frame(spark, vectors[50:52], [6, 100]))
+    now |= {6: tuple(map(float, vectors[50])), 100: tuple(map(float, vectors[51]))}
+    assert state(index) == now == state(VectorIndex.opened(index.manifest())) and state(first) == kept
+    small = index.compacted(spark)
+    assert state(small) == now and len(small.segments) == 1 and not small.deletions
+    bad = spark.createDataFrame([(1, [1.0] * 5, None), (2, None, None), (3, [float("nan")] * 6, None), (None, [1.0] * 6, None), (4, [2.0] * 6, "x"), (7, [3.0] * 6, None), (7, [2.0] * 6, None)], "id long, embedding array<double>, duplicate_of string")
+    assert state(small.put(bad, "duplicate_of")) == now | {7: (3.0,) * 6}
+    rows = [(i, np.array(v)) for i, v in now.items()]
+    agree(found(small.nearest(small.living(spark), 2)), slow(rows, rows, 2))
+    assert state(VectorIndex(6)) == {} and VectorIndex(6).without(spark.createDataFrame([(1,)], "id long")).living(spark).count() == 0

@@ -44,14 +44,15 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def _values(items: DataFrame, members: DataFrame | None) -> DataFrame:
-    """id, key: every value that a search may require, of every item."""
+def _values(items: DataFrame, members: DataFrame | None, columns: list[str]) -> DataFrame:
+    """key and ``columns`` of every item, a row for each value that a search may require of it."""
     one = lambda what, c: F.array(F.concat(F.lit(f"{what}:"), F.col(c)))
     many = lambda what, c: F.transform(F.array_distinct(F.coalesce(c, _none())), lambda v: F.concat(F.lit(f"{what}:"), v))
     keys = F.concat(one("sources", "source"), one("kinds", "kind"), one("authors", "author.handle"), one("lang", "lang"), many("tags", "tags"), many("topics", "topics"))
-    rows = items.select("id", F.explode(keys).alias("key")).filter("key is not null")
+    rows = items.select(F.explode(keys).alias("key"), *columns).filter("key is not null")
     if members is not None:
-        rows = rows.union(members.select(F.col("item_id").alias("id"), F.concat(F.lit("collection_id:"), "collection_id").alias("key")).distinct())
+        inside = members.select(F.col("item_id").alias("id"), F.concat(F.lit("collection_id:"), "collection_id").alias("key")).distinct()
+        rows = rows.union(items.select(*columns).join(inside, "id").select("key", *columns))
     return rows
 
 
@@ -90,7 +91,7 @@ def _fits(q: str = "q") -> Column:
 
 def anchored(items: DataFrame, searches: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """search_id, key: what each of the ``parsed`` searches is indexed under; those without a required value are missing."""
-    frequency = _values(items, members).groupBy("key").agg(F.count("*").alias("n"))
+    frequency = _values(items, members, ["id"]).groupBy("key").agg(F.count("*").alias("n"))
     costs = _choices(searches).join(frequency, "key", "left").groupBy("search_id", "choice").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"), F.collect_set("key").alias("keys"))
     best = costs.groupBy("search_id").agg(F.min_by("keys", F.struct("cost", "choice")).alias("keys"))
     return best.select("search_id", F.explode("keys").alias("key"))
@@ -100,13 +101,13 @@ def standing_matches(items: DataFrame, searches: DataFrame, members: DataFrame |
     """search_id, id of all items that match searches (id, query, last_seen_ms) with a required value: alerts, one row a match. ``members``: collection_id, item_id, for searches in collections."""
     wanted = saved(parsed(searches))
     index = saved(anchored(items, wanted, members).join(wanted, "search_id"))
-    used = ["duplicate_of", "state", "source", "kind", "author", "tags", "topics", "score", "published_ms", "captured_ms", "starred", "read_ms", "media", "lang"]
-    met = index.join(_values(items, members), "key").drop("key").join(items.select("id", *used), "id").filter(_fits())
+    used = ["id", "duplicate_of", "state", "source", "kind", "author", "tags", "topics", "score", "published_ms", "captured_ms", "starred", "read_ms", "media", "lang"]
+    met = _values(items, members, used).join(index, "key").filter(_fits())  # checked where they meet; an item has a key once, so it meets a search once
     if members is not None:
         inside = members.select(F.col("collection_id").alias("in_collection"), F.col("item_id").alias("id")).distinct()
         both = met.filter("q.collection_id is not null").select("search_id", "id", F.col("q.collection_id").alias("in_collection"))
         met = met.filter("q.collection_id is null").select("search_id", "id").union(both.join(inside, ["in_collection", "id"], "left_semi").select("search_id", "id"))
-    return met.select("search_id", "id").distinct()
+    return met.select("search_id", "id")
 
 
 def _scanned(items: DataFrame, conditions: list[str]) -> DataFrame:

@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,28 @@ _FORWARD = "id string, length long, terms array<struct<term string, tf double>>"
 _BLOCKS = "term string, group long, documents int, largest double, shortest long, postings array<struct<id string, tf double, length long>>"
 
 
+def _counted(weights: list[float]):
+    """Of (id, token arrays): id, length, and the weight of each term, in order; a document's counts never leave its row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, tfs, offsets, lengths = [], [], [0], []
+            for arrays in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                total: Counter[str] = Counter()
+                for tokens, weight in zip(arrays, weights, strict=True):
+                    for term, n in Counter(tokens).items():
+                        if term is not None:
+                            total[term] += n * weight
+                lengths.append(sum(map(len, arrays)))
+                terms += (own := sorted(total))
+                tfs += [total[t] for t in own]
+                offsets.append(len(terms))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.float64())], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["id", "length", "terms"])
+
+    return count
+
+
 @dataclass(frozen=True)
 class Segment:
     """``path``: folder of the tables ``forward`` and ``blocks``; ``number``: later ones are newer."""
@@ -81,12 +106,9 @@ class SegmentedIndex:
 
     def with_documents(self, documents: DataFrame, columns: dict[str, float] = COLUMN_WEIGHTS) -> SegmentedIndex:
         """Adds documents (id, token arrays); those whose identifiers are there already take the place of the old ones."""
-        placed = lambda c, w: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-        length = sum((F.coalesce(F.size(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")
-        rows = documents.select(F.col("id").cast("string").alias("id"), length.alias("length"), F.concat(*(placed(c, w) for c, w in columns.items())).alias("hits"))
-        counted = rows.withColumn("hit", F.explode_outer("hits")).groupBy("id", "length", F.col("hit.term").alias("term")).agg(F.sum("hit.w").alias("tf"))
-        forward = counted.groupBy("id", "length").agg(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))).alias("terms"))
-        return self._with_forward(forward.select("id", "length", "terms"))
+        tokens = [F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c) for c in columns]
+        rows = documents.select(F.col("id").cast("string").alias("id"), *tokens)
+        return self._with_forward(rows.mapInArrow(_counted(list(columns.values())), _FORWARD))
 
     def _with_forward(self, forward: DataFrame) -> SegmentedIndex:
         spark = forward.sparkSession
@@ -100,8 +122,7 @@ class SegmentedIndex:
         group = (alike * (1 << 40) + F.pmod(F.xxhash64("id"), parts)).cast("long")
         postings = rows.select("id", "length", group.alias("group"), F.explode("terms").alias("t")).select("t.term", "group", F.struct("id", "t.tf", "length").alias("p"))
         blocks = postings.groupBy("term", "group").agg(F.count("*").cast("int").alias("documents"), F.max("p.tf").alias("largest"), F.min("p.length").alias("shortest"), F.collect_list("p").alias("postings"))  # a group's documents
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks.repartitionByRange(n, "term", "group").sortWithinPartitions("term", "group").write.parquet(f"{path}/blocks")
+        blocks.sortWithinPartitions("term", "group").write.parquet(f"{path}/blocks")  # in order of terms, so that a search reads the pages of its terms
         fresh = replace(self, segments=(*self.segments, Segment(path, number)))
         known = self.without(rows.select("id")) if self.segments else self
         stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()

@@ -18,6 +18,7 @@ from ..operators.storage import saved, shared_path
 from ..operators.vectors import VectorIndex
 from ..operators.versions import Change, Store, removal, upsert
 from ..schema import SearchQuery
+from ..streaming import first_seen_within, keeping_state
 from .queries import _COSINE, BODY, HOUR, ITEMS, SQL, _upsert_columns, _upsert_inputs, _vectors, items_of, query, simhash_docs, table, texts
 
 _UPSERTED = SQL["upsert_items"]
@@ -150,3 +151,22 @@ def vectors_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = vectors.select(F.max(F.size("embedding"))).first()[0] or 1
     index = VectorIndex(length).put(vectors).put(turned).without(vectors.filter("label in (2, 7)").select("id")).put(vectors.filter("label = 7")).compacted(spark)
     return index.nearest(index.living(spark), 3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type = 'purchase' AS full, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '12 hours', true) AS gap FROM events),
+  r AS (SELECT *, sum(gap::INT) OVER (PARTITION BY user_id ORDER BY ts, NOT full, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
+  s AS (SELECT *, row_number() OVER w AS place, sum(full::INT) OVER w AS fulls FROM r WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, NOT full, event_id))
+  SELECT event_id, 'https://example.org/u' || user_id AS url, full FROM s WHERE place = 1 OR full AND fulls = 1""")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as sightings of their user's page, a purchase being a full body, in four slices of time, each a micro-batch: the first sighting and one upgrade, anew after twelve hours without any."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("https://example.org/u"), F.col("user_id").cast("string")).alias("url"), (F.col("event_type") == "purchase").alias("full"), "ts")
+    root, day = shared_path(spark, "sightings"), F.unix_date(F.col("ts").cast("date"))
+    first, last = e.select(F.min(day), F.max(day)).first()
+    e.withColumn("slice", F.when(day.isNotNull(), F.floor((day - (first or 0)) * 4 / ((last or 0) - (first or 0) + 1)))).write.partitionBy("slice").parquet(f"{root}/slices")
+    kept = spark.read.schema(e.withColumn("slice", F.lit(0)).schema).parquet(f"{root}/slices")
+    for k in range(4):  # files of a later slice are newer, which is the order in which a stream takes them
+        kept.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    rows = first_seen_within(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), "12 hours", ties=("event_id",))
+    writer = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True)
+    keeping_state(spark, writer.start).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/out").select("event_id", "url", "full")

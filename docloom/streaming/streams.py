@@ -57,7 +57,7 @@ def _first_seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
 
 
 def first_seen(rows: DataFrame) -> DataFrame:
-    """Rows (url, full, ...) of a stream: the first of each URL, and one upgrade to a full body. State is one flag a URL; where URLs never end, ``unique_events`` bounds it by a watermark."""
+    """Rows (url, full, ...) of a stream: the first of each URL, and one upgrade to a full body. State is one flag a URL; where URLs never end, ``first_seen_within`` forgets those not seen for a span."""
     return rows.groupBy("url").applyInPandasWithState(_first_seen, rows.schema, "full boolean", "append", GroupStateTimeout.NoTimeout)
 
 

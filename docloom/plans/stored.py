@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import Entity, Lexicon, entities_of
 from ..operators import filters
 from ..operators.bitmaps import bitmap_index
 from ..operators.matching import KnownFingerprints
@@ -153,10 +154,10 @@ def vectors_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.nearest(index.living(spark), 3).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts, event_type = 'purchase' AS full, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '12 hours', true) AS gap FROM events),
-  r AS (SELECT *, sum(gap::INT) OVER (PARTITION BY user_id ORDER BY ts, NOT full, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
-  s AS (SELECT *, row_number() OVER w AS place, sum(full::INT) OVER w AS fulls FROM r WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, NOT full, event_id))
-  SELECT event_id, 'https://example.org/u' || user_id AS url, full FROM s WHERE place = 1 OR full AND fulls = 1""")
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type = 'purchase' AS body, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '12 hours', true) AS gap FROM events),
+  r AS (SELECT *, sum(gap::INT) OVER (PARTITION BY user_id ORDER BY ts, NOT body, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
+  s AS (SELECT *, row_number() OVER w AS place, sum(body::INT) OVER w AS fulls FROM r WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, NOT body, event_id))
+  SELECT event_id, 'https://example.org/u' || user_id AS url, body FROM s WHERE place = 1 OR body AND fulls = 1""")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as sightings of their user's page, a purchase being a full body, in four slices of time, each a micro-batch: the first sighting and one upgrade, anew after twelve hours without any."""
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("https://example.org/u"), F.col("user_id").cast("string")).alias("url"), (F.col("event_type") == "purchase").alias("full"), "ts")
@@ -169,4 +170,20 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = first_seen_within(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), "12 hours", ties=("event_id",))
     writer = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True)
     keeping_state(spark, writer.start).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{root}/out").select("event_id", "url", "full")
+    return spark.read.schema(rows.schema).parquet(f"{root}/out").select("event_id", "url", F.col("full").alias("body"))
+
+
+LEXICON_WORDS = 5_000
+
+
+@query(f"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM documents), k AS (SELECT w FROM t GROUP BY w ORDER BY count(*) DESC, w LIMIT {LEXICON_WORDS}),
+  h AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents) SEMI JOIN k USING (w))
+  SELECT doc_id, count(w) AS n, md5(coalesce(string_agg(w, ',' ORDER BY w), '')) AS names_md5 FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id""")
+def entity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities in each whole document, of a lexicon of the 5,000 most frequent words of four letters or more; the size of the lexicon is fixed, so the driver may hold it."""
+    docs = texts(spark, sf_dir)
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w")).groupBy("w").count()
+    common = [r["w"] for r in words.orderBy(F.desc("count"), "w").limit(LEXICON_WORDS).collect()]
+    lexicon = Lexicon(entities=tuple(Entity(w, "word") for w in common))
+    names = F.transform(entities_of(F.col("text"), lexicon, limit=None, reach=None), lambda e: e["name"])
+    return docs.select("doc_id", names.alias("names")).select("doc_id", F.size("names").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("names"), ",")).alias("names_md5"))

@@ -1,4 +1,4 @@
-"""Registered queries over stored structures that change or prune: versioned tables, pivots, bucketed keys, index segments, standing searches, bitmaps, seek cursors."""
+"""Registered queries over stored structures that change or prune (versioned tables, pivots, bucketed keys, index segments, standing searches, bitmaps, seek cursors), sightings, lexicons and feeds."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ from ..operators.storage import saved, shared_path
 from ..operators.vectors import VectorIndex
 from ..operators.versions import Change, Store, removal, upsert
 from ..schema import SearchQuery
+from ..sources.connectors import feed_items
+from ..sources.feeds import entries_of
 from ..streaming import first_seen_within, keeping_state
 from .queries import _COSINE, BODY, HOUR, ITEMS, SQL, _upsert_columns, _upsert_inputs, _vectors, items_of, query, simhash_docs, table, texts
 
@@ -187,3 +189,25 @@ def entity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = Lexicon(entities=tuple(Entity(w, "word") for w in common))
     names = F.transform(entities_of(F.col("text"), lexicon, limit=None, reach=None), lambda e: e["name"])
     return docs.select("doc_id", names.alias("names")).select("doc_id", F.size("names").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("names"), ",")).alias("names_md5"))
+
+
+@query("""SELECT url, 'Page ' || page_id || ' & <more>' AS title, 'About page ' || page_id || ' – "' || page_id % 9 || '"' AS summary, CASE WHEN page_id % 3 < 2 THEN 'Whole text of ' || page_id ELSE 'About page ' || page_id || ' – "' || page_id % 9 || '"' END AS content,
+  'Ann ' || page_id % 11 AS author, page_id % 20000 * 86400000 + 16200000 AS published_ms, 'c' || page_id % 7 || ',R&D' AS tags FROM pages""")
+def feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as entries of RSS, Atom and RDF feeds, forty a feed, read back as ingest rows."""
+    n, number = F.col("page_id"), F.col("page_id").cast("string")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), (n % 20_000).cast("int"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    title = text("<title>Page ", number, " &amp; &lt;more&gt;</title>")
+    about = text("<![CDATA[<p>About page <b>", number, "</b> &#8211; &quot;", (n % 9).cast("string"), "&quot;</p>]]>")
+    author, kind = text("Ann ", (n % 11).cast("string")), text("c", (n % 7).cast("string"))
+    body = text("&lt;p&gt;Whole text of ", number, "&lt;/p&gt;")
+    rss = text("<item>", title, "<link>", url, "</link><description>", about, "</description><content:encoded>", body, "</content:encoded><dc:creator>", author, "</dc:creator><pubDate>", F.date_format(day, "EEE, dd MMM yyyy"), " 06:30:00 +0200</pubDate><category>", kind, "</category><category>R&amp;D</category></item>")
+    atom = text("<entry>", title, '<link rel="self" href="https://feed.example/"/><link rel="alternate" type="text/html" href="', url, '"/><summary>', about, "</summary><content type=\"html\">", body, "</content><author><name>", author, "</name></author><updated>", day.cast("string"), 'T04:30:00Z</updated><category term="', kind, '"/><category term="R&amp;D"/></entry>')
+    rdf = text('<item rdf:about="', url, '">', title, "<link>", url, "</link><description>", about, "</description><dc:creator>", author, "</dc:creator><dc:date>", day.cast("string"), "T04:30:00+00:00</dc:date><category>", kind, "</category><category>R&amp;D</category></item>")
+    kinds = F.create_map(F.lit(0), F.lit("<rss><channel><title>All</title>"), F.lit(1), F.lit("<feed><title>All</title>"), F.lit(2), F.lit("<rdf:RDF>"))
+    part = (n % 3).cast("int")
+    entries = table(spark, sf_dir, "pages").select(part.alias("part"), F.floor(n / 120).alias("feed"), F.when(part == 0, rss).when(part == 1, atom).otherwise(rdf).alias("entry"))
+    feeds = entries.groupBy("part", "feed").agg(F.array_join(F.collect_list("entry"), "\n").alias("entries")).select(F.concat_ws("/", "part", "feed").alias("path"), F.concat(kinds[F.col("part")], "entries").alias("xml"))
+    return feed_items(entries_of(feeds)).select("url", "title", "summary", "content", F.col("author.name").alias("author"), "published_ms", F.array_join("tags", ",").alias("tags"))

@@ -103,7 +103,11 @@ def reddit(spark: SparkSession, path: str, target: str = "", min_engagement: int
 
 
 def rss(spark: SparkSession, path: str, target: str = "", min_engagement: int = 0, most: int = 60) -> DataFrame:
-    e = read_feeds(spark, path)
+    return feed_items(read_feeds(spark, path), most)
+
+
+def feed_items(e: DataFrame, most: int = 60) -> DataFrame:
+    """Ingest rows of feed entries, the first ``most`` of each feed."""
     e = e.withColumn("turn", F.row_number().over(Window.partitionBy("path").orderBy(F.monotonically_increasing_id()))).filter(F.col("turn") <= most)
     body = html_to_text(F.coalesce("content", "description"), numeric_references=True)
     return ingest_rows(e, url=F.col("link"), source=F.lit("rss"), kind=F.lit("article"), title=F.col("title"), summary=F.substring(html_to_text(F.coalesce("description", "content")), 1, 1500), content=body, author=_author(name=F.col("author")), published_ms=F.col("published_ms"), tags=F.slice("categories", 1, 6), media=_image(F.col("enclosure")))

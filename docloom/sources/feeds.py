@@ -109,9 +109,14 @@ class FeedEntries:
         yield from entries(xml)
 
 
-def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """path, and the entries of every feed file below ``path``."""
+def entries_of(feeds: DataFrame) -> DataFrame:
+    """path, and the entries of feeds (path, xml), each in one row."""
+    spark = feeds.sparkSession
     spark.udtf.register("feed_entries", FeedEntries)
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"), F.input_file_name().alias("path"))
-    files.createOrReplaceTempView("docloom_feed_files")
+    feeds.createOrReplaceTempView("docloom_feed_files")
     return spark.sql("SELECT f.path, e.* FROM docloom_feed_files f, LATERAL feed_entries(f.xml) e")
+
+
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """path, and the entries of every feed file below ``path``."""
+    return entries_of(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("xml")))

@@ -189,6 +189,54 @@ def test_op7_large_group_in_chunks(spark):
     assert plain == split
 
 
+def test_op7_near_copies_do_not_branch_again(spark, monkeypatch):
+    """A large group of near copies, of which some lie far from any one member, takes about one row a class and tree, and its components are those of brute force."""
+    import random
+
+    from docloom.llm import near_duplicates as nd
+
+    rng = random.Random(3)
+    base, rows, sets = [f"b{i}" for i in range(150)], [], []
+    for i in range(90):
+        w = list(base)
+        for j in rng.sample(range(150), rng.randint(0, 5)):
+            w[j] = f"e{i}_{j}"
+        rows.append((i, " ".join(w)))
+        sets.append({tuple(w[k : k + 4]) for k in range(147)})
+    least = list(range(90))
+    for _ in range(12):
+        for a in range(90):
+            for b in range(90):
+                n = len(sets[a] & sets[b])
+                if least[b] < least[a] and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                    least[a] = least[b]
+    met, plain = [], nd._candidates
+    monkeypatch.setattr(nd, "_candidates", lambda classes, small, *a: met.append(small.count()) or plain(classes, small, *a))
+    got = nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), leaf=16, cluster=20)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(least))
+    assert met[0] <= 2 * 10 * 90
+
+
+def test_components_end_at_stars(spark, monkeypatch):
+    import random
+
+    from docloom.llm import _graph
+
+    tables, plain = [], _graph.written
+    monkeypatch.setattr(_graph, "written", lambda df, what: tables.append(what) or plain(df, what))
+    rng = random.Random(5)
+    stars = [(k, k + i) for k in range(0, 100, 10) for i in range(1, 10)]
+    for links, most in ((stars, 2), ([(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)], 20), ([], 2)):
+        tables.clear()
+        got = {r["node"]: r["root"] for r in _graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        root = {x: x for a, b in links if a != b for x in (a, b)}
+        for _ in root:
+            for a, b in links:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        assert got == root and len(tables) <= most, (links, tables)
+
+
 def test_op10_windows(spark, messy, empty):
     from docloom.llm.substring_dedup import remove_repeats, repeated_passages
 

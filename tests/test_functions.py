@@ -122,6 +122,16 @@ def test_display(spark):
     assert one(spark, display.string_hue(F.col("t")), t="abc") == hue % 360
 
 
+def test_compact_numbers_round_as_printf(spark):
+    """Every price to the cent that lies on or beside a half, and ties, as printf rounds their exact values."""
+    prices = [c / 100 for k in range(10, 100) for c in range(k * 10_000 + 4_998, k * 10_000 + 5_003)]
+    values = [sign * p * unit for p in (*prices, 1000.0, 9999.99, 9950.0, 9949.99) for unit in (1, 1000) for sign in (1, -1) if 1000 <= p < 10_000]
+    rows = spark.createDataFrame([(v,) for v in values], "n double").select("n", display.compact_number(F.col("n")).alias("shown")).collect()
+    want = lambda n: f"{n / (unit := 1e3 if abs(n) < 1e6 else 1e6):.1f}".removesuffix(".0") + ("K" if unit == 1e3 else "M")
+    assert len(rows) > 1_500 and [(r["n"], r["shown"]) for r in rows if r["shown"] != want(r["n"])] == []
+    assert {n: r["shown"] for r in rows if (n := r["n"]) in (1150.0, 1250.0, 1750.0, -1250.0)} == {1150.0: "1.1K", 1250.0: "1.2K", 1750.0: "1.8K", -1250.0: "-1.2K"}
+
+
 def naive_simhash(tokens):
     def fnv(s):
         h = 0xCBF29CE484222325

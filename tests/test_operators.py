@@ -42,6 +42,14 @@ def test_band_pairs_find_all_within_three_bits(spark):
     assert {(r["a"], r["b"], r["distance"]) for r in found} == expected
 
 
+def test_fingerprints_meet_by_shuffles(spark):
+    """A stored table that looks small isn't sent through the driver: each class is twenty rows of the join."""
+    rows = matching.saved(spark.createDataFrame([(i, f"{i << 7 | 1:016x}") for i in range(64)], "id long, simhash string"))
+    plan = matching.band_pairs(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+    assert {(r["a"], r["b"]) for r in matching.band_pairs(rows).collect()} == {(a, b) for a in range(64) for b in range(a + 1, 64) if (a ^ b).bit_count() <= 3}
+
+
 def test_first_come(spark):
     rng = random.Random(5)
     n = 40

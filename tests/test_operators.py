@@ -249,6 +249,22 @@ def test_first_come_over_a_long_chain(spark, monkeypatch):
     assert counts[1] <= counts[0] + 12 and counts[1] <= 32, counts
 
 
+def test_first_come_joins_by_shuffles(spark, monkeypatch):
+    """Stored tables that look small aren't sent through the driver: a class is twenty rows of some joins."""
+    from docloom.operators import graphs
+
+    rows = [(i, 0, i // 2 << 7 | 1) for i in range(24)]
+    stored = matching.saved(spark.createDataFrame([(i, s, f"{v:016x}") for i, s, v in rows], "id long, seq long, simhash string"))
+    plans, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (matching, graphs):
+        keep = module.saved
+        monkeypatch.setattr(module, "saved", lambda df, keep=keep: (plans.append(plan(df)), keep(df))[1])
+    got = matching.first_come(stored.select("id", "seq"), fingerprints=stored.select("id", "simhash"))
+    plans.append(plan(got))
+    assert sum(p.count("SortMergeJoin") for p in plans) > 10 and not [p for p in plans if "Broadcast" in p]
+    assert {r["id"]: r["duplicate_of"] for r in got.collect()} == _greedy(rows, [])
+
+
 def test_first_come_components_over_the_bound(spark):
     """The same result by components and in rounds, with hot classes, links, and equal times."""
     rng = random.Random(3)

@@ -4,6 +4,8 @@ A search requires one of its sources, kinds, authors, its collection or its lang
 will do), so a search for a frequent source and a rare tag meets the items of the tag only. The searches without any such value are a query set against all items: distinct conditions, in blocks that are compared with
 batches of items as arrays, up to ``PER_SCAN`` of them in one pass.
 
+Searches are counted by their distinct conditions: what meets one of these is counted by time once, and each search reads off what came after it was last seen.
+
 Malformed queries are default ones, as for a stored query; null conditions are none; words aren't looked at. A search without ``last_seen_ms`` has seen nothing.
 """
 
@@ -16,7 +18,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KINDS, SOURCES, STATES
@@ -24,7 +26,7 @@ from .filters import when_ms
 from .storage import saved
 
 PER_SCAN = 65_536
-_BLOCK = 512
+_BLOCK, _PERIODS = 512, 128
 _LISTS = ("states", "sources", "kinds", "authors", "tags", "topics")
 _FIELDS = {"min_score": "double", "from_ms": "long", "to_ms": "long", "starred": "boolean", "unread": "boolean", "has_media": "boolean", "lang": "string", "collection_id": "string", "include_duplicates": "boolean"}
 QUERY = "struct<" + ", ".join([*(f"{n}: array<string>" for n in _LISTS), *(f"{n}: {t}" for n, t in _FIELDS.items())]) + ">"
@@ -97,61 +99,85 @@ def anchored(items: DataFrame, searches: DataFrame, members: DataFrame | None =
     return best.select("search_id", F.explode("keys").alias("key"))
 
 
-def standing_matches(items: DataFrame, searches: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """search_id, id of all items that match searches (id, query, last_seen_ms) with a required value: alerts, one row a match. ``members``: collection_id, item_id, for searches in collections."""
-    wanted = saved(parsed(searches))
+def _met(items: DataFrame, wanted: DataFrame, members: DataFrame | None) -> DataFrame:
+    """search_id, id, captured_ms of all items that match ``wanted`` (search_id, q, since), a stored table."""
     index = saved(anchored(items, wanted, members).join(wanted, "search_id"))
     used = ["id", "duplicate_of", "state", "source", "kind", "author", "tags", "topics", "score", "published_ms", "captured_ms", "starred", "read_ms", "media", "lang"]
     met = _values(items, members, used).join(index, "key").filter(_fits())  # checked where they meet; an item has a key once, so it meets a search once
     if members is not None:
         inside = members.select(F.col("collection_id").alias("in_collection"), F.col("item_id").alias("id")).distinct()
-        both = met.filter("q.collection_id is not null").select("search_id", "id", F.col("q.collection_id").alias("in_collection"))
-        met = met.filter("q.collection_id is null").select("search_id", "id").union(both.join(inside, ["in_collection", "id"], "left_semi").select("search_id", "id"))
-    return met.select("search_id", "id")
+        both = met.filter("q.collection_id is not null").select("search_id", "id", "captured_ms", F.col("q.collection_id").alias("in_collection"))
+        met = met.filter("q.collection_id is null").select("search_id", "id", "captured_ms").union(both.join(inside, ["in_collection", "id"], "left_semi").select("search_id", "id", "captured_ms"))
+    return met.select("search_id", "id", "captured_ms")
+
+
+def standing_matches(items: DataFrame, searches: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """search_id, id of all items that match searches (id, query, last_seen_ms) with a required value: alerts, one row a match. ``members``: collection_id, item_id, for searches in collections."""
+    return _met(items, saved(parsed(searches)), members).select("search_id", "id")
+
+
+def _later(times: DataFrame, asked: DataFrame, edges: list[int]) -> DataFrame:
+    """c, since, n: of ``times`` (c, at, n; one row a time) the sum after each of ``asked`` (c, since; distinct). Sums go by period between the ``edges`` and inside one, so conditions that all items meet are no one task."""
+    period = lambda at: F.size(F.filter(F.lit(edges), lambda e: e <= F.col(at))) if edges else F.lit(0)
+    rows = times.select("c", period("at").alias("period"), "at", "n", F.lit(0).alias("ask")).union(asked.select("c", period("since"), "since", F.lit(0).cast("long"), F.lit(1)))
+    rows = saved(rows)
+    after = Window.partitionBy("c").orderBy(F.desc("period")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy("c", "period").agg(F.sum("n").alias("n")).select("c", "period", F.coalesce(F.sum("n").over(after), F.lit(0)).alias("whole"))
+    inside = Window.partitionBy("c", "period").orderBy(F.desc("at"), F.desc("ask")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a search before the items of its time
+    part = rows.withColumn("part", F.sum("n").over(inside)).filter("ask = 1").join(whole, ["c", "period"])
+    return part.select("c", F.col("at").alias("since"), (F.col("whole") + F.col("part")).alias("n"))
 
 
-def _scanned(items: DataFrame, conditions: list[str]) -> DataFrame:
-    """i, n: how many items meet each of the conditions (JSON), which require no value."""
-    given = [json.loads(c) for c in conditions]
-    q = [g["q"] for g in given]
+def _scanned(items: DataFrame, conditions: list[str], asked: list[tuple[int, int]]) -> DataFrame:
+    """i, since, n: how many items meet the condition of each (i, since) after that time, of conditions (JSON) that require no value."""
+    q = [json.loads(c) for c in conditions]
     column = lambda name, absent, kind: np.array([absent if x.get(name) is None else x[name] for x in q], kind)
     has = lambda name: np.array([x.get(name) is not None for x in q])
     state = np.array([[s in x["states"] if x["states"] else s != "trash" for s in STATES] + [not x["states"]] for x in q])  # the last column: states by other names
     least, begin, end = (column(n, 0, np.float64) for n in ("min_score", "from_ms", "to_ms"))
     any_score, any_begin, any_end, any_star = (~has(n) for n in ("min_score", "from_ms", "to_ms", "starred"))
     star, unread, media, twins = (column(n, False, bool) for n in ("starred", "unread", "has_media", "include_duplicates"))
-    since = np.array([g["since"] for g in given], np.float64)
+    of, since = (np.array(x, np.int64) for x in zip(*sorted(asked), strict=True))
+    blocks = [(i, *np.searchsorted(of, (i, i + _BLOCK))) for i in range(0, len(q), _BLOCK)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(given), np.int64)
+        total = np.zeros(len(of), np.int64)
         for b in batches:
-            place, score, when, captured, starred, is_read, has_media, twin = (b.column(i).to_numpy(zero_copy_only=False) for i in range(8))
-            for i in range(0, len(given), _BLOCK):
+            captured = b.column(3).to_numpy(zero_copy_only=False)
+            order = np.argsort(captured)
+            place, score, when, captured, starred, is_read, has_media, twin = (b.column(i).to_numpy(zero_copy_only=False)[order] for i in range(8))
+            start = np.searchsorted(captured, since, side="right")
+            for i, first, last in blocks:
                 c = slice(i, i + _BLOCK)
-                fits = (captured[:, None] > since[c]) & state[c].T[place] & (twins[c] | ~twin[:, None])
+                fits = state[c].T[place] & (twins[c] | ~twin[:, None])
                 fits &= (any_score[c] | (score[:, None] >= least[c])) & (any_begin[c] | (when[:, None] >= begin[c])) & (any_end[c] | (when[:, None] <= end[c]))
                 fits &= (any_star[c] | (starred[:, None] == star[c])) & (~unread[c] | ~is_read[:, None]) & (~media[c] | has_media[:, None])
-                total[c] += fits.sum(axis=0)
+                before = np.concatenate([np.zeros((1, fits.shape[1]), np.int32), np.cumsum(fits, axis=0, dtype=np.int32)])
+                mine = of[first:last] - i
+                total[first:last] += before[-1, mine] - before[start[first:last], mine]
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(of[at].astype(np.int32)), pa.array(since[at]), pa.array(total[at])], ["i", "since", "n"])
 
     place = F.coalesce(*(F.when(F.col("state") == s, i) for i, s in enumerate(STATES)), F.lit(len(STATES)))
     rows = items.filter("state is not null and captured_ms is not null").select(
-        place.alias("place"), F.coalesce(F.col("score").cast("double"), F.lit(float("nan"))).alias("score"), F.coalesce(when_ms().cast("double"), F.lit(float("nan"))), F.col("captured_ms").cast("double"),
+        place.alias("place"), F.coalesce(F.col("score").cast("double"), F.lit(float("nan"))).alias("score"), F.coalesce(when_ms().cast("double"), F.lit(float("nan"))), F.col("captured_ms").cast("long"),
         F.coalesce("starred", F.lit(False)), F.col("read_ms").isNotNull(), F.coalesce(F.size("media"), F.lit(0)) > 0, F.col("duplicate_of").isNotNull(),
     )
-    return rows.mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "i int, since long, n long").groupBy("i", "since").agg(F.sum("n").alias("n"))
 
 
 def standing_counts(items: DataFrame, searches: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """search_id, n: how many items match each search since it was seen, by all its conditions but its words."""
-    hits = standing_matches(items, searches, members).groupBy("search_id").agg(F.count("*").alias("n"))
-    wanted = saved(parsed(searches))
-    bare = wanted.join(_choices(wanted).select("search_id").distinct(), "search_id", "left_anti")
-    counted = items.sparkSession.createDataFrame([], "c string, m long")
-    conditions = bare.select(F.to_json(F.struct("q", "since")).alias("c")).distinct().toLocalIterator()
-    while some := [r["c"] for r in islice(conditions, PER_SCAN)]:
-        numbers = items.sparkSession.createDataFrame(list(enumerate(some)), "i int, c string")
-        counted = counted.union(saved(_scanned(items, some).join(numbers, "i").select("c", F.col("n").alias("m"))))
-    bare_hits = bare.select("search_id", F.to_json(F.struct("q", "since")).alias("c")).join(counted, "c").select("search_id", F.col("m").alias("n"))
-    return wanted.select("search_id").join(hits.union(bare_hits), "search_id", "left").select("search_id", F.coalesce("n", F.lit(0)).alias("n"))
+    wanted = saved(parsed(searches).withColumn("c", F.to_json("q")))
+    asked = saved(wanted.groupBy("c", "since").agg(F.first("q").alias("q")))
+    distinct = saved(asked.groupBy("c").agg(F.first("q").alias("q"), F.min("since").alias("since")).withColumnRenamed("c", "search_id"))
+    bound = saved(_choices(distinct).select(F.col("search_id").alias("c")).distinct())
+    times = _met(items, distinct, members).groupBy(F.col("search_id").alias("c"), F.col("captured_ms").alias("at")).agg(F.count("*").alias("n"))
+    shares = items.select(F.col("captured_ms").cast("double").alias("at")).approxQuantile("at", [i / _PERIODS for i in range(1, _PERIODS)], 0.001)
+    counted = saved(_later(times, asked.join(bound, "c", "left_semi").select("c", "since"), sorted({int(x) for x in shares})))
+    bare = asked.join(bound, "c", "left_anti").select("c", "since").orderBy("c").toLocalIterator()
+    while some := list(islice(bare, PER_SCAN)):
+        place = {c: i for i, c in enumerate(dict.fromkeys(r["c"] for r in some))}
+        numbers = items.sparkSession.createDataFrame([(i, c) for c, i in place.items()], "i int, c string")
+        counted = counted.union(saved(_scanned(items, list(place), [(place[r["c"]], r["since"]) for r in some]).join(numbers, "i").select("c", "since", "n")))
+    return wanted.select("search_id", "c", "since").join(counted, ["c", "since"], "left").select("search_id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -62,3 +62,15 @@ def test_rarest_value_is_the_anchor(spark):
     assert keys == {("s", "tags:rare"), ("t", "sources:web"), ("t", "sources:x")}
     assert standing.standing_counts(table, frame.limit(0)).count() == 0
     assert {r["n"] for r in standing.standing_counts(table.limit(0), frame).collect()} == {0}
+
+
+def test_searches_alike_are_counted_once(spark, monkeypatch):
+    """Three conditions of 900 searches that differ in when they were last seen: an item meets each condition once, whatever the number of searches."""
+    table, kinds = items(spark).cache(), ['{"tags": ["a"]}', '{"min_score": 40}', '{"lang": "en", "starred": true}']
+    frame = spark.createDataFrame([(f"s{i}", kinds[i % 3], i // 3 * 5 + i % 2) for i in range(900)], "id string, query string, last_seen_ms long")
+    met, keep = [], standing._met
+    monkeypatch.setattr(standing, "_met", lambda *a: (met.append(keep(*a)), met[-1])[1])
+    got = {r["search_id"]: r["n"] for r in standing.standing_counts(table, frame).collect()}
+    fits = [[r["captured_ms"] for r in matching(table, library.stored_query(k)).select("captured_ms").collect()] for k in kinds]
+    assert got == {f"s{i}": sum(at > i // 3 * 5 + i % 2 for at in fits[i % 3]) for i in range(900)}
+    assert len(met) == 1 and met[0].count() == len(fits[0]) + len(fits[2]) > 30
